@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import read
 from .near_duplicates import similar_pairs
+from .nearest import nearest
 
 #: Units and thresholds of near-duplicate passages and paths in this project's data.
 CHUNKS = {"threshold": 0.6, "unit": "word", "size": 3, "bands": 24, "rows": 3}
@@ -21,5 +22,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return tag(chunks, "chunk").unionByName(tag(files, "file"))
 
 
-QUERIES = {"p1_found": p1_found}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of passages with cosine 0.9 or more of which one is among the five most similar of the other."""
+    near = nearest(read(spark, d, "chunks"), "chunk_id", "embedding", k=5, least=0.9, recall=0.99)
+    return near.select(F.least("id", "near").alias("chunk_id_a"), F.greatest("id", "near").alias("chunk_id_b")).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found}
 SQL: dict[str, str] = {}
