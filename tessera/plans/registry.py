@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import differences
+
+QUERIES: dict = {**differences.QUERIES}
+SQL: dict[str, str] = {**differences.SQL}
