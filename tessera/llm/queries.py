@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..runtime import read
 from .near_duplicates import similar_pairs
 from .nearest import nearest
+from .splitting import pieces
+from .top_n import top_n
 
 #: Units and thresholds of near-duplicate passages and paths in this project's data.
 CHUNKS = {"threshold": 0.6, "unit": "word", "size": 3, "bands": 24, "rows": 3}
@@ -22,11 +24,54 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return tag(chunks, "chunk").unionByName(tag(files, "file"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every passage over 1,200 characters."""
+    return pieces(read(spark, d, "chunks"), "chunk_id", "text").select(F.col("id").alias("chunk_id"), "piece", "start_char", "end_char")
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The same passages cut at the strongest boundaries, with text, overlap and where they come from."""
+    chunks = read(spark, d, "chunks")
+    cut = pieces(chunks, "chunk_id", "text", order="kind", with_text=True)
+    origin = chunks.where(F.length("text") > 1200).select("chunk_id", "file_id", "ordinal").dropDuplicates(["chunk_id"])
+    sizes = read(spark, d, "files").where("file_id is not null").groupBy("file_id").agg(F.max_by("size", "indexed_at").alias("file_size"))
+    return cut.withColumnRenamed("id", "chunk_id").join(origin, "chunk_id").join(sizes, "file_id", "left")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Of every query and file the three best passages."""
+    hits = read(spark, d, "chunks_fts").where("rank is not null and qid is not null").groupBy("qid", "chunk_id").agg(F.min("rank").alias("rank"))
+    owner = read(spark, d, "chunks").where("file_id is not null").select("chunk_id", "file_id").distinct()
+    rows = hits.join(owner, "chunk_id").select(F.col("qid").alias("g1"), F.col("file_id").alias("g2"), F.col("rank").alias("score"), F.col("chunk_id").alias("item"))
+    return top_n(rows, 3).select(F.col("g1").alias("qid"), F.col("g2").alias("file_id"), F.col("item").alias("chunk_id"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of passages with cosine 0.9 or more of which one is among the five most similar of the other."""
     near = nearest(read(spark, d, "chunks"), "chunk_id", "embedding", k=5, least=0.9, recall=0.99)
     return near.select(F.least("id", "near").alias("chunk_id_a"), F.greatest("id", "near").alias("chunk_id_b")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p4_found, p5_found)}
+
+SQL = {
+    "p3_found": r"""
+        with recursive long_ones as (select distinct chunk_id, text, length(text) as n from chunks where length(text) > 1200 and chunk_id is not null),
+        step(chunk_id, text, n, piece, start_char, end_char) as (
+            select chunk_id, text, n, cast(-1 as bigint), cast(0 as bigint), cast(180 as bigint) from long_ones
+            union all
+            select chunk_id, text, n, piece + 1, end_char - 180, case when n <= end_char - 180 + 1200 then n else (
+                select case when max(b) > 600 then end_char - 180 + max(b) + 1 else end_char - 180 + 1200 end from (
+                    select 1200 - strpos(reverse(substr(text, end_char - 180 + 1, 1200)), reverse(sep)) + 1 - 2 as b, sep
+                    from (values (chr(10) || chr(10)), ('. ')) v(sep)
+                    where strpos(reverse(substr(text, end_char - 180 + 1, 1200)), reverse(sep)) > 0)) end
+            from step where end_char < n)
+        select chunk_id, piece, start_char, end_char from step where piece >= 0
+    """,
+    "p4_found": """
+        with h as (select qid, chunk_id, min(rank) as rank from chunks_fts where rank is not null and qid is not null group by qid, chunk_id),
+        o as (select distinct chunk_id, file_id from chunks where file_id is not null)
+        select qid, file_id, chunk_id from (select qid, file_id, chunk_id, row_number() over (partition by qid, file_id order by rank, chunk_id) as nth from h join o using (chunk_id))
+        where nth <= 3
+    """,
+}
