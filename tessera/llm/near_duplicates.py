@@ -19,7 +19,7 @@ from ..runtime import only, stage
 from . import hashing
 from .sketch import band_keys, sketch
 
-_SETS = "id long, fp binary, units array<bigint>, bands array<bigint>"
+_UNITS, _BANDS = "id long, units array<bigint>", "id long, fp binary, bands array<bigint>"
 
 
 def _tokens(texts: list[str], unit: str, cache: hashing.TokenHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -29,7 +29,12 @@ def _tokens(texts: list[str], unit: str, cache: hashing.TokenHashes) -> tuple[np
     return flat, lengths
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch], unit: str, size: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values))
+
+
+def _sets(batches: Iterator[pa.RecordBatch], unit: str, size: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """Ids and the sorted distinct units of every text that has any."""
     cache = hashing.TokenHashes()
     for batch in batches:
         for start in range(0, batch.num_rows, 2000):
@@ -38,43 +43,60 @@ def _set_batches(batches: Iterator[pa.RecordBatch], unit: str, size: int, bands:
             grams, counts = hashing.runs(flat, lengths, size)
             ends = np.cumsum(counts)
             sets = [np.unique(grams[e - c : e]) for e, c in zip(ends, counts, strict=True) if c]
-            if not sets:
-                continue
-            ids = part.column(0).filter(pa.array(counts > 0))
-            counts = np.fromiter(map(len, sets), np.int64, len(sets))
-            elements = np.concatenate(sets)
-            keys = band_keys(sketch(elements, counts, bands * rows), rows)
-            lists = lambda v, c: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(c)]), pa.int32()), pa.array(v))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), lists(elements.view(np.int64), counts), lists(keys.reshape(-1), np.full(len(sets), bands))],
-                names=["id", "fp", "units", "bands"],
-            )
-
-
-def unit_sets(df: DataFrame, id_col: str, text_col: str, *, unit: str, size: int, bands: int, rows: int) -> DataFrame:
-    """``id, fp, units, bands`` of every record that has at least one unit, written to the shared folder."""
-    src = only(df, id=F.col(f"`{id_col}`").cast("long"), text=text_col).where("id is not null and text is not null")
-    return stage(src.mapInArrow(lambda it: _set_batches(it, unit, size, bands, rows), _SETS), "sets")
-
-
-def representative_links(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+            if sets:
+                yield part.column(0).filter(pa.array(counts > 0)), sets
+
+
+class UnitSets:
+    """The records of one table as sets of units, for one choice of unit and bands."""
+
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, *, unit: str, size: int, bands: int, rows: int):
+        self.src = only(df, id=F.col(f"`{id_col}`").cast("long"), text=text_col).where("id is not null and text is not null")
+        self.unit, self.size, self.bands, self.rows = unit, size, bands, rows
+
+    def units(self) -> DataFrame:
+        """``id, units``, computed anew by each action: cheaper than keeping them, as they don't compress."""
+        unit, size = self.unit, self.size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, sets in _sets(batches, unit, size):
+                counts = np.fromiter(map(len, sets), np.int64, len(sets))
+                yield pa.RecordBatch.from_arrays([ids, _lists(np.concatenate(sets).view(np.int64), counts)], names=["id", "units"])
+
+        return self.src.mapInArrow(run, _UNITS)
+
+    def banded(self) -> DataFrame:
+        """``id, fp, bands``, written to the shared folder; fp identifies the set."""
+        unit, size, bands, rows = self.unit, self.size, self.bands, self.rows
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, sets in _sets(batches, unit, size):
+                counts = np.fromiter(map(len, sets), np.int64, len(sets))
+                keys = band_keys(sketch(np.concatenate(sets), counts, bands * rows), rows)
+                digests = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, digests, _lists(keys.reshape(-1), np.full(len(sets), bands))], names=["id", "fp", "bands"])
+
+        return stage(self.src.mapInArrow(run, _BANDS), "bands")
+
+
+def representative_links(sets: UnitSets, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Verified links between class representatives, and the members of classes with more than one.
 
     links: ``rep_a, rep_b`` (rep_a < rep_b), copies: ``rep, id``.
     """
-    reps = sets.groupBy("fp").agg(F.min_by(F.struct("id", "bands"), "id").alias("r"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    records = sets.banded()
+    reps = records.groupBy("fp").agg(F.min_by(F.struct("id", "bands"), "id").alias("r"))
     banded = reps.select(F.col("r.id").alias("rep"), F.posexplode("r.bands").alias("band", "key"))
     a, b = (banded.select(F.col("rep").alias(f"rep_{x}"), "band", "key") for x in "ab")
     candidates = a.join(b, ["band", "key"]).where("rep_a < rep_b").select("rep_a", "rep_b").distinct()
-    # One representative id may stand in repeated rows, all with the same units.
-    one = sets.groupBy("fp").agg(F.min("id").alias("rep"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    units = sets.select(F.col("id").alias("uid"), "units")
-    left = candidates.join(units.withColumnsRenamed({"uid": "rep_a", "units": "ua"}), "rep_a")
-    both = left.join(units.withColumnsRenamed({"uid": "rep_b", "units": "ub"}), "rep_b")
+    units = sets.units()
+    left = candidates.join(units.withColumnsRenamed({"id": "rep_a", "units": "ua"}), "rep_a")
+    both = left.join(units.withColumnsRenamed({"id": "rep_b", "units": "ub"}), "rep_b")
     shared = F.size(F.array_intersect("ua", "ub"))
     similar = shared / (F.size("ua") + F.size("ub") - shared) >= threshold
     links = both.where(similar).select("rep_a", "rep_b").distinct()
-    copies = sets.select("id", "fp").join(one.where("lo < hi").select("fp", "rep"), "fp").select("rep", "id").distinct()
+    classes = records.groupBy("fp").agg(F.min("id").alias("rep"), F.max("id").alias("hi")).where("rep < hi")
+    copies = records.select("id", "fp").join(classes.select("fp", "rep"), "fp").select("rep", "id").distinct()
     return links, copies
 
 
@@ -89,7 +111,7 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, threshold: float
     never count, repeated rows of one id count once, and an id with several
     texts is compared by each of them.  An empty table gives no pairs.
     """
-    sets = unit_sets(df, id_col, text_col, unit=unit, size=size, bands=bands, rows=rows)
+    sets = UnitSets(df, id_col, text_col, unit=unit, size=size, bands=bands, rows=rows)
     links, copies = representative_links(sets, threshold)
     member = F.coalesce("id", "rep").alias("id")
     expand = lambda pairs, c: pairs.withColumnRenamed(c, "rep").join(copies, "rep", "left").withColumn(c, member).drop("rep", "id")
