@@ -13,7 +13,7 @@ from .top_n import top_n
 
 #: Units and thresholds of near-duplicate passages and paths in this project's data.
 CHUNKS = {"threshold": 0.6, "unit": "word", "size": 3, "bands": 24, "rows": 3}
-PATHS = {"threshold": 0.7, "unit": "char", "size": 4, "bands": 48, "rows": 6}
+PATHS = {"threshold": 0.7, "unit": "char", "size": 4, "bands": 72, "rows": 7}
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
