@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import read
+from .leaks import Rule, leaks
 from .near_duplicates import similar_pairs
 from .nearest import nearest
+from .packing import training_windows
+from .quality import statistics
 from .splitting import pieces
 from .top_n import top_n
 
@@ -52,7 +55,40 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "near").alias("chunk_id_a"), F.greatest("id", "near").alias("chunk_id_b")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p4_found, p5_found)}
+def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar passages of every passage whose id is divisible by 50, however similar they are."""
+    near = nearest(read(spark, d, "chunks"), "chunk_id", "embedding", k=5, recall=0.93, every=50)
+    return near.select(F.col("id").alias("chunk_id"), "place", F.col("near").alias("near_chunk_id"), "cosine")
+
+
+def p6_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The training window of 2,048 tokens of every text or piece."""
+    return training_windows(read(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with at least 12 consecutive words of a question or target."""
+    found = leaks(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "relevance_cases"), "case_id", ["question", "target"])
+    return found.select("doc_id", "case_id")
+
+
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with 12 words of a question or target up to one inserted, missing or other word."""
+    rule = Rule(window=12, stride=1, run=0, edits=1, sampled=12, recall=0.95)
+    return leaks(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "relevance_cases"), "case_id", ["question", "target"], rule)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that for the larger part aren't prose."""
+    return statistics(read(spark, d, "documents"), "doc_id", "text").where("not is_prose or is_prose is null and chars > 0 and symbol_ratio > 0").select(F.col("id").alias("doc_id"))
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of every document."""
+    return statistics(read(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p4_found, p5_found, p5_nearest, p6_windows, p7_found, p7_near, p8_found, p8_statistics)}
 
 SQL = {
     "p3_found": r"""
