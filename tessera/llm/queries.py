@@ -80,7 +80,7 @@ def p7_near(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that for the larger part aren't prose."""
-    return statistics(read(spark, d, "documents"), "doc_id", "text").where("not is_prose or is_prose is null and chars > 0 and symbol_ratio > 0").select(F.col("id").alias("doc_id"))
+    return statistics(read(spark, d, "documents"), "doc_id", "text").where("not is_prose").select(F.col("id").alias("doc_id"))
 
 
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
