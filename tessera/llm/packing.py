@@ -117,7 +117,8 @@ def windows(items: DataFrame, limits: dict[str, int], *, pool_items: int = 20_00
 
         schema = "id long, piece long, " + ", ".join(f"{n} long" for n in names) + ", window long, filled double"
         pooled = df.withColumn("pool", F.pmod(F.xxhash64("id", "piece", F.lit(shift)), F.lit(pools)))
-        return pooled.groupBy("pool").applyInPandas(run, schema)
+        # A fixed number of partitions: by their few bytes, adaptive execution would put many pools into one task.
+        return pooled.repartition(min(pools, 10_000), "pool").groupBy("pool").applyInPandas(run, schema)
 
     pools = max(1, -(-count // pool_items))
     first = stage(packed(fixed, pools, 0), "windows")
