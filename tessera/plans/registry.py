@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import differences
+from . import catalog, differences
 
-QUERIES: dict = {**differences.QUERIES}
-SQL: dict[str, str] = {**differences.SQL}
+_PLANS = (differences, catalog)
+QUERIES: dict = {name: f for p in _PLANS for name, f in p.QUERIES.items()}
+SQL: dict[str, str] = {name: s for p in _PLANS for name, s in p.SQL.items()}
