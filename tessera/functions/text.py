@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 #: Characters of a query term, and what separates tokens of an indexed text.
 QUERY_TERM = r"[\p{L}\p{M}\p{N}_-]+"
 FILENAME_TERM = r"[\p{L}\p{M}\p{N}_.-]+"
-SEPARATORS = r"[^\p{L}\p{N}\p{M}\p{Co}]+"
+SEPARATORS = r"[^\p{L}\p{N}\p{Co}]+"
+
+#: White space at the ends of a text (Unicode), in a spelling that Java and RE2 share.
+BLANK = r"[\s\x{b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 #: Passage size, overlap and least length in characters.
 CHUNK_SIZE, CHUNK_OVERLAP, CHUNK_LEAST = 1200, 180, 40
@@ -35,7 +38,7 @@ def strip_accents(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """The index tokens of a text: lower case, no accents, split at anything but letters, digits and marks."""
+    """The index tokens of a text: lower case, no accents, split at anything but letters and digits."""
     return F.filter(F.split(strip_accents(F.lower(text)), SEPARATORS), lambda x: x != "")
 
 
@@ -44,9 +47,13 @@ def query_terms(query: Column, pattern: str = QUERY_TERM) -> Column:
     return F.array_distinct(F.regexp_extract_all(query, F.lit(pattern), F.lit(0)))
 
 
+def strip(text: Column) -> Column:
+    return F.regexp_replace(text, rf"^{BLANK}+|{BLANK}+$", "")
+
+
 def tidy(text: Column) -> Column:
     """Three and more line breaks become two, blanks at both ends go."""
-    return F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
 def _let(value: Column, body) -> Column:
@@ -92,7 +99,7 @@ def chunks(text: Column, least: int = CHUNK_LEAST) -> Column:
     """The passages of a text as an array of strings; passages under ``least`` characters are left out."""
 
     def cut(t: Column) -> Column:
-        parts = F.transform(chunk_spans(t), lambda s: F.regexp_replace(F.substring(t, s["start"] + 1, s["end"] - s["start"]), r"^\s+|\s+$", ""))
+        parts = F.transform(chunk_spans(t), lambda s: strip(F.substring(t, s["start"] + 1, s["end"] - s["start"])))
         return F.filter(parts, lambda p: F.length(p) >= least)
 
     return _let(tidy(text), cut)

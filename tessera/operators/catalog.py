@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.text import FILENAME_TERM, query_terms
+from ..runtime import small
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -77,7 +78,7 @@ def filename_hits(files: DataFrame, queries: DataFrame, *, limit: int, require_a
     rows = files if not drop_junk_first else files.where(~paths.is_junk(F.col("path")))
     low = F.lower("path")
     test = F.forall if require_all else F.exists
-    hits = rows.join(terms, test("terms", lambda t: F.contains(low, t)))
+    hits = rows.join(small(terms), test("terms", lambda t: F.contains(low, t)))
     first = Window.partitionBy("qid").orderBy("path")
     hits = hits.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit)
     return hits.where(~paths.is_junk(F.col("path"))).select("qid", "path", "kind", "mtime", "mime", F.lit(1.0).alias("score"))

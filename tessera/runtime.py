@@ -70,3 +70,8 @@ atexit.register(release)
 def only(df: DataFrame, **columns: str | Column) -> DataFrame:
     """Exactly the given columns under fixed names, so that extra columns of the input can't clash."""
     return df.select(*((F.col(f"`{c}`") if isinstance(c, str) else c).alias(name) for name, c in columns.items()))
+
+
+def small(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most_rows`` rows, which is counted; otherwise as it is."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
