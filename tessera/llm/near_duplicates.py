@@ -86,9 +86,9 @@ def representative_links(sets: UnitSets, threshold: float) -> tuple[DataFrame, D
     """
     records = sets.banded()
     reps = records.groupBy("fp").agg(F.min_by(F.struct("id", "bands"), "id").alias("r"))
-    banded = reps.select(F.col("r.id").alias("rep"), F.posexplode("r.bands").alias("band", "key"))
-    a, b = (banded.select(F.col("rep").alias(f"rep_{x}"), "band", "key") for x in "ab")
-    candidates = a.join(b, ["band", "key"]).where("rep_a < rep_b").select("rep_a", "rep_b").distinct()
+    banded = reps.select(F.col("r.id").alias("rep"), F.explode("r.bands").alias("key"))
+    a, b = (banded.select(F.col("rep").alias(f"rep_{x}"), "key") for x in "ab")
+    candidates = a.join(b, "key").where("rep_a < rep_b").select("rep_a", "rep_b").distinct()
     units = sets.units()
     left = candidates.join(units.withColumnsRenamed({"id": "rep_a", "units": "ua"}), "rep_a")
     both = left.join(units.withColumnsRenamed({"id": "rep_b", "units": "ub"}), "rep_b")

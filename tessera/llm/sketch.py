@@ -48,10 +48,10 @@ def sketch(elements: np.ndarray, counts: np.ndarray, t: int, salt: int = 1) -> n
 
 
 def band_keys(coordinates: np.ndarray, rows: int) -> np.ndarray:
-    """A signed 64-bit key for each band of ``rows`` coordinates."""
+    """A signed 64-bit key for each band of ``rows`` coordinates; the number of the band goes into it."""
     n, t = coordinates.shape
     bands = coordinates[:, : t // rows * rows].reshape(n, t // rows, rows)
-    key = np.zeros(bands.shape[:2], np.uint64)
+    key = np.broadcast_to(seeds(t // rows, 13), bands.shape[:2])
     for i, s in enumerate(seeds(rows, 11) | U64(1)):
         key = mix64((key ^ bands[:, :, i]) * s)
     return key.view(np.int64)
