@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from .functions import paths
 from .functions.text import chunks as cut
@@ -137,7 +138,7 @@ class Index:
 
         names = [c for c in passages.columns if c != "embedding"]
         todo = passages.where("embedding is null").drop("embedding")
-        schema = todo.schema.add("embedding", "array<float>")
+        schema = StructType([*todo.schema.fields, StructField("embedding", ArrayType(FloatType()))])
         return passages.where("embedding is not null").select(*names, "embedding").unionByName(todo.mapInArrow(run, schema))
 
     def update(self, roots: list[str], *, names_only: bool = False, max_files: int = 0, excluded: tuple[str, ...] = (), devices: tuple[int, ...] | None = None) -> dict:

@@ -196,7 +196,7 @@ SQL = {
     "resume_points": COMMON + "select c.file_id, c.content_sig as source_sig, 2 as next_ordinal, count(distinct p.ordinal) filter (p.ordinal < 2) as stored from catalog c left join passages p on p.file_id = c.file_id where c.file_id % 7 = 0 group by c.file_id, c.content_sig",
     "metadata_upgrade": _DEVICE + " select file_id, path, coalesce(source_device, device) as source_device from catalog left join known using (root)",
     "metadata_upgrade_counts": _DEVICE + " select count(*) filter (source_device is null) as checked, count(*) filter (source_device is null and device is not null) as updated, count(*) filter (source_device is null and device is null) as unavailable from catalog left join known using (root)",
-    "rotating_sample": COMMON + "select file_id, path from catalog where file_id > 250 order by file_id limit 6",
+    "rotating_sample": COMMON + "select file_id, path from catalog where file_id > 250 or (select max(file_id) from catalog) <= 250 order by file_id limit 6",
     "rotating_sample_wrapped": COMMON + "select file_id, path from catalog order by file_id limit 6",
     "storage_estimate": COMMON + "select sum((4 * strlen(coalesce(text, '')) + 4096) * 4) as estimated_bytes from passages",
     "content_overlap": _WALKED + """, a as (select distinct content_hash as h from catalog where content_hash is not null), b as (select distinct content_hash as h from walked where content_hash is not null)

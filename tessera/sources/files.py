@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import paths
 
@@ -165,11 +166,7 @@ def texts(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string()), pa.array(digest, pa.string()), pa.array(error, pa.string())], names=[*batch.schema.names, "text", "content_hash", "error"])
 
     rows = files.drop("text", "content_hash", "error")
-    from pyspark.sql.types import StringType
-
-    schema = rows.schema
-    for name in ("text", "content_hash", "error"):
-        schema = schema.add(name, StringType())
+    schema = StructType([*rows.schema.fields, *(StructField(n, StringType()) for n in ("text", "content_hash", "error"))])
     return rows.mapInArrow(run, schema)
 
 

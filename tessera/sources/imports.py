@@ -13,8 +13,15 @@ from pyspark.sql import types as T
 from ..functions import vectors
 
 SCOPE_NAME = re.compile(r"[a-z][a-z0-9_-]{0,31}")
-FILES = T.StructType.fromDDL("file_id long, path string, root string, kind string, mime string, size long, mtime double, content_sig string, indexed_at double, extractor string, content_hash string, source_device long")
-CHUNKS = T.StructType.fromDDL("chunk_id long, file_id long, ordinal int, text string, embedding array<float>")
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "vector": T.ArrayType(T.FloatType())}
+
+
+def _schema(text: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (x.split() for x in text.split(", "))])
+
+
+FILES = _schema("file_id long, path string, root string, kind string, mime string, size long, mtime double, content_sig string, indexed_at double, extractor string, content_hash string, source_device long")
+CHUNKS = _schema("chunk_id long, file_id long, ordinal int, text string, embedding vector")
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
