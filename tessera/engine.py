@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 from .functions import paths
 from .functions.text import chunks as cut
 from .operators import catalog, fusion, ingest, lexical, metrics, semantic
-from .runtime import stage
+from .runtime import ship, stage
 from .sources import files as sources
 from .sources.imports import CHUNKS, FILES, admitted
 from .sources.store import Store
@@ -104,6 +104,7 @@ class Index:
     scopes: dict = field(default_factory=lambda: {"version": 1, "collections": {}})
 
     def __post_init__(self) -> None:
+        ship(self.spark)
         self.store = Store(self.spark, self.root)
         self.encoder = self.encoder or HashEncoder(self.dim)
 

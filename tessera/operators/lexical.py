@@ -86,8 +86,9 @@ def best_of_files(hits: DataFrame, passages: DataFrame, files: DataFrame, pool:
     """
     owner = passages.select("chunk_id", "file_id").where("file_id is not null")
     kept = files.where(~paths.is_junk(F.col("path"))).select("file_id", "path", "kind", "mtime", "mime")
-    rows = hits.select(group, "chunk_id", "score").join(owner, "chunk_id").join(kept, "file_id")
-    best = Window.partitionBy(group, "path").orderBy(F.desc("score"), "chunk_id")
+    # A path has one file_id, so the best passage of the file_id is that of the path; numbers sort faster than paths.
+    best = Window.partitionBy(group, "file_id").orderBy(F.desc("score"), "chunk_id")
     order = Window.partitionBy(group).orderBy(F.desc("score"), "path")
-    rows = rows.withColumn("nth", F.row_number().over(best)).where("nth = 1").withColumn("rk", F.row_number().over(order))
+    rows = hits.select(group, "chunk_id", "score").join(owner, "chunk_id").withColumn("nth", F.row_number().over(best)).where("nth = 1")
+    rows = rows.join(kept, "file_id").withColumn("rk", F.row_number().over(order))
     return rows.where(F.col("rk") <= pool).select(group, "chunk_id", "path", "kind", "mtime", "mime", "score", "rk")
