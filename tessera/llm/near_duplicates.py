@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import only, stage
 from . import hashing
+from .groups import classes
 from .sketch import band_keys, sketch
 
 _UNITS, _BANDS = "id long, fp binary, low array<int>, high array<smallint>", "id long, fp binary, bands array<bigint>"
@@ -57,6 +58,7 @@ class UnitSets:
     def __init__(self, df: DataFrame, id_col: str, text_col: str, *, unit: str, size: int, bands: int, rows: int):
         self.src = only(df, id=F.col(f"`{id_col}`").cast("long"), text=text_col).where("id is not null and text is not null")
         self.unit, self.size, self.bands, self.rows = unit, size, bands, rows
+        self.records = self._banded()
 
     def units(self) -> DataFrame:
         """``id, fp, low, high``, computed anew by each action: cheaper than keeping them, as they don't compress.
@@ -75,7 +77,7 @@ class UnitSets:
 
         return self.src.mapInArrow(run, _UNITS)
 
-    def banded(self) -> DataFrame:
+    def _banded(self) -> DataFrame:
         """``id, fp, bands``, written to the shared folder; fp identifies the set."""
         unit, size, bands, rows = self.unit, self.size, self.bands, self.rows
 
@@ -99,7 +101,7 @@ def class_links(sets: UnitSets, threshold: float) -> tuple[DataFrame, DataFrame]
     links: ``id_a, fp_a, id_b, fp_b``, the least ids of the two classes and
     their digests; copies: ``fp, id``.
     """
-    records = sets.banded()
+    records = sets.records
     reps = records.groupBy("fp").agg(F.min_by(F.struct("id", "bands"), "id").alias("r"))
     banded = reps.select(F.col("r.id").alias("rep"), F.explode("r.bands").alias("key"))
     a, b = (banded.select(F.col("rep").alias(f"id_{x}"), "key") for x in "ab")
@@ -134,3 +136,26 @@ def similar_pairs(df: DataFrame, id_col: str, text_col: str, *, threshold: float
     within = copies.withColumnRenamed("id", "x").join(copies.withColumnRenamed("id", "y"), "fp").select("x", "y")
     pairs = across.unionByName(within).where("x <> y")
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def similar_groups(df: DataFrame, id_col: str, text_col: str, *, threshold: float = 0.8, unit: str = "word", size: int = 5, bands: int = 24, rows: int = 3) -> DataFrame:
+    """``id, class_id, copies, links`` of every record that has a unit: the class of records linked by similarity.
+
+    ``class_id`` is the least id of the class, ``copies`` the number of records
+    with the same set of units (the record itself included), ``links`` the
+    number of other such sets that are similar to its own.  Copies and their
+    pairs are never spelled out, so a text that a third of all records share
+    costs one representative.  What doesn't count is as for similar_pairs; an
+    empty table gives no rows.
+    """
+    sets = UnitSets(df, id_col, text_col, unit=unit, size=size, bands=bands, rows=rows)
+    links, _ = class_links(sets, threshold)
+    links = stage(links, "class-links")
+    linked = classes(links).withColumnsRenamed({"id": "rep", "class_id": "linked"})
+    ends = links.select(F.col("id_a").alias("rep")).unionByName(links.select(F.col("id_b").alias("rep")))
+    degree = ends.groupBy("rep").agg(F.count("*").alias("links"))
+    records = sets.records.select("id", "fp")
+    per_class = records.groupBy("fp").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"))
+    per_class = per_class.join(linked, "rep", "left").join(degree, "rep", "left")
+    per_class = per_class.select("fp", F.coalesce("linked", "rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return records.join(per_class, "fp").select("id", "class_id", "copies", "links").distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import read
 from .leaks import Rule, leaks
-from .near_duplicates import similar_pairs
+from .near_duplicates import similar_groups, similar_pairs
 from .nearest import nearest
 from .packing import training_windows
 from .quality import statistics
@@ -27,6 +27,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return tag(chunks, "chunk").unionByName(tag(files, "file"))
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The class of near-duplicate passages of every passage, without spelling the pairs of copies out."""
+    return similar_groups(read(spark, d, "chunks"), "chunk_id", "text", **CHUNKS).withColumnRenamed("id", "chunk_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of every passage over 1,200 characters."""
     return pieces(read(spark, d, "chunks"), "chunk_id", "text").select(F.col("id").alias("chunk_id"), "piece", "start_char", "end_char")
@@ -88,7 +93,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return statistics(read(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pieces, p4_found, p5_found, p5_nearest, p6_windows, p7_found, p7_near, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_pieces, p4_found, p5_found, p5_nearest, p6_windows, p7_found, p7_near, p8_found, p8_statistics)}
 
 SQL = {
     "p3_found": r"""

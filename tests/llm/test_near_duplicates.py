@@ -5,7 +5,8 @@ import pytest
 from conftest import rows
 
 from tessera.llm import hashing
-from tessera.llm.near_duplicates import similar_pairs
+from tessera.llm.groups import classes
+from tessera.llm.near_duplicates import similar_groups, similar_pairs
 from tessera.llm.sketch import EMPTY, sketch
 
 
@@ -94,3 +95,42 @@ def test_a_very_long_text(spark):
     words = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[100:])), (3, " ".join(words[: len(words) // 2]))], "k long, t string")
     assert rows(similar_pairs(df, "k", "t")) == [(1, 2)]
+
+
+def components(pairs, ids):
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "random", "ring"])
+def test_classes_equal_union_find(spark, shape):
+    rng = random.Random(3)
+    ids = list(range(0, 900, 3))
+    rng.shuffle(ids)
+    pairs = {"chain": list(zip(ids[:200], ids[1:201], strict=True)), "star": [(ids[0], x) for x in ids[1:]], "ring": list(zip(ids, ids[1:] + ids[:1], strict=True)), "random": [tuple(rng.sample(ids, 2)) for _ in range(180)]}[shape]
+    want = components(pairs, {x for p in pairs for x in p})
+    got = classes(spark.createDataFrame([*pairs, (5, 5)], "id_a long, id_b long"))
+    assert rows(got) == sorted(want.items(), key=repr)
+
+
+def test_classes_of_nothing(spark):
+    assert classes(spark.createDataFrame([], "id_a long, id_b long")).count() == 0
+
+
+def test_groups(spark):
+    records = collection(8)
+    df = spark.createDataFrame([*records, records[0], (None, "a b c d e f"), (9999, "short")], "k long, t string")
+    got = {r.id: r for r in similar_groups(df, "k", "t", threshold=0.6, size=3).collect()}
+    want = components(jaccard_pairs(records, 0.6, 3, "word"), [i for i, _ in records])
+    assert sum(got[i].class_id == c for i, c in want.items()) >= 0.99 * len(want) and len(got) == len(records)
+    hot = [i for i, _ in records][-10:]
+    assert {got[i].copies for i in hot} == {len(records) // 3} and got[hot[0]].class_id == want[hot[0]]
