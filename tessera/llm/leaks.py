@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import only
-from .hashing import U64, WORD, TokenHashes, mix64, seeds
+from .hashing import U64, WORD, TokenHashes, mix64, runs, seeds
 
 _UNSEEN = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u2060-\u2064\ufeff]")
 _BROKEN = re.compile(r"[-\u2010\u2011][^\S\n\r\u2028\u2029]*[\n\r\u2028\u2029]\s*")
@@ -59,6 +59,11 @@ class Rule:
     sampled: int = 8
     recall: float = 0.99
 
+    @property
+    def intact(self) -> int:
+        """Words in a row that a window must share with an item: so many edits leave one of edits + 1 parts whole."""
+        return max(1, (self.window - self.edits) // (self.edits + 1))
+
     @property
     def context(self) -> int:
         """Words on either side of a window that decide about a run."""
@@ -167,6 +172,7 @@ class _Index:
         starts, self.owner = _starts(lengths, rule.window, 1)
         self.at = starts - (np.cumsum(lengths) - lengths)[self.owner] if keep else starts
         x = windows(flat, starts, rule.window)
+        self.intact = np.unique(runs(flat, lengths, rule.intact)[0])
         self.tables = []
         for r in range(repetitions(x, rule)):
             k = keys(x, rule, r)
@@ -179,7 +185,13 @@ class _Index:
         starts, owner = _starts(lengths, rule.window, rule.stride)
         unknown = np.concatenate([[0], np.cumsum(symbols == UNKNOWN)])
         # A window with more words that no item has than edits are allowed can't be a leak.
-        good = np.flatnonzero(unknown[starts + rule.window] - unknown[starts] <= rule.edits)
+        good = unknown[starts + rule.window] - unknown[starts] <= rule.edits
+        if rule.edits and len(starts):
+            # Nor can one without any run of words that some item has.
+            whole = np.isin(runs(symbols, np.array([len(symbols)]), rule.intact)[0], self.intact)
+            shared = np.concatenate([[0], np.cumsum(whole)])
+            good &= shared[starts + rule.window - rule.intact + 1] > shared[starts]
+        good = np.flatnonzero(good)
         begins = np.cumsum(lengths) - lengths
         for a in range(0, len(good), 200_000):
             part = good[a : a + 200_000]
