@@ -38,6 +38,7 @@ class Run:
         for batch in self.batches:
             if batch.num_rows:
                 columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in _KEY]
+                self._check(columns)
                 change = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])) + 1
                 self.starts = np.append(change, batch.num_rows)
                 self.group_of = np.repeat(np.arange(len(self.starts)), np.diff(np.concatenate([[0], self.starts]))).tolist()
@@ -49,6 +50,16 @@ class Run:
         self.size, self.head = 0, _LAST
         return False
 
+    @staticmethod
+    def _check(columns: list[np.ndarray]) -> None:
+        """A run that isn't sorted would be merged wrongly; better no result."""
+        later, same = np.zeros(len(columns[0]) - 1, bool), np.ones(len(columns[0]) - 1, bool)
+        for c in columns:
+            later |= same & (c[1:] > c[:-1])
+            same &= c[1:] == c[:-1]
+        if not (later | same).all():
+            raise ValueError("a stored run isn't sorted")
+
     def next(self) -> None:
         self.at += 1
         if self.at < self.size:
@@ -121,7 +132,7 @@ class LoserTree:
 
 def merge_bucket(path: str, n: int) -> Iterator[tuple[tuple, int]]:
     """The first n items of every group in the runs stored under one bucket's path."""
-    fs, root = pyarrow.fs.FileSystem.from_uri(path)
+    fs, root = pyarrow.fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
     found = fs.get_file_info(pyarrow.fs.FileSelector(root, allow_not_found=True, recursive=True))
     files: dict[str, list[str]] = {}
     for info in found:
