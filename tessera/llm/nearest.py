@@ -1,10 +1,10 @@
 """The k most similar vectors of every vector, by a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample (``sample_rows``); every row is indexed.
-A search walks the tree best bin first: a priority queue holds the nodes not
-yet opened by their cosine to the query, and leaves are visited until the
-calibrated number is reached.  The number of leaves is calibrated on held-out
-sample vectors against their exact neighbours in the sample.  Queries then
+The tree is fitted on a bounded sample (``sample_rows``); every row is indexed in the leaf of its nearest
+centroid.  A search walks the tree best bin first: a priority queue holds nodes
+and leaves by their cosine to the query, and leaves are visited down to a margin
+below the best one.  The margin is widened until the wanted recall is reached on
+the sample, against the exact neighbours in it.  Queries then
 travel to the leaves they visit; no query meets the whole collection.
 """
 
@@ -34,38 +34,57 @@ class Tree:
     leaves: np.ndarray
     first: np.ndarray  # number of the first leaf of each top node, and the end
 
-    def visits(self, queries: np.ndarray, leaves: int, tops: int) -> np.ndarray:
-        """The numbers of the ``leaves`` best leaves of every query, best first, filled with -1.
+    def home(self, vectors: np.ndarray) -> np.ndarray:
+        """The leaf with the nearest centroid of every vector, in which it is indexed."""
+        return np.concatenate([(vectors[a : a + 2000] @ self.leaves.T).argmax(axis=1) for a in range(0, len(vectors), 2000)] or [np.empty(0, np.int64)])
 
-        Best bin first: the queue begins with the top nodes; opening one puts its
-        leaves into the queue, and a leaf that comes out is visited.  At most
-        ``tops`` top nodes are opened.
+    def visits(self, queries: np.ndarray, opened: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
+        """The leaves that every query visits, as rows and numbers of leaves.
+
+        Best bin first: the queue begins with the ``opened`` nearest top nodes;
+        a node that comes out puts its leaves into the queue, a leaf that comes
+        out is visited unless its cosine is more than ``margin`` below that of
+        the best leaf seen.
         """
-        out = np.full((len(queries), leaves), -1, np.int32)
-        near_top, near_leaf = queries @ self.tops.T, queries @ self.leaves.T
-        order = np.argsort(-near_top, axis=1)[:, :tops]
-        if leaves == 1 and tops == 1:
-            for t in np.unique(order[:, 0]):
-                at = np.flatnonzero(order[:, 0] == t)
-                out[at, 0] = self.first[t] + near_leaf[at, self.first[t] : self.first[t + 1]].argmax(axis=1)
-            return out
-        for q in range(len(queries)):
-            queue = [(-near_top[q, t], -1 - t) for t in order[q]]
-            heapq.heapify(queue)
-            n, scores = 0, near_leaf[q]
-            while queue and n < leaves:
-                _, node = heapq.heappop(queue)
-                if node >= 0:
-                    out[q, n] = node
-                    n += 1
-                    continue
-                lo, hi = self.first[-1 - node], self.first[-node]
-                part = scores[lo:hi]
-                # Of one node no more leaves than are still wanted can be visited.
-                best = np.argpartition(-part, leaves - 1)[:leaves] if len(part) > leaves else np.arange(len(part))
-                for i in best:
-                    heapq.heappush(queue, (-part[i], lo + int(i)))
-        return out
+        rows: list[int] = []
+        leaves: list[int] = []
+        bounds = self.first.tolist()
+        for a in range(0, len(queries), 1000):
+            part = queries[a : a + 1000]
+            near_top, near_leaf = part @ self.tops.T, part @ self.leaves.T
+            order = np.argsort(-near_top, axis=1)[:, :opened]
+            for q in range(len(part)):
+                scores = near_leaf[q]
+                queue = [(-near_top[q, t], -1 - int(t)) for t in order[q]]
+                heapq.heapify(queue)
+                best = -2.0
+                while queue:
+                    cost, node = heapq.heappop(queue)
+                    if node >= 0:
+                        if -cost >= best - margin:
+                            rows.append(a + q)
+                            leaves.append(node)
+                        continue
+                    lo, hi = bounds[-1 - node], bounds[-node]
+                    inside = scores[lo:hi]
+                    best = max(best, float(inside.max()))
+                    for i in np.flatnonzero(inside >= best - margin):
+                        heapq.heappush(queue, (-float(inside[i]), lo + int(i)))
+        return np.array(rows, np.int64), np.array(leaves, np.int64)
+
+    def gaps(self, queries: np.ndarray, wanted: np.ndarray, opened: int) -> np.ndarray:
+        """By how much the wanted leaf of each query is farther than its best leaf, among the leaves of the opened nodes."""
+        parent = np.repeat(np.arange(len(self.tops)), np.diff(self.first))
+        out = []
+        for a in range(0, len(queries), 2000):
+            part, leaf = queries[a : a + 2000], wanted[a : a + 2000]
+            near = part @ self.leaves.T
+            order = np.argsort(-(part @ self.tops.T), axis=1)[:, :opened]
+            own = np.zeros((len(part), len(self.tops)), bool)
+            np.put_along_axis(own, order, True, axis=1)
+            near[~own[:, parent]] = -np.inf
+            out.append(near.max(axis=1) - near[np.arange(len(part)), leaf])
+        return np.concatenate(out)
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -94,33 +113,42 @@ def fit(sample: np.ndarray, leaves: int, seed: int = 42) -> Tree:
     return Tree(tops, np.concatenate(parts).astype(np.float32), np.array(first))
 
 
-def calibrate(tree: Tree, sample: np.ndarray, k: int, least: float, recall: float, queries: int = 500) -> tuple[int, int, float]:
-    """The fewest leaves (and the top nodes opened for them) that reach ``recall`` on the sample.
+def calibrate(tree: Tree, sample: np.ndarray, k: int, least: float, recall: float, *, both_ways: bool = False, queries: int = 500) -> tuple[int, float, float]:
+    """How many top nodes to open and the margin for the leaves, for ``recall`` on the sample, and the recall reached.
 
-    Counts the neighbours among the k most similar whose cosine is ``least`` or more.
+    Counts the neighbours among the k most similar whose cosine is ``least`` or
+    more; with ``both_ways`` also those that would find the query themselves.
     """
-    step = max(1, len(sample) // queries)
-    rows = np.arange(0, len(sample), step)
-    cosines = sample[rows] @ sample.T
-    cosines[np.arange(len(rows)), rows] = -2
     k = min(k, len(sample) - 1)
     if k < 1:
-        return 1, 1, 1.0
-    near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-    wanted = np.take_along_axis(cosines, near, 1) >= least
-    home = tree.visits(sample, 1, 1)[:, 0]
-    most = len(tree.leaves)
-    if not wanted.any():
-        return min(2, most), min(2, len(tree.tops)), 1.0
-    leaves = 1
+        return 1, 0.0, 1.0
+    # Neighbours above a bound may be rare, so all of the sample asks for them; else some queries tell enough.
+    step = 1 if least > -1 else max(1, len(sample) // queries)
+    rows = np.arange(0, len(sample), step)
+    parts = []
+    for a in range(0, len(rows), 1000):
+        own = rows[a : a + 1000]
+        cosines = sample[own] @ sample.T
+        cosines[np.arange(len(own)), own] = -2
+        asking = np.flatnonzero((cosines >= least).any(axis=1))
+        cosines = cosines[asking]
+        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        wanted = np.take_along_axis(cosines, near, 1) >= least
+        parts.append(np.column_stack([np.repeat(own[asking], k)[wanted.ravel()], near[wanted]]))
+    ends = np.concatenate(parts)
+    if not len(ends):
+        return min(4, len(tree.tops)), 0.1, 1.0
+    home = tree.home(sample)
+    opened = min(2, len(tree.tops))
     while True:
-        tops = min(len(tree.tops), max(2, math.ceil(leaves * len(tree.tops) / most) + min(8, leaves)))
-        seen = tree.visits(sample[rows], leaves, tops)
-        hit = (home[near][:, :, None] == seen[:, None, :]).any(axis=2) & wanted
-        reached = hit.sum() / wanted.sum()
-        if reached >= recall or leaves >= most:
-            return leaves, tops, float(reached)
-        leaves = min(most, max(leaves + 1, math.ceil(leaves * 1.3)))
+        gap = tree.gaps(sample[ends[:, 0]], home[ends[:, 1]], opened)
+        if both_ways:
+            gap = np.minimum(gap, tree.gaps(sample[ends[:, 1]], home[ends[:, 0]], opened))
+        # The nodes that are opened may lose half of what may be lost.
+        if np.isfinite(gap).mean() >= (1 + recall) / 2 or opened == len(tree.tops):
+            margin = float(np.quantile(gap, recall, method="higher")) + 1e-6
+            return opened, margin, float((gap <= margin).mean())
+        opened = min(len(tree.tops), max(opened + 1, math.ceil(opened * 1.3)))
 
 
 def usable_vectors(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
@@ -143,8 +171,11 @@ def _units(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _search(members: pa.Table, queries: pa.Table, dim: int, k: int, least: float) -> pa.Table:
-    """The k nearest members of each query, by cosine in double precision rounded to 6 decimals, then by id."""
+def _search(members: pa.Table, queries: pa.Table, dim: int, k: int, least: float, both_ways: bool) -> pa.Table:
+    """The k nearest members of each query, by cosine in double precision rounded to 6 decimals, then by id.
+
+    With ``both_ways`` each pair comes out from both ends: whoever is found has found its finder, too.
+    """
     ids, first = np.unique(members.column("id").to_numpy(), return_index=True)
     m = _units(members.column("vec"), dim)[first]
     q_ids, qm = queries.column("id").to_numpy(), _units(queries.column("vec"), dim)
@@ -169,6 +200,8 @@ def _search(members: pa.Table, queries: pa.Table, dim: int, k: int, least: float
         good = np.isfinite(np.take_along_axis(key, top, 1)) & (cos >= least * 1e6 - 0.5)
         kept.append((np.repeat(q_ids[a + rows], top.shape[1])[good.ravel()], ids[top.ravel()][good.ravel()], cos.ravel()[good.ravel()] / 1e6))
     parts = [np.concatenate(x) if kept else np.empty(0, t) for x, t in zip(zip(*kept, strict=True) if kept else ((), (), ()), (np.int64, np.int64, np.float64), strict=True)]
+    if both_ways:
+        parts = [np.concatenate([parts[0], parts[1]]), np.concatenate([parts[1], parts[0]]), np.concatenate([parts[2], parts[2]])]
     return pa.table({"id": pa.array(parts[0], pa.int64()), "near": pa.array(parts[1], pa.int64()), "cosine": pa.array(parts[2], pa.float64())})
 
 
@@ -195,25 +228,25 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, *, dim: int = 64, k: in
     sample = index.select("vec") if rows <= sample_rows else index.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(rows)) < sample_rows).select("vec").limit(2 * sample_rows)
     unit = _units(sample.toArrow().column(0), dim).astype(np.float32)
     tree = fit(unit, max(1, min(rows // leaf_rows, len(unit) // 8)))
-    leaves, tops, _ = calibrate(tree, unit, k, least, recall)
+    opened, margin, _ = calibrate(tree, unit, k, least, recall, both_ways=every == 1 and recall < 1)
     chosen = spark.sparkContext.broadcast(tree)
 
-    def assign(count: int, opened: int):
+    def assign(route: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                seen = chosen.value.visits(_units(batch.column("vec"), dim).astype(np.float32), count, opened)
-                at, nth = np.nonzero(seen >= 0)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), batch.column("vec").take(pa.array(at)), pa.array(seen[at, nth])], names=["id", "vec", "leaf"])
+                units = _units(batch.column("vec"), dim).astype(np.float32)
+                at, leaf = chosen.value.visits(units, opened, margin) if route else (np.arange(len(units)), chosen.value.home(units))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), batch.column("vec").take(pa.array(at)), pa.array(leaf.astype(np.int32))], names=["id", "vec", "leaf"])
 
         return run
 
     base = index.select("id", "vec")
     asked = base if every == 1 else base.where(F.col("id") % every == 0)
-    homed = base.mapInArrow(assign(1, 1), "id long, vec array<float>, leaf int")
-    routed = asked.mapInArrow(assign(leaves, tops), "id long, vec array<float>, leaf int")
+    homed = base.mapInArrow(assign(False), "id long, vec array<float>, leaf int")
+    routed = asked.mapInArrow(assign(True), "id long, vec array<float>, leaf int")
     # A leaf with many rows is cut into blocks on both sides, so that no task holds an unbounded group.
     # The sample tells the shares of the leaves; there are no more of them than the sample has rows.
-    share = np.bincount(tree.visits(unit, 1, 1)[:, 0], minlength=len(tree.leaves)) / len(unit)
+    share = np.bincount(tree.home(unit), minlength=len(tree.leaves)) / len(unit)
     blocks = np.maximum(1, np.ceil(2 * share * rows / BLOCK_ROWS)).astype(int)
     cut = F.broadcast(spark.createDataFrame([(i, int(b)) for i, b in enumerate(blocks) if b > 1], "leaf int, n int"))
 
@@ -224,7 +257,9 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, *, dim: int = 64, k: in
 
     members, queries = blocked(homed, "mb", "qb"), blocked(routed, "qb", "mb")
     keys = ["leaf", "mb", "qb"]
-    found = members.groupBy(keys).cogroup(queries.groupBy(keys)).applyInArrow(lambda m, q: _search(m, q, dim, k, least), "id long, near long, cosine double")
+    found = members.groupBy(keys).cogroup(queries.groupBy(keys)).applyInArrow(lambda m, q: _search(m, q, dim, k, least, every == 1), "id long, near long, cosine double")
+    if every == 1:
+        found = found.distinct()
     # The other ids of a class of copies: their nearest are the first of the class.
     heads = index.groupBy("fp").agg(F.max("nth").alias("n"), F.sort_array(F.collect_list("id")).alias("heads")).where(F.col("n") > k)
     rest = usable.select("id", "fp").join(heads, "fp").where(~F.array_contains("heads", F.col("id")) & (F.col("id") % every == 0))

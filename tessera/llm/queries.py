@@ -56,7 +56,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of passages with cosine 0.9 or more of which one is among the five most similar of the other."""
-    near = nearest(read(spark, d, "chunks"), "chunk_id", "embedding", k=5, least=0.9, recall=0.99)
+    near = nearest(read(spark, d, "chunks"), "chunk_id", "embedding", k=5, least=0.9, recall=0.999)
     return near.select(F.least("id", "near").alias("chunk_id_a"), F.greatest("id", "near").alias("chunk_id_b")).distinct()
 
 

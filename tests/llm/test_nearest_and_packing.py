@@ -65,8 +65,15 @@ def test_calibration_reaches_its_recall():
     x = rng.normal(size=(3000, 16)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     tree = fit(x, 40)
-    leaves, tops, reached = calibrate(tree, x, 5, -1.0, 0.9)
-    assert reached >= 0.9 and leaves <= len(tree.leaves) and tops <= len(tree.tops)
+    opened, margin, reached = calibrate(tree, x, 5, -1.0, 0.9)
+    assert reached >= 0.9 and opened <= len(tree.tops)
+    home, (rows_, leaves) = tree.home(x), tree.visits(x, opened, margin)
+    assert set(zip(range(300), home[:300].tolist(), strict=True)) <= set(zip(*(v.tolist() for v in tree.visits(x[:300], len(tree.tops), 0.0)), strict=True))
+    cos = x[:100] @ x.T
+    cos[np.arange(100), np.arange(100)] = -2
+    near = np.argsort(-cos, axis=1)[:, :5]
+    seen = set(zip(rows_.tolist(), leaves.tolist(), strict=True))
+    assert np.mean([(q, home[n]) in seen for q in range(100) for n in near[q]]) >= 0.85
 
 
 def test_pack_keeps_all_limits():
