@@ -297,7 +297,7 @@ def counts(df: DataFrame, id_col: str, text_col: str, rules: Rules = Rules(), *,
 
     def joined(pdf: pd.DataFrame) -> Summary:
         out: Summary | None = None
-        for x in pdf.drop_duplicates("chunk").sort_values("chunk")["summary"]:
+        for x in pdf.sort_values("chunk")["summary"]:
             s = Summary.unpack(json.loads(x))
             out = s if out is None else out.join(s, rules)
         return out
@@ -309,7 +309,7 @@ def counts(df: DataFrame, id_col: str, text_col: str, rules: Rules = Rules(), *,
         return pd.DataFrame([[pdf["id"].iloc[0], *joined(pdf).total(rules).tolist()]], columns=["id", *COUNTS])
 
     small = src.where(F.length("text") <= chunk_chars).mapInArrow(whole, _COUNTED)
-    parts = src.where(F.length("text") > chunk_chars).mapInArrow(cut, "id long, chunk long, text string").repartition("id", "chunk")
+    parts = src.where(F.length("text") > chunk_chars).mapInArrow(cut, "id long, chunk long, text string").dropDuplicates(["id", "chunk"])
     parts = parts.mapInArrow(summaries, "id long, chunk long, summary string")
     parts = parts.groupBy("id", (F.col("chunk") / fan_in).cast("long")).applyInPandas(lambda key, pdf: lower(pdf), "id long, chunk long, summary string")
     return small.unionByName(parts.groupBy("id").applyInPandas(upper, _COUNTED))
