@@ -67,6 +67,7 @@ class Request:
     expansions: tuple[str, ...] = ()
     lexical_queries: tuple[str, ...] = ()
     semantic_queries: tuple[str, ...] = ()
+    early: bool = False
     deep: bool = False
     rerank: bool = False
     rerank_limit: int = 36
@@ -254,16 +255,36 @@ class Index:
         out = base.join(new, ["qid", "path"])
         return out.withColumn("chunk_id", F.col("cid")).withColumn("place", F.col("np")).withColumn("score", F.col("ranking_score")).drop("cid", "np", "ranking_score")
 
-    def stream(self, request: Request, *, cancelled: Callable[[], bool] = lambda: False) -> Iterator[dict]:
+    def stream(self, request: Request, *, cancelled: Callable[[], bool] = lambda: False, tag: str | None = None) -> Iterator[dict]:
+        """Events with ever better results, as _stages gives them.
+
+        A search whose running jobs were ended by its tag because it was
+        cancelled keeps the results that it had.
+        """
+        tag = tag or f"search-{uuid.uuid4().hex}"
+        last: dict = {"sequence": 0, "results": [], "elapsed_seconds": 0.0}
+        self.spark.sparkContext.addJobTag(tag)
+        try:
+            for e in self._stages(request, cancelled):
+                last = e
+                yield e
+        except Exception:
+            if not cancelled():
+                raise
+            none = {"added": [], "updated": [], "removed": [], "order": [r["result_id"] for r in last["results"]]}
+            yield {**last, "sequence": last["sequence"] + 1, "stage": "done", "complete": False, "reason": "cancelled", "changes": none}
+        finally:
+            self.spark.sparkContext.removeJobTag(tag)
+
+    def _stages(self, request: Request, cancelled: Callable[[], bool]) -> Iterator[dict]:
         """Events with ever better results: keyword, semantic, refined, deep, reranked, done.
 
         All stages read one version of the tables.  When the search is
         cancelled or its time is over, the last results stay and are said to be
-        incomplete; running jobs of the search are ended by their tag.
+        incomplete.
         """
         began, sequence, previous = time.time(), 0, {}
         results: list[dict] = []
-        tag = f"search-{uuid.uuid4().hex}"
         manifest = self.store.manifest()
         top = request.top_k
         pool = fusion.pool_size(max(top, request.rerank_limit if request.rerank else top))
@@ -296,54 +317,54 @@ class Index:
             numbered = df.withColumn("list_no", F.lit(first) + F.col("qid").cast("int")).withColumn("source", F.lit(source)).withColumn("qid", F.lit(0).cast("long"))
             return numbered.select("qid", "list_no", "source", "chunk_id", "path", "kind", "mtime", "mime", "rk")
 
-        self.spark.sparkContext.addJobTag(tag)
-        try:
-            wordings = request.variants("lexical")
-            queries = self.spark.createDataFrame([(i, w) for i, w in enumerate(wordings)], "qid long, text string")
-            if request.names_only:
-                hits = catalog.filename_hits(allowed, queries, limit=pool, require_all=request.require_all)
-                ranked = hits.withColumn("chunk_id", F.lit(None).cast("long")).withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy("path")))
-            else:
-                ranked = lexical.best_of_files(lexical.bm25(passages, queries, require_all=request.require_all), passages, allowed, pool)
-            words = stage(lists(ranked, 0, "keyword"), "keyword")
-            results = collect(fusion.dedup(fusion.fuse(words), files, top))
-            yield event("keyword")
-            if request.names_only or request.keyword_only or (reason := why()):
-                yield event("done", complete=request.names_only or request.keyword_only, reason=None if request.names_only or request.keyword_only else reason)
-                return
-            meant = request.variants("semantic")
-            q = np.asarray(self.encoder.text_vecs(meant), np.float64)
-            if q.shape != (len(meant), self.dim) or not np.isfinite(q).all():
-                raise ValueError("invalid_query_vectors")
-            vqs = self.spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "qid long, q array<double>")
-            ids = allowed.select("file_id")
-            exact = self._vectors(manifest).join(ids, "file_id", "left_semi")
-            scan = lambda rows: semantic.cosine_scan(rows, vqs, dim=self.dim, keep=pool, group="file_id")
-            best = lambda scores: lexical.best_of_files(scores, passages, allowed, pool)
-            matrix = self._matrix(manifest, ids)
-            scores = stage(scan(matrix if matrix is not None else exact), "semantic")
+        wordings = request.variants("lexical")
+        queries = self.spark.createDataFrame([(i, w) for i, w in enumerate(wordings)], "qid long, text string")
+        if request.names_only:
+            hits = catalog.filename_hits(allowed, queries, limit=pool, require_all=request.require_all)
+            ranked = hits.withColumn("chunk_id", F.lit(None).cast("long")).withColumn("rk", F.row_number().over(Window.partitionBy("qid").orderBy("path")))
+        else:
+            ranked = lexical.best_of_files(lexical.bm25(passages, queries, require_all=request.require_all), passages, allowed, pool)
+        words = stage(lists(ranked, 0, "keyword"), "keyword")
+        results = collect(fusion.dedup(fusion.fuse(words), files, top))
+        yield event("keyword")
+        if request.names_only or request.keyword_only or (reason := why()):
+            yield event("done", complete=request.names_only or request.keyword_only, reason=None if request.names_only or request.keyword_only else reason)
+            return
+        meant = request.variants("semantic")
+        q = np.asarray(self.encoder.text_vecs(meant), np.float64)
+        if q.shape != (len(meant), self.dim) or not np.isfinite(q).all():
+            raise ValueError("invalid_query_vectors")
+        vqs = self.spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "qid long, q array<double>")
+        ids = allowed.select("file_id")
+        exact = self._vectors(manifest).join(ids, "file_id", "left_semi")
+        scan = lambda rows: semantic.cosine_scan(rows, vqs, dim=self.dim, keep=pool, group="file_id")
+        best = lambda scores: lexical.best_of_files(scores, passages, allowed, pool)
+        if request.early and not why():
+            near = stage(lists(best(semantic.cell_candidates(exact, vqs, dim=self.dim, cells=256, probes=16, keep=max(500, 4 * pool))), len(wordings), "semantic"), "near")
+            results = collect(fusion.dedup(fusion.fuse(words.unionByName(near)), files, top))
+            yield event("candidates")
+        matrix = self._matrix(manifest, ids)
+        scores = stage(scan(matrix if matrix is not None else exact), "semantic")
+        near = stage(lists(best(scores), len(wordings), "semantic"), "near")
+        both = words.unionByName(near)
+        results = collect(fusion.dedup(fusion.fuse(both), files, top))
+        yield event("semantic")
+        if matrix is not None and not why():
+            scores = stage(semantic.refined(exact, vqs, both.select("chunk_id"), dim=self.dim, keep=pool, group="file_id"), "refined")
             near = stage(lists(best(scores), len(wordings), "semantic"), "near")
             both = words.unionByName(near)
             results = collect(fusion.dedup(fusion.fuse(both), files, top))
-            yield event("semantic")
-            if matrix is not None and not why():
-                scores = stage(semantic.refined(exact, vqs, both.select("chunk_id"), dim=self.dim, keep=pool, group="file_id"), "refined")
-                near = stage(lists(best(scores), len(wordings), "semantic"), "near")
-                both = words.unionByName(near)
-                results = collect(fusion.dedup(fusion.fuse(both), files, top))
-                yield event("refined")
-            if request.deep and not why():
-                scores = scores.unionByName(scan(exact)).distinct()
-                both = words.unionByName(stage(lists(best(scores), len(wordings), "semantic"), "near"))
-                results = collect(fusion.dedup(fusion.fuse(both), files, top))
-                yield event("deep")
-            if request.rerank and self.scorer and not why():
-                results = collect(self._reranked(request, fusion.fuse(both), both, files, passages))
-                yield event("reranked")
-            reason = why()
-            yield event("done", complete=reason is None, reason=reason)
-        finally:
-            self.spark.sparkContext.removeJobTag(tag)
+            yield event("refined")
+        if request.deep and not why():
+            scores = scores.unionByName(scan(exact)).distinct()
+            both = words.unionByName(stage(lists(best(scores), len(wordings), "semantic"), "near"))
+            results = collect(fusion.dedup(fusion.fuse(both), files, top))
+            yield event("deep")
+        if request.rerank and self.scorer and not why():
+            results = collect(self._reranked(request, fusion.fuse(both), both, files, passages))
+            yield event("reranked")
+        reason = why()
+        yield event("done", complete=reason is None, reason=reason)
 
     def search(self, request: Request) -> list[dict]:
         """The final results."""
@@ -364,7 +385,7 @@ class Index:
             state = "done"
             try:
                 self.store.write_text(f"{base}/state.json", json.dumps({"state": "running"}))
-                for e in self.stream(request, cancelled=lambda: self.store.exists(f"{base}/cancel")):
+                for e in self.stream(request, cancelled=lambda: self.store.exists(f"{base}/cancel"), tag=f"job-{job}"):
                     self.store.write_text(f"{base}/events/{e['sequence']:06d}.json", json.dumps(e) + "\n")
                     state = "cancelled" if e["reason"] == "cancelled" else "done"
             except Exception as x:  # noqa: BLE001  the job's state tells it
@@ -393,7 +414,9 @@ class Index:
         return {"state": state, "events": found, "next": after + len(found)}
 
     def cancel(self, job: str) -> None:
+        """Durable, also for a job of another driver; jobs that run on this one are ended at once."""
         self.store.write_text(f"{self._job(job)}/cancel", "1")
+        self.spark.sparkContext.cancelJobsWithTag(f"job-{job}")
 
     def job_events(self, job: str) -> DataFrame:
         """All events of a job as a table; an event that is cut off is left out."""

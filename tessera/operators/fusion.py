@@ -56,10 +56,12 @@ def dedup(fused: DataFrame, files: DataFrame, top_k: int | None, *, group: str =
 
 
 def copies(results: DataFrame, files: DataFrame, scopes: Iterable[dict] = (), *, group: str = "qid") -> DataFrame:
-    """Every copy of each result among ``files`` (the active filter applied, junk included), best first.
+    """Every copy of each result among ``files`` (the active filter applied, junk included), with ``is_canonical``.
 
-    ``copy_no`` is 1 for the canonical copy: by the least scope priority, then
-    the latest mtime, then the path.  A result without a hash is its own copy.
+    The canonical copy has the least scope priority, then the latest mtime,
+    then the first path; it is found by an aggregate and not by ranking, as one
+    hash may belong to a large share of all files.  A result without a hash is
+    its own copy.
     """
     scopes = list(scopes)
     known = files.select(F.col("path").alias("copy_path"), F.col("mtime").alias("copy_mtime"), F.col("source_device").alias("copy_device"), F.col("content_hash").alias("h"))
@@ -67,20 +69,22 @@ def copies(results: DataFrame, files: DataFrame, scopes: Iterable[dict] = (), *,
     alone = results.where("content_hash is null or content_hash = ''").join(known.withColumn("p", F.col("copy_path")), F.col("path") == F.col("p")).drop("p")
     rows = hashed.unionByName(alone).drop("h")
     rows = rows.withColumn("priority", paths.scope_priority(F.col("copy_path"), F.col("copy_device"), scopes)).withColumn("copy_scopes", paths.scope_names(F.col("copy_path"), F.col("copy_device"), scopes) if scopes else F.array().cast("array<string>"))
-    order = Window.partitionBy(group, "result_id").orderBy("priority", F.desc(F.coalesce("copy_mtime", F.lit(0.0))), "copy_path")
-    return rows.withColumn("copy_no", F.row_number().over(order))
+    best = canonical(rows, group=group).select(group, "result_id", F.col("path").alias("__best"))
+    return rows.join(best, [group, "result_id"]).withColumn("is_canonical", F.col("copy_path") == F.col("__best")).drop("__best")
+
+
+def canonical(copies: DataFrame, *, group: str = "qid") -> DataFrame:
+    """``<group>, result_id, path, mtime, priority, copies``: the canonical copy of each result, and how many there are."""
+    order = F.struct("priority", (-F.coalesce("copy_mtime", F.lit(0.0))).alias("age"), "copy_path", "copy_mtime")
+    best = copies.groupBy(group, "result_id").agg(F.min(order).alias("b"), F.count("*").alias("copies"))
+    return best.select(group, "result_id", F.col("b.copy_path").alias("path"), F.col("b.copy_mtime").alias("mtime"), F.col("b.priority").alias("priority"), "copies")
 
 
 def results(fused: DataFrame, files: DataFrame, passages: DataFrame, top_k: int, scopes: Iterable[dict] = (), *, group: str = "qid") -> DataFrame:
-    """Full results: deduplicated, with the canonical path, all copies, and the text of the evidence, which is joined last."""
+    """Full results: deduplicated, with the canonical path, the number of copies, and the text of the evidence, which is joined last."""
     top = dedup(fused, files, top_k, group=group)
-    listed = copies(top, files, scopes, group=group)
-    copy = F.struct("copy_no", F.col("copy_path").alias("path"), F.col("copy_mtime").alias("mtime"), F.col("copy_scopes").alias("scopes"))
-    gathered = listed.groupBy(group, "result_id").agg(
-        F.min_by("copy_path", "copy_no").alias("canonical_path"), F.min_by("copy_mtime", "copy_no").alias("canonical_mtime"),
-        F.transform(F.sort_array(F.collect_list(copy)), lambda c: c.dropFields("copy_no")).alias("copies"),
-    )
-    return top.withColumnRenamed("path", "evidence_path").drop("mtime").join(gathered, [group, "result_id"]).withColumnsRenamed({"canonical_path": "path", "canonical_mtime": "mtime"}).join(passages.select("chunk_id", F.col("text").alias("snippet")), "chunk_id", "left")
+    best = canonical(copies(top, files, scopes, group=group), group=group).drop("priority")
+    return top.withColumnRenamed("path", "evidence_path").drop("mtime").join(best, [group, "result_id"]).join(passages.select("chunk_id", F.col("text").alias("snippet")), "chunk_id", "left")
 
 
 def delta(before: DataFrame, after: DataFrame, fields: list[str], *, key: str = "result_id", place: str = "place") -> DataFrame:

@@ -33,16 +33,23 @@ def merge_counters(stored: DataFrame, more: DataFrame) -> DataFrame:
     return stored.unionByName(more).groupBy("mode", "metric").agg(F.sum("value").alias("value"))
 
 
-def observation_deltas(series: DataFrame, run: str, at: str, value: str) -> DataFrame:
+def observation_deltas(series: DataFrame, run: str, at: str, value: str, *, span: int = 100_000) -> DataFrame:
     """``series`` with ``peak`` (the greatest value of the run so far) and ``delta`` (what it has risen by).
 
     Values of a run may only add to its total, so a fall counts as nothing; the
-    deltas of a run sum up to its greatest value, if that is above 0.
+    deltas of a run sum up to its greatest value, if that is above 0.  A run is
+    cut into stretches of ``span`` of the order ``at``, whose greatest values
+    are carried on, so that a run with very many rows isn't sorted by one task.
     """
-    order = Window.partitionBy(run).orderBy(at)
-    so_far = F.max(value).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before = F.coalesce(F.max(value).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return series.withColumn("peak", so_far).withColumn("delta", F.greatest(F.lit(0), F.coalesce(F.col(value), F.lit(0)) - F.greatest(before, F.lit(0))))
+    cut = series.withColumn("__part", F.floor(F.col(at) / span))
+    earlier = Window.partitionBy(run).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cut.groupBy(run, "__part").agg(F.max(value).alias("__top")).withColumn("__carried", F.max("__top").over(earlier)).drop("__top")
+    both = cut.join(carried, [run, "__part"])
+    order = Window.partitionBy(run, "__part").orderBy(at)
+    so_far = F.greatest("__carried", F.max(value).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    before = F.coalesce(F.greatest("__carried", F.max(value).over(order.rowsBetween(Window.unboundedPreceding, -1))), F.lit(0))
+    out = both.withColumn("peak", so_far).withColumn("delta", F.greatest(F.lit(0), F.coalesce(F.col(value), F.lit(0)) - F.greatest(before, F.lit(0))))
+    return out.select(*series.columns, "peak", "delta")
 
 
 def error_category(name: Column, code: Column) -> Column:

@@ -126,3 +126,61 @@ def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
     hits = exact.select("qid", "chunk_id").join(found.select("qid", "chunk_id", F.lit(1).alias("hit")), ["qid", "chunk_id"], "left")
     out = hits.groupBy("qid").agg(F.count("*").alias("expected"), F.count("hit").alias("hit"))
     return out.withColumn("recall", F.round(F.col("hit") / F.col("expected"), 6))
+
+
+# An early tier: vectors in the cells of centroids, of which a query visits a few
+
+
+def _nearest_cells(batch: pa.RecordBatch, name: str, dim: int, cells: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and cell of the n nearest centroids of every vector, by cosines rounded to 6 digits, then by the cell's number."""
+    m = _unit(batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+    order = np.argsort(-np.round(m @ cells.T, 6), axis=1, kind="stable")[:, :n]
+    return np.repeat(np.arange(len(m)), order.shape[1]), order.ravel()
+
+
+def cell_centroids(rows: DataFrame, cells: int) -> np.ndarray:
+    """Vectors that stand for the cells: of every residue of the id by a step, so that there are ``cells`` of them or fewer.
+
+    A bounded number is collected; their choice depends on the ids only.
+    """
+    high = rows.agg(F.max("chunk_id")).first()[0] or 0
+    step = max(1, -(-int(high) // cells))
+    found = rows.where(F.col("chunk_id") % step == 0).orderBy("chunk_id").limit(cells).select("v").collect()
+    return _unit(np.array([r.v for r in found], np.float64)) if found else np.empty((0, 0))
+
+
+def cell_candidates(rows: DataFrame, queries: DataFrame, *, dim: int, cells: int, probes: int, keep: int) -> DataFrame:
+    """``qid, chunk_id, score``: full-precision scores of the passages in the ``probes`` nearest cells of each query, the best ``keep``.
+
+    Every vector is in the cell of its nearest centroid; vectors and queries
+    meet in a join by cell.  Filters come after the candidates, so a filtered
+    search may get fewer than it asked for.
+    """
+    spark = rows.sparkSession
+    centroids = cell_centroids(rows, cells)
+    empty = spark.createDataFrame([], "qid long, chunk_id long, score double")
+    if not len(centroids):
+        return empty
+    shared = spark.sparkContext.broadcast(centroids)
+
+    def placed(df: DataFrame, key: str, name: str, n: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    row, cell = _nearest_cells(batch, name, dim, shared.value, n)
+                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), batch.column(name).take(pa.array(row)), pa.array(cell.astype(np.int32))], names=[key, name, "cell"])
+
+        return df.select(key, name).mapInArrow(run, f"{key} long, {name} array<double>, cell int")
+
+    asked = queries.select(F.col("qid").cast("long"), vectors.as_doubles(F.col("q")).alias("q")).where(vectors.is_valid(F.col("q"), dim))
+    met = placed(rows, "chunk_id", "v", 1).join(placed(asked, "qid", "q", probes), "cell")
+    floor = F.lit(vectors.NORM_FLOOR)
+    cosine = vectors.dot(F.col("v"), F.col("q")) / (F.greatest(vectors.norm(F.col("v")), floor) * F.greatest(vectors.norm(F.col("q")), floor))
+    return top_passages(met.select("qid", "chunk_id", F.round(cosine, 6).alias("score")), keep).drop("rk")
+
+
+def image_hits(files: DataFrame, queries: DataFrame, *, dim: int, k: int) -> DataFrame:
+    """``qid, file_id, score, rk``: the k best images of each query vector, in a list of their own."""
+    images = files.where((F.col("kind") == "image") & vectors.is_valid(F.col("image_embedding"), dim))
+    rows = images.select(F.col("file_id").alias("chunk_id"), vectors.as_doubles(F.col("image_embedding")).alias("v"))
+    return top_passages(cosine_scan(rows, queries, dim=dim, keep=k), k).withColumnRenamed("chunk_id", "file_id")

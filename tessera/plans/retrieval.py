@@ -214,6 +214,24 @@ def quant_recall_int4(spark: SparkSession, d: str) -> DataFrame:
     return _recall(spark, d, "int4")
 
 
+CELLS, PROBES = 40, 8
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return semantic.cell_candidates(searchable(spark, d), vector_queries(spark, d), dim=DIM, cells=CELLS, probes=PROBES, keep=TOP_K)
+
+
+def ann_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The early tier: the best passages of the cells that each query visits."""
+    return _candidates(spark, d)
+
+
+def ann_recall(spark: SparkSession, d: str) -> DataFrame:
+    """What the early tier finds of each query's exact best passages."""
+    exact = semantic.top_passages(semantic.cosine_scan(searchable(spark, d), vector_queries(spark, d), dim=DIM, keep=TOP_K), TOP_K)
+    return semantic.recall(exact, _candidates(spark, d))
+
+
 # Fusion
 
 
@@ -248,16 +266,17 @@ def result_identity(spark: SparkSession, d: str) -> DataFrame:
 
 def _copies(spark: SparkSession, d: str) -> DataFrame:
     f = current_files(spark, d)
-    every = fusion.dedup(f.select(F.lit(1).alias("qid"), "path", F.lit(1.0).alias("score")), f, None)
-    return fusion.copies(every, f, SCOPES)
+    known = F.col("content_hash").isNotNull() & (F.col("content_hash") != "")
+    every = f.select(F.lit(1).alias("qid"), fusion.result_id(F.col("content_hash"), F.col("path")).alias("result_id"), "content_hash", F.when(~known | F.col("content_hash").isNull(), F.col("path")).alias("path"))
+    return fusion.copies(every.distinct(), f, SCOPES)
 
 
 def copies_provenance(spark: SparkSession, d: str) -> DataFrame:
-    return _copies(spark, d).select("result_id", "copy_no", "copy_path", "copy_mtime", F.array_join("copy_scopes", ",").alias("scopes"))
+    return _copies(spark, d).select("result_id", "is_canonical", "copy_path", "copy_mtime", F.array_join("copy_scopes", ",").alias("scopes"))
 
 
 def canonical_copy(spark: SparkSession, d: str) -> DataFrame:
-    return _copies(spark, d).where("copy_no = 1").select("result_id", F.col("copy_path").alias("path"), F.col("copy_mtime").alias("mtime"), "priority")
+    return fusion.canonical(_copies(spark, d)).select("result_id", "path", "mtime", "priority", "copies")
 
 
 def stand_in_scores(spark: SparkSession, d: str, base: DataFrame) -> DataFrame:
@@ -314,7 +333,7 @@ def jaccard_overlap(spark: SparkSession, d: str) -> DataFrame:
 def full_results(spark: SparkSession, d: str) -> DataFrame:
     """Results as they are handed out: canonical path, number of copies, text of the evidence."""
     out = fusion.results(fused_lists(spark, d), current_files(spark, d), current_passages(spark, d), TOP_K, SCOPES)
-    return out.select("qid", "place", "result_id", "path", "evidence_path", "mtime", "match", F.size("copies").alias("copies"), F.md5("snippet").alias("snippet_digest"))
+    return out.select("qid", "place", "result_id", "path", "evidence_path", "mtime", "match", "copies", F.md5("snippet").alias("snippet_digest"))
 
 
 QUERIES = {
@@ -322,7 +341,7 @@ QUERIES = {
     for f in (
         chunk_documents, tokenize_terms, tokenize_passages, corpus_stats, postings, bm25_any, bm25_all, bm25_phrase, bm25_phrase_all, bm25_file_top, stored_hits_top, cosine_topk,
         cosine_file_max, scoped_vectors, vector_census, vector_scale, quantize_int8, quantize_int4, dequantize_int8, matrix_plus_tail, refine_candidates, deep_scan, quant_recall_int8,
-        quant_recall_int4, rrf_hybrid, rrf_multi_variant, dedup_identity, result_identity, copies_provenance, canonical_copy, rerank_blend, snapshot_delta, delta_replay, jaccard_overlap, full_results,
+        quant_recall_int4, ann_candidates, ann_recall, rrf_hybrid, rrf_multi_variant, dedup_identity, result_identity, copies_provenance, canonical_copy, rerank_blend, snapshot_delta, delta_replay, jaccard_overlap, full_results,
     )
 }
 
@@ -414,7 +433,15 @@ _COPIES = COMMON + f""", r as (select distinct {_RID} as result_id, content_hash
     copies as (select *, row_number() over (partition by result_id order by priority, coalesce(copy_mtime, 0) desc, copy_path) as copy_no from cp)"""
 _STRIP = f"'^{textfn.BLANK}+|{textfn.BLANK}+$', '', 'g'"
 
+_COS = "round(list_inner_product({a}, {b}) / (greatest(sqrt(list_inner_product({a}, {a})), 1e-12) * greatest(sqrt(list_inner_product({b}, {b})), 1e-12)), 6)"
+_CELLS = f""", cells as (select chunk_id as cell, v as c from searchable where chunk_id % (select ceil(max(chunk_id) / {CELLS}.0) from searchable) = 0 order by chunk_id limit {CELLS}),
+    housed as (select chunk_id, v, cell from (select chunk_id, v, cell, row_number() over (partition by chunk_id order by {_COS.format(a="v", b="c")} desc, cell) as nth from searchable, cells) where nth = 1),
+    visits as (select qid, q, cell from (select qid, q, cell, row_number() over (partition by qid order by {_COS.format(a="q", b="c")} desc, cell) as nth from vq, cells) where nth <= {PROBES}),
+    ann as (select qid, chunk_id, score from (select qid, chunk_id, score, row_number() over (partition by qid order by score desc, chunk_id) as nth from (select qid, chunk_id, {_COS.format(a="v", b="q")} as score from housed join visits using (cell))) where nth <= {TOP_K})"""
+
 SQL = {
+    "ann_candidates": COMMON + _ROWS + _CELLS + " select * from ann",
+    "ann_recall": COMMON + _ROWS + _CELLS + _cosine("x", "searchable", "vq") + f" select a.qid, count(*) as expected, count(b.qid) as hit, round(count(b.qid) / count(*), 6) as recall from {_top('x', TOP_K)} a left join ann b on a.qid = b.qid and a.chunk_id = b.chunk_id group by a.qid",
     "chunk_documents": f"""with recursive t as (select doc_id, regexp_replace(regexp_replace(text, '\\n{{3,}}', chr(10) || chr(10), 'g'), {_STRIP}) as text from documents where text is not null),
         step(doc_id, text, n, i, pos, e) as (
             select doc_id, text, length(text), -1, 0, 180 from t where length(text) > 0
@@ -454,8 +481,8 @@ SQL = {
     "rrf_multi_variant": _HYBRID + _fuse("select * replace (qid // 2 as qid), qid % 2 as list_no, 'keyword' as source from words union all select * replace (qid // 2 as qid), 2 + qid % 2, 'semantic' from near") + _dedup() + " select qid, place, path, chunk_id, match, keyword_rank, semantic_rank, round(score, 8) as score from deduped where place <= 12",
     "dedup_identity": _FUSED + " select qid, result_id, path, place, score from deduped",
     "result_identity": COMMON + f" select path, {_RID} as result_id from catalog",
-    "copies_provenance": _COPIES + " select result_id, copy_no, copy_path, copy_mtime, scopes from copies",
-    "canonical_copy": _COPIES + " select result_id, copy_path as path, copy_mtime as mtime, priority from copies where copy_no = 1",
+    "copies_provenance": _COPIES + " select result_id, copy_no = 1 as is_canonical, copy_path, copy_mtime, scopes from copies",
+    "canonical_copy": _COPIES + " select result_id, copy_path as path, copy_mtime as mtime, priority, (select count(*) from copies c where c.result_id = copies.result_id) as copies from copies where copy_no = 1",
     "rerank_blend": _FUSED + f""", base as (select qid, path, place from deduped where place <= 36), few as (select * from (select qid, path, chunk_id, row_number() over (partition by qid, path order by chunk_id) as nth from (select qid, path, chunk_id from words union select qid, path, chunk_id from near) join base using (qid, path)) where nth <= 4),
         wanted as (select qid, list(distinct token) as wanted from phrase group by qid),
         scores as (select qid, path, chunk_id, round(len(list_intersect(wanted, tokens)) / len(wanted), 6) as relevance from few join wanted using (qid) join tok using (chunk_id)),

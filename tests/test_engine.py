@@ -97,6 +97,25 @@ def test_search_stages_and_copies(index):
     assert [e["sequence"] for e in events] == [1, 2, 3, 4]
 
 
+def test_early_candidates(index):
+    events = list(index.stream(Request("harbour lamp", early=True)))
+    assert [e["stage"] for e in events] == ["keyword", "candidates", "semantic", "done"] and events[1]["results"]
+
+
+def test_cancelling_a_job(spark, index):
+    slow = Index(spark, index.root, dim=DIM, scorer=lambda pairs: [time.sleep(20) or 0.0 for _ in pairs])
+    job = slow.start(Request("harbour", rerank=True))
+    end = time.time() + 240
+    while len(slow.poll(job)["events"]) < 2 and time.time() < end:
+        time.sleep(0.1)
+    time.sleep(1)
+    slow.cancel(job)
+    while slow.poll(job)["state"] == "running" and time.time() < end:
+        time.sleep(0.1)
+    p = slow.poll(job)
+    assert p["state"] == "cancelled" and p["events"][-1]["reason"] == "cancelled" and p["events"][-1]["results"] == p["events"][-2]["results"]
+
+
 def test_deltas_rebuild_every_snapshot(index):
     full = list(index.stream(Request("harbour storm", deep=True)))
     state: dict = {}

@@ -111,8 +111,8 @@ def test_fuse_and_dedup(spark):
     assert rows(top, "path", "place") == [("/b", 1), ("/c", 2)]
     scopes = [{"name": "s", "root": "/a", "priority": 5}]
     copies = fusion.copies(top, files, scopes)
-    assert rows(copies.where("path = '/b'"), "copy_no", "copy_path") == [(1, "/a"), (2, "/z/build/d"), (3, "/b")]
-    assert rows(copies.where("path = '/c'"), "copy_no", "copy_path") == [(1, "/c")]
+    assert rows(copies.where("path = '/b'"), "copy_path", "is_canonical") == [("/a", True), ("/b", False), ("/z/build/d", False)]
+    assert rows(copies.where("path = '/c'"), "copy_path", "is_canonical") == [("/c", True)]
 
 
 def test_delta_replay(spark):
@@ -186,6 +186,7 @@ def test_vanished_keeps_junk_and_other_roots(spark):
 def test_deltas_are_monotonic(spark):
     s = spark.createDataFrame([(1, 1, 2.0), (1, 2, 1.0), (1, 3, 4.0), (1, 4, None), (2, 1, -1.0), (2, 2, 3.0)], "run long, at long, v double")
     assert rows(metrics.observation_deltas(s, "run", "at", "v"), "run", "at", "delta") == [(1, 1, 2.0), (1, 2, 0.0), (1, 3, 2.0), (1, 4, 0.0), (2, 1, 0.0), (2, 2, 3.0)]
+    assert rows(metrics.observation_deltas(s, "run", "at", "v", span=1)) == rows(metrics.observation_deltas(s, "run", "at", "v"))
 
 
 def test_latency_bounds(spark):
@@ -213,3 +214,21 @@ def test_epoch_of_days():
 def test_current_takes_the_last_row(spark):
     f = spark.createDataFrame([(1, "/a", 1.0), (1, "/a", 2.0), (1, "/a", None), (2, None, 3.0), (3, "/a", 2.0)], "file_id long, path string, indexed_at double")
     assert rows(catalog.current(f)) == [(1, "/a", 2.0)]
+
+
+def test_cells_with_all_probes_are_exhaustive(spark):
+    rng = np.random.default_rng(6)
+    m, q = rng.normal(size=(200, 8)), rng.normal(size=(4, 8))
+    data = spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(m)], "chunk_id long, v array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid long, q array<double>")
+    exact = semantic.top_passages(semantic.cosine_scan(data, queries, dim=8, keep=5), 5)
+    assert rows(semantic.cell_candidates(data, queries, dim=8, cells=10, probes=10, keep=5)) == rows(exact, "qid", "chunk_id", "score")
+    some = semantic.recall(exact, semantic.cell_candidates(data, queries, dim=8, cells=10, probes=4, keep=5)).agg(F.avg("recall")).first()[0]
+    assert 0.3 < some <= 1
+    assert semantic.cell_candidates(data.limit(0), queries, dim=8, cells=10, probes=4, keep=5).count() == 0
+
+
+def test_images_have_their_own_list(spark):
+    f = spark.createDataFrame([(1, "image", [1.0, 0.0]), (2, "image", None), (3, "text", [1.0, 0.0]), (4, "image", [0.0, 1.0])], "file_id long, kind string, image_embedding array<float>")
+    q = spark.createDataFrame([(7, [1.0, 0.2])], "qid long, q array<double>")
+    assert rows(semantic.image_hits(f, q, dim=2, k=5), "qid", "file_id", "rk") == [(7, 1, 1), (7, 4, 2)]
