@@ -225,8 +225,13 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, *, dim: int = 64, k: in
     empty = spark.createDataFrame([], "id long, near long, cosine double, place int")
     if rows < 2:
         return empty
-    sample = index.select("vec") if rows <= sample_rows else index.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(rows)) < sample_rows).select("vec").limit(2 * sample_rows)
-    unit = _units(sample.toArrow().column(0), dim).astype(np.float32)
+    # In a fixed order, so that the same rows give the same tree on every run.
+    drawn = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(rows))
+    sample = index.select("id", "vec", drawn.alias("drawn"))
+    if rows > sample_rows:
+        sample = sample.where(F.col("drawn") < sample_rows).orderBy("drawn", "id").limit(2 * sample_rows)
+    table = sample.toArrow().sort_by("id")
+    unit = _units(table.column("vec"), dim).astype(np.float32)
     tree = fit(unit, max(1, min(rows // leaf_rows, len(unit) // 8)))
     opened, margin, _ = calibrate(tree, unit, k, least, recall, both_ways=every == 1 and recall < 1)
     chosen = spark.sparkContext.broadcast(tree)
