@@ -95,7 +95,28 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_pieces, p4_found, p5_found, p5_nearest, p6_windows, p7_found, p7_near, p8_found, p8_statistics)}
 
+_PLAIN = r"""list_filter(string_split_regex(strip_accents(lower(regexp_replace(regexp_replace({0}, '[\x{{AD}}\x{{34F}}\x{{61C}}\x{{180E}}\x{{200B}}-\x{{200F}}\x{{2060}}-\x{{2064}}\x{{FEFF}}]', '', 'g'),
+    '[-\x{{2010}}\x{{2011}}][^\S\n\r\x{{2028}}\x{{2029}}]*[\n\r\x{{2028}}\x{{2029}}]\s*', '', 'g'))), '[^\p{{L}}\p{{N}}]+'), lambda x: length(x) > 0)"""
+
+
+def _similar(name: str, units: str, threshold: float) -> str:
+    """Pairs by counting shared units."""
+    return f"""{name}_u as (select distinct id, unit from ({units})), {name}_n as (select id, count(*) as n from {name}_u group by id),
+        {name}_b as (select a.id as id_a, b.id as id_b, count(*) as c from {name}_u a join {name}_u b on a.unit = b.unit and a.id < b.id group by a.id, b.id),
+        {name}_p as (select id_a, id_b from {name}_b join {name}_n x on x.id = id_a join {name}_n y on y.id = id_b where c / (x.n + y.n - c) >= {threshold}e0)"""
+
+
+_CHUNK_UNITS = """select id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as unit from (select id, w, unnest(range(1, len(w) - 1)) as i from
+    (select distinct chunk_id as id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 0) as w from chunks where chunk_id is not null and text is not null))"""
+_FILE_UNITS = "select id, substr(p, i, 4) as unit from (select id, p, unnest(range(1, length(p) - 2)) as i from (select distinct file_id as id, lower(path) as p from files where file_id is not null and path is not null))"
+
 SQL = {
+    "p1_found": "with " + _similar("chunk", _CHUNK_UNITS, 0.6) + ", " + _similar("file", _FILE_UNITS, 0.7) + " select 'chunk' as record, id_a, id_b from chunk_p union all select 'file', id_a, id_b from file_p",
+    "p7_found": f"""with d as (select distinct doc_id, {_PLAIN.format("text")} as w from documents where text is not null and doc_id is not null),
+        c as (select distinct case_id, {_PLAIN.format("text")} as w from (select case_id, question as text from relevance_cases union all select case_id, target from relevance_cases) where text is not null and case_id is not null),
+        dw as (select doc_id, array_to_string(list_slice(w, i, i + 11), ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from d)),
+        cw as (select distinct case_id, array_to_string(list_slice(w, i, i + 11), ' ') as g from (select case_id, w, unnest(range(1, len(w) - 10)) as i from c))
+        select distinct doc_id, case_id from dw join cw using (g)""",
     "p3_found": r"""
         with recursive long_ones as (select distinct chunk_id, text, length(text) as n from chunks where length(text) > 1200 and chunk_id is not null),
         step(chunk_id, text, n, piece, start_char, end_char) as (
