@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import read, shared_dir
+from ..runtime import read, stage_path
 from ..sources.store import Store
 from ..streaming import live
 from .catalog import COMMON
 from .retrieval import DIM, SQL as RETRIEVAL_SQL, TOP_K, vector_queries
 
 
-def _place(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-
-
 def stream_catalog(spark: SparkSession, d: str) -> DataFrame:
     """The current catalogue as the stream leaves it."""
-    at = _place(spark, "live")
+    at = stage_path(spark, "live")
     store = Store(spark, f"{at}/store")
     schema = read(spark, d, "files").schema
     live.follow_catalog(spark, f"{d}/files.parquet", schema, store, f"{at}/checkpoint").awaitTermination()
@@ -29,7 +23,7 @@ def stream_catalog(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_topk(spark: SparkSession, d: str) -> DataFrame:
     """The best passages of each query vector after all blocks have come."""
-    at = _place(spark, "live")
+    at = stage_path(spark, "live")
     store = Store(spark, f"{at}/store")
     schema = read(spark, d, "chunks").schema
     live.follow_vectors(spark, f"{d}/chunks.parquet", schema, vector_queries(spark, d), store, f"{at}/checkpoint", dim=DIM, k=TOP_K).awaitTermination()

@@ -47,7 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
+    folder = tempfile.mkdtemp(prefix="tessera-shared-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = "file://" + folder
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -81,7 +83,8 @@ def release() -> None:
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         except Exception:  # noqa: BLE001  the session is gone
-            pass
+            if path.startswith("file://"):
+                shutil.rmtree(path[len("file://") :], ignore_errors=True)
 
 
 atexit.register(release)
