@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..runtime import stage
 
 RRF_K = 60
 
@@ -63,14 +64,17 @@ def copies(results: DataFrame, files: DataFrame, scopes: Iterable[dict] = (), *,
     hash may belong to a large share of all files.  A result without a hash is
     its own copy.
     """
-    scopes = list(scopes)
+    rows = _copy_rows(results, files, list(scopes))
+    best = canonical(rows, group=group).select(group, "result_id", F.col("path").alias("__best"))
+    return rows.join(best, [group, "result_id"]).withColumn("is_canonical", F.col("copy_path") == F.col("__best")).drop("__best")
+
+
+def _copy_rows(results: DataFrame, files: DataFrame, scopes: list[dict]) -> DataFrame:
     known = files.select(F.col("path").alias("copy_path"), F.col("mtime").alias("copy_mtime"), F.col("source_device").alias("copy_device"), F.col("content_hash").alias("h"))
     hashed = results.where("content_hash is not null and content_hash <> ''").join(known, F.col("content_hash") == F.col("h"))
     alone = results.where("content_hash is null or content_hash = ''").join(known.withColumn("p", F.col("copy_path")), F.col("path") == F.col("p")).drop("p")
     rows = hashed.unionByName(alone).drop("h")
-    rows = rows.withColumn("priority", paths.scope_priority(F.col("copy_path"), F.col("copy_device"), scopes)).withColumn("copy_scopes", paths.scope_names(F.col("copy_path"), F.col("copy_device"), scopes) if scopes else F.array().cast("array<string>"))
-    best = canonical(rows, group=group).select(group, "result_id", F.col("path").alias("__best"))
-    return rows.join(best, [group, "result_id"]).withColumn("is_canonical", F.col("copy_path") == F.col("__best")).drop("__best")
+    return rows.withColumn("priority", paths.scope_priority(F.col("copy_path"), F.col("copy_device"), scopes)).withColumn("copy_scopes", paths.scope_names(F.col("copy_path"), F.col("copy_device"), scopes) if scopes else F.array().cast("array<string>"))
 
 
 def canonical(copies: DataFrame, *, group: str = "qid") -> DataFrame:
@@ -82,8 +86,8 @@ def canonical(copies: DataFrame, *, group: str = "qid") -> DataFrame:
 
 def results(fused: DataFrame, files: DataFrame, passages: DataFrame, top_k: int, scopes: Iterable[dict] = (), *, group: str = "qid") -> DataFrame:
     """Full results: deduplicated, with the canonical path, the number of copies, and the text of the evidence, which is joined last."""
-    top = dedup(fused, files, top_k, group=group)
-    best = canonical(copies(top, files, scopes, group=group), group=group).drop("priority")
+    top = stage(dedup(fused, files, top_k, group=group), "results")
+    best = canonical(_copy_rows(top, files, list(scopes)), group=group).drop("priority")
     return top.withColumnRenamed("path", "evidence_path").drop("mtime").join(best, [group, "result_id"]).join(passages.select("chunk_id", F.col("text").alias("snippet")), "chunk_id", "left")
 
 

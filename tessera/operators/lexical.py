@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.text import query_terms, tokens
+from ..runtime import stage
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
@@ -64,9 +65,10 @@ def bm25(passages: DataFrame, queries: DataFrame, *, require_all: bool = False,
     """
     corpus = tokenized(passages)
     wanted = phrases(queries)
-    tf = term_frequencies(corpus, wanted)
-    stats = corpus_stats(corpus)
-    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
+    # Needed twice, for the documents' frequencies and for the scores; no more than the matches of the queries' terms.
+    tf = stage(term_frequencies(corpus, wanted), "tf")
+    stats = corpus_stats(corpus).first()
+    n, avgdl = F.lit(stats.n), F.lit(stats.avgdl or 1.0)
     frequency = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))), F.lit(IDF_FLOOR))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (F.lit(1 - B) + B * F.col("dl") / avgdl))
