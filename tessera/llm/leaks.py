@@ -6,7 +6,9 @@ moves on to the next word is a random bit of the step and the word.  Windows at
 a small edit distance get embeddings at a small Hamming distance.  Hashing a
 few sampled coordinates of the embeddings, repeated with other walks and other
 samples until the target recall is reached, brings such windows together; each
-candidate is then verified by its exact edit distance.
+candidate is then verified by its exact edit distance.  A window of an item is
+looked for in spans of the corpus that are shorter or longer by up to the
+allowed edits, as an inserted or missing word moves the end of the span.
 """
 
 from __future__ import annotations
@@ -45,10 +47,10 @@ def plain_words(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Rule:
-    """What counts as a leak: a window of ``window`` words at an edit distance of at most ``edits``,
-    and, around it, a run of at least ``run`` words that are the same on both sides (0: no such demand).
+    """What counts as a leak: ``window`` words of an item and a span of the corpus at an edit distance of at most
+    ``edits``, and, around them, a run of at least ``run`` words that are the same on both sides (0: no such demand).
 
-    Corpus windows begin at every ``stride``-th word.  With edits = 0 a stride
+    Corpus spans begin at every ``stride``-th word.  With edits = 0 a stride
     of run - window + 1 loses nothing, as every run holds such a window.
     """
 
@@ -64,6 +66,11 @@ class Rule:
         """Words in a row that a window must share with an item: so many edits leave one of edits + 1 parts whole."""
         return max(1, (self.window - self.edits) // (self.edits + 1))
 
+    @property
+    def spans(self) -> range:
+        """Lengths of the corpus spans that can be so near to a window."""
+        return range(max(1, self.window - self.edits), self.window + self.edits + 1)
+
     @property
     def context(self) -> int:
         """Words on either side of a window that decide about a run."""
@@ -75,9 +82,12 @@ def windows(symbols: np.ndarray, starts: np.ndarray, w: int) -> np.ndarray:
 
 
 def keys(x: np.ndarray, rule: Rule, repetition: int) -> np.ndarray:
-    """A 64-bit key of each row of symbols for one repetition: one random walk and one sample of its coordinates."""
+    """A 64-bit key of each row of symbols for one repetition: one random walk and one sample of its coordinates.
+
+    Rows of any of the rule's lengths have comparable keys.
+    """
     n, w = x.shape
-    steps = 3 * w
+    steps = 3 * rule.window
     walk = seeds(steps, 1000 + repetition)
     chosen = set(np.argsort(seeds(steps, 5000 + repetition))[: rule.sampled].tolist())
     padded = np.concatenate([x, np.full((n, 1), UNKNOWN)], axis=1).ravel()
@@ -92,8 +102,8 @@ def keys(x: np.ndarray, rule: Rule, repetition: int) -> np.ndarray:
     return key
 
 
-def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """The word edit distance of two windows, or most + 1 if it is greater."""
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int, *, open_end: bool = False) -> int:
+    """The word edit distance of two windows, or most + 1 if it is greater; with ``open_end`` b may end anywhere."""
     if most == 0:
         return 0 if len(a) == len(b) and (a == b).all() else 1
     row = list(range(len(b) + 1))
@@ -103,26 +113,35 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
             before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
         if min(row) > most:
             return most + 1
-    return min(row[-1], most + 1)
+    return min(min(row) if open_end else row[-1], most + 1)
 
 
-def repetitions(item_windows: np.ndarray, rule: Rule) -> int:
-    """How many repetitions reach the rule's recall, from windows with as many random edits as it allows."""
+def repetitions(item_windows: np.ndarray, rule: Rule, most: int = 100) -> int:
+    """How many repetitions reach the rule's recall, from windows with as many random edits as it allows.
+
+    Spans of each length must reach it on their own, so that inserted and missing words are found as often as other ones.
+    """
     if rule.edits == 0 or not len(item_windows):
         return 1
     rng = np.random.default_rng(7)
-    rows = item_windows[rng.choice(len(item_windows), min(2000, len(item_windows)), replace=False)]
-    changed = []
+    rows = item_windows[rng.choice(len(item_windows), 2000)]
+    pairs: dict[int, list] = {}
     for x in rows:
         y = x.tolist()
         for _ in range(rule.edits):
-            at, kind = int(rng.integers(len(y))), int(rng.integers(3))
-            new = int(rng.integers(1, 2**62))
-            y = y[:at] + [y[at], new][: 1 + (kind == 1)] * (kind != 0) + y[at + 1 :] if kind < 2 else y[:at] + [new] + y[at + 1 :]
-        changed.append((y + [0] * len(x))[: len(x)])
-    other = np.array(changed, dtype=np.uint64)
-    hits = np.mean([np.mean(keys(rows, rule, r) == keys(other, rule, r)) for r in range(8)])
-    return max(1, math.ceil(math.log(1 - rule.recall) / math.log(1 - min(0.999, max(hits, 0.02)))))
+            kind, new = int(rng.integers(3)), int(rng.integers(1, 2**62))
+            # Nothing is inserted before or after the words, as a span without it is as near.
+            at = int(rng.integers(kind == 1, max(2, len(y))))
+            y[at : at + (kind != 1)] = [new] * (kind != 2)
+        pairs.setdefault(len(y), []).append((x, y))
+    sides = [(np.array([x for x, _ in p], np.uint64), np.array([y for _, y in p], np.uint64)) for n, p in pairs.items() if n]
+    missed = [np.ones(len(x), bool) for x, _ in sides]
+    for r in range(most):
+        for (x, y), m in zip(sides, missed, strict=True):
+            m &= keys(x, rule, r) != keys(y, rule, r)
+        if max(m.mean() for m in missed) <= 1 - rule.recall:
+            return r + 1
+    return most
 
 
 def _run_length(a: np.ndarray, i: int, b: np.ndarray, j: int, w: int, known: Callable[[int], bool]) -> int:
@@ -137,8 +156,8 @@ def _run_length(a: np.ndarray, i: int, b: np.ndarray, j: int, w: int, known: Cal
 
 
 def _judge(a: np.ndarray, i: int, b: np.ndarray, j: int, rule: Rule) -> int:
-    """The edit distance of a candidate that is a leak by the rule, or -1."""
-    d = edit_distance(a[i : i + rule.window], b[j : j + rule.window], rule.edits)
+    """The edit distance of a candidate that is a leak by the rule, or -1: of the item's window in b and the nearest span at a[i]."""
+    d = edit_distance(b[j : j + rule.window], a[i : i + rule.window + rule.edits], rule.edits, open_end=True)
     if d > rule.edits or rule.run and _run_length(a, i, b, j, rule.window, lambda s: s != 0) < rule.run:
         return -1
     return d
@@ -182,35 +201,46 @@ class _Index:
     def search(self, symbols: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, word, item, item's word, edits) of the leaks in texts of which only the items' words have symbols."""
         rule = self.rule
-        starts, owner = _starts(lengths, rule.window, rule.stride)
+        starts, owner = _starts(lengths, rule.spans[0], rule.stride)
+        begins = np.cumsum(lengths) - lengths
+        room = (begins + lengths)[owner] - starts
         unknown = np.concatenate([[0], np.cumsum(symbols == UNKNOWN)])
-        # A window with more words that no item has than edits are allowed can't be a leak.
-        good = unknown[starts + rule.window] - unknown[starts] <= rule.edits
         if rule.edits and len(starts):
-            # Nor can one without any run of words that some item has.
             whole = np.isin(runs(symbols, np.array([len(symbols)]), rule.intact)[0], self.intact)
             shared = np.concatenate([[0], np.cumsum(whole)])
-            good &= shared[starts + rule.window - rule.intact + 1] > shared[starts]
-        good = np.flatnonzero(good)
-        begins = np.cumsum(lengths) - lengths
-        for a in range(0, len(good), 200_000):
-            part = good[a : a + 200_000]
-            x = windows(symbols, starts[part], rule.window)
+        good = np.zeros((len(rule.spans), len(starts)), bool)
+        for fits, n in zip(good, rule.spans, strict=True):
+            at = np.flatnonzero(room >= n)
+            s = starts[at]
+            # A span with more words that no item has than edits are allowed can't be a leak.
+            may = unknown[s + n] - unknown[s] <= rule.edits
+            if rule.edits and len(starts) and n >= rule.intact:
+                # Nor can one without any run of words that some item has.
+                may &= shared[s + n - rule.intact + 1] > shared[s]
+            fits[at] = may
+        some = np.flatnonzero(good.any(axis=0))
+        for a in range(0, len(some), 200_000):
             seen: set = set()
+            spans = []
+            for fits, n in zip(good, rule.spans, strict=True):
+                part = some[a : a + 200_000]
+                part = part[fits[part]]
+                spans.append((part, windows(symbols, starts[part], n)))
             for r, (sorted_keys, order) in enumerate(self.tables):
-                k = keys(x, rule, r)
-                lo, hi = np.searchsorted(sorted_keys, k, "left"), np.searchsorted(sorted_keys, k, "right")
-                for c in np.flatnonzero(hi > lo):
-                    t, s = int(owner[part[c]]), int(starts[part[c]])
-                    text = symbols[begins[t] : begins[t] + lengths[t]]
-                    for item in order[lo[c] : hi[c]]:
-                        if (c, item) in seen:
-                            continue
-                        seen.add((c, item))
-                        own = int(self.owner[item])
-                        d = _judge(text, s - int(begins[t]), self.symbols[own], int(self.at[item]), rule)
-                        if d >= 0:
-                            yield t, s - int(begins[t]), own, int(self.at[item]), d
+                for part, x in spans:
+                    k = keys(x, rule, r)
+                    lo, hi = np.searchsorted(sorted_keys, k, "left"), np.searchsorted(sorted_keys, k, "right")
+                    for c in np.flatnonzero(hi > lo):
+                        t, s = int(owner[part[c]]), int(starts[part[c]])
+                        text = symbols[begins[t] : begins[t] + lengths[t]]
+                        for item in order[lo[c] : hi[c]]:
+                            if (s, item) in seen:
+                                continue
+                            seen.add((s, item))
+                            own = int(self.owner[item])
+                            d = _judge(text, s - int(begins[t]), self.symbols[own], int(self.at[item]), rule)
+                            if d >= 0:
+                                yield t, s - int(begins[t]), own, int(self.at[item]), d
 
 
 _OUT = "id long, case_id long, part string, word long, case_word long, edits int"
@@ -244,7 +274,7 @@ def _many(src: DataFrame, items: DataFrame, rule: Rule, repeats: int) -> DataFra
     """The same for any number of items: both sides emit their windows by key, and meet in a shuffle."""
     around = rule.context
 
-    def emit(stride: int, own: list[str]):
+    def emit(stride: int, spans: range, own: list[str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cache = TokenHashes()
             for batch in batches:
@@ -253,21 +283,26 @@ def _many(src: DataFrame, items: DataFrame, rule: Rule, repeats: int) -> DataFra
                     lists = [plain_words(t) for t in part.column(part.num_columns - 1).to_pylist()]
                     lengths = np.fromiter(map(len, lists), np.int64, len(lists))
                     symbols = np.fromiter((cache[w] | 1 for ws in lists for w in ws), np.uint64, int(lengths.sum()))
-                    starts, owner = _starts(lengths, rule.window, stride)
+                    starts, owner = _starts(lengths, spans[0], stride)
                     begins = (np.cumsum(lengths) - lengths)[owner]
                     ends = begins + lengths[owner]
-                    lo, hi = np.maximum(begins, starts - around), np.minimum(ends, starts + rule.window + around)
-                    x = windows(symbols, starts, rule.window)
-                    near = pa.array([symbols[a:b].view(np.int64) for a, b in zip(lo, hi, strict=True)], pa.list_(pa.int64()))
+                    lo, hi = np.maximum(begins, starts - around), np.minimum(ends, starts + rule.window + max(around, rule.edits))
+                    fit = [(at, windows(symbols, starts[at], n)) for n in spans for at in [np.flatnonzero(ends - starts >= n)]]
                     for r in range(repeats):
-                        fixed = [part.column(i).take(pa.array(owner)) for i in range(len(own))]
-                        yield pa.RecordBatch.from_arrays([*fixed, pa.array(keys(x, rule, r).view(np.int64)), pa.array(np.full(len(owner), r, np.int32)), pa.array(starts - begins), pa.array(starts - lo), near], names=[*own, "key", "rep", "word", "offset", "near"])
+                        given = np.zeros((len(spans), len(starts)), np.uint64)
+                        for i, (at, x) in enumerate(fit):
+                            given[i, at] = keys(x, rule, r)
+                            # A start whose shorter span has the same key has been given out with it.
+                            at = at[(given[:i, at] != given[i, at]).all(axis=0)]
+                            fixed = [part.column(c).take(pa.array(owner[at])) for c in range(len(own))]
+                            near = pa.array([symbols[a:b].view(np.int64) for a, b in zip(lo[at], hi[at], strict=True)], pa.list_(pa.int64()))
+                            yield pa.RecordBatch.from_arrays([*fixed, pa.array(given[i, at].view(np.int64)), pa.array(np.full(len(at), r, np.int32)), pa.array((starts - begins)[at]), pa.array((starts - lo)[at]), near], names=[*own, "key", "rep", "word", "offset", "near"])
 
         return run
 
     tail = "key long, rep int, word long, offset long, near array<bigint>"
-    left = src.mapInArrow(emit(rule.stride, ["id"]), f"id long, {tail}")
-    right = items.select("case_id", "part", "text").mapInArrow(emit(1, ["case_id", "part"]), f"case_id long, part string, {tail}").withColumnsRenamed({"word": "case_word", "offset": "case_offset", "near": "case_near"})
+    left = src.mapInArrow(emit(rule.stride, rule.spans, ["id"]), f"id long, {tail}")
+    right = items.select("case_id", "part", "text").mapInArrow(emit(1, range(rule.window, rule.window + 1), ["case_id", "part"]), f"case_id long, part string, {tail}").withColumnsRenamed({"word": "case_word", "offset": "case_offset", "near": "case_near"})
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,7 +319,7 @@ def _many(src: DataFrame, items: DataFrame, rule: Rule, repeats: int) -> DataFra
 
 def leaks(documents: DataFrame, id_col: str, text_col: str, cases: DataFrame, case_col: str, part_cols: list[str], rule: Rule = Rule(), *, few_items: int = 10_000) -> DataFrame:
     """``doc_id, case_id, windows, edits``: the documents that hold a passage of a case, with the number of
-    corpus windows that show it and their least edit distance.
+    places in it that show it and their least edit distance.
 
     Null ids, texts and passages, and passages shorter than the rule's window
     and run, never count; repeated rows count once; empty tables give no rows.

@@ -8,6 +8,7 @@ from conftest import rows
 
 from tessera.llm import quality
 from tessera.llm.leaks import Rule, edit_distance, keys, leaks, plain_words
+from tessera.llm.queries import p7_near
 from tessera.llm.quality import Rules, Summary, count_texts, statistics
 
 CASES = "case_id long, question string, target string, id long"
@@ -94,6 +95,41 @@ def test_no_cases(spark):
     assert leaks(d, "doc_id", "t", spark.createDataFrame([], CASES), "case_id", ["question", "target"]).count() == 0
 
 
+def edited(words, kind, at):
+    return words[:at] + ["other"] * (kind != "missing") + words[at + (kind != "inserted") :]
+
+
+@pytest.mark.parametrize("few", [None, 3])
+def test_p7_near_finds_inserted_missing_and_other_words(spark, tmp_path, few):
+    rng = random.Random(6)
+    places = [(kind, at) for kind in ("inserted", "missing", "other") for at in range(1, 11) for _ in range(4)]
+    cases = [(i, " ".join(rng.sample([f"v{i}x{k}" for k in range(12)], 12)), None, 0) for i in range(len(places))]
+    docs = []
+    for i, (kind, at) in enumerate(places):
+        once = edited(cases[i][1].split(), kind, at)
+        docs.append((i, " ".join(once if i % 2 else ["before", *once, "after"])))
+        twice = edited(once, "other", at - 2 if at > 5 else at + 3)
+        docs.append((1000 + i, " ".join(["before", *twice, "after"])))
+    d, c = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(cases, CASES)
+    if few is None:
+        d.write.parquet(f"{tmp_path}/documents.parquet")
+        c.write.parquet(f"{tmp_path}/relevance_cases.parquet")
+        found = p7_near(spark, str(tmp_path))
+    else:
+        found = leaks(d, "doc_id", "text", c, "case_id", ["question"], Rule(window=12, stride=1, run=0, edits=1, sampled=12, recall=0.95), few_items=few)
+    pairs = found.collect()
+    assert all(r.doc_id == r.case_id and r.edits == 1 for r in pairs)
+    for kind in ("inserted", "missing", "other"):
+        assert sum(places[r.case_id][0] == kind for r in pairs) >= 34
+
+
+def test_a_missing_or_inserted_word_costs_one():
+    a, b = np.arange(1, 13), np.arange(1, 14)
+    assert edit_distance(a, np.delete(b, 4), 1, open_end=True) == edit_distance(a, np.insert(a, 4, 99), 1, open_end=True) == 1
+    assert edit_distance(a, b, 1, open_end=True) == 0
+    assert edit_distance(a, np.delete(a, [2, 7]), 1, open_end=True) == 2
+
+
 def test_one_edit_is_found(spark):
     rng = random.Random(4)
     words = [f"v{i}" for i in range(500)]
