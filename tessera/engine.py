@@ -340,7 +340,7 @@ class Index:
         scan = lambda rows: semantic.cosine_scan(rows, vqs, dim=self.dim, keep=pool, group="file_id")
         best = lambda scores: lexical.best_of_files(scores, passages, allowed, pool)
         if request.early and not why():
-            near = stage(lists(best(semantic.cell_candidates(exact, vqs, dim=self.dim, cells=256, probes=16, keep=max(500, 4 * pool))), len(wordings), "semantic"), "near")
+            near = stage(lists(best(semantic.cell_candidates(exact, vqs, dim=self.dim, cells=256, recall=0.9, keep=max(500, 4 * pool))), len(wordings), "semantic"), "near")
             results = collect(fusion.dedup(fusion.fuse(words.unionByName(near)), files, top))
             yield event("candidates")
         matrix = self._matrix(manifest, ids)

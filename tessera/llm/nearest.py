@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.semantic import kmeans
 from ..runtime import only, stage
 
 #: Rows of one block of a leaf; a larger leaf is cut into several blocks.
@@ -87,27 +88,14 @@ class Tree:
         return np.concatenate(out)
 
 
-def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Unit centroids of a spherical k-means and the centroid of each row."""
-    k = max(1, min(k, len(x)))
-    centres = x[rng.choice(len(x), k, replace=False)]
-    for _ in range(rounds):
-        own = (x @ centres.T).argmax(axis=1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, own, x)
-        norms = np.linalg.norm(sums, axis=1, keepdims=True)
-        centres = np.where(norms > 1e-9, sums / np.maximum(norms, 1e-9), centres).astype(np.float32)
-    return centres, (x @ centres.T).argmax(axis=1)
-
-
 def fit(sample: np.ndarray, leaves: int, seed: int = 42) -> Tree:
     """A tree of about ``leaves`` leaves over unit vectors."""
     rng = np.random.default_rng(seed)
-    tops, own = _kmeans(sample, max(1, round(math.sqrt(leaves))), rng)
+    tops, own = kmeans(sample, max(1, round(math.sqrt(leaves))), rng)
     parts, first = [], [0]
     for t in range(len(tops)):
         members = sample[own == t]
-        part = _kmeans(members, max(1, round(leaves * len(members) / len(sample))), rng)[0] if len(members) else tops[t : t + 1]
+        part = kmeans(members, max(1, round(leaves * len(members) / len(sample))), rng)[0] if len(members) else tops[t : t + 1]
         parts.append(part)
         first.append(first[-1] + len(part))
     return Tree(tops, np.concatenate(parts).astype(np.float32), np.array(first))

@@ -149,15 +149,64 @@ def cell_centroids(rows: DataFrame, cells: int) -> np.ndarray:
     return _unit(np.array([r.v for r in found], np.float64)) if found else np.empty((0, 0))
 
 
-def cell_candidates(rows: DataFrame, queries: DataFrame, *, dim: int, cells: int, probes: int, keep: int) -> DataFrame:
+def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Unit centroids of a spherical k-means and the centroid of each row."""
+    k = max(1, min(k, len(x)))
+    centres = x[rng.choice(len(x), k, replace=False)]
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, x)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norms > 1e-9, sums / np.maximum(norms, 1e-9), centres).astype(np.float32)
+    return centres, (x @ centres.T).argmax(axis=1)
+
+
+def fitted_cells(rows: DataFrame, queries: DataFrame, *, dim: int, cells: int, keep: int, recall: float, sample_rows: int = 20_000) -> tuple[np.ndarray, int]:
+    """Centroids fitted on about ``sample_rows`` vectors, and how many of their cells to visit for ``recall``.
+
+    Of every query (of at most 500) so large a share of its best ``keep``, as
+    far as they are in the sample, must lie in the cells it visits.
+    """
+    total = rows.count()
+    drawn = F.pmod(F.xxhash64("chunk_id", F.lit(1)), F.lit(max(1, total)))
+    sample = rows.select("chunk_id", "v", drawn.alias("drawn"))
+    if total > sample_rows:
+        sample = sample.where(F.col("drawn") < sample_rows).orderBy("drawn", "chunk_id").limit(2 * sample_rows)
+    table = sample.toArrow().sort_by("chunk_id")
+    asked = queries.limit(500).collect()
+    if not table.num_rows or not asked:
+        return np.empty((0, 0)), 0
+    m = _unit(table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+    centroids = _unit(kmeans(m.astype(np.float32), min(cells, max(1, len(m) // 8)), np.random.default_rng(42))[0].astype(np.float64))
+    home = np.round(m @ centroids.T, 6).argmax(axis=1)
+    # Few of the best are in a small sample; a few more, which are farther off, tell enough.
+    n = min(len(m), keep, max(30, -(-keep * len(m) // total)))
+    probes = 1
+    for row in asked:
+        q = _unit(np.array([row.q], np.float64))[0]
+        place = np.empty(len(centroids), np.int64)
+        place[np.argsort(-np.round(centroids @ q, 6), kind="stable")] = np.arange(len(centroids))
+        best = np.argsort(-(m @ q), kind="stable")[:n]
+        probes = max(probes, 1 + int(np.quantile(place[home[best]], recall, method="higher")))
+    return centroids, probes
+
+
+def cell_candidates(rows: DataFrame, queries: DataFrame, *, dim: int, cells: int, keep: int, probes: int | None = None, recall: float = 0.9) -> DataFrame:
     """``qid, chunk_id, score``: full-precision scores of the passages in the ``probes`` nearest cells of each query, the best ``keep``.
 
+    Without ``probes`` the centroids are fitted, and as many cells visited as ``recall`` needs.
+
     Every vector is in the cell of its nearest centroid; vectors and queries
     meet in a join by cell.  Filters come after the candidates, so a filtered
     search may get fewer than it asked for.
     """
     spark = rows.sparkSession
-    centroids = cell_centroids(rows, cells)
+    asked = queries.select(F.col("qid").cast("long"), vectors.as_doubles(F.col("q")).alias("q")).where(vectors.is_valid(F.col("q"), dim))
+    if probes is None:
+        centroids, probes = fitted_cells(rows, asked, dim=dim, cells=cells, keep=keep, recall=recall)
+    else:
+        centroids = cell_centroids(rows, cells)
     empty = spark.createDataFrame([], "qid long, chunk_id long, score double")
     if not len(centroids):
         return empty
@@ -172,7 +221,6 @@ def cell_candidates(rows: DataFrame, queries: DataFrame, *, dim: int, cells: int
 
         return df.select(key, name).mapInArrow(run, f"{key} long, {name} array<double>, cell int")
 
-    asked = queries.select(F.col("qid").cast("long"), vectors.as_doubles(F.col("q")).alias("q")).where(vectors.is_valid(F.col("q"), dim))
     met = placed(rows, "chunk_id", "v", 1).join(placed(asked, "qid", "q", probes), "cell")
     floor = F.lit(vectors.NORM_FLOOR)
     cosine = vectors.dot(F.col("v"), F.col("q")) / (F.greatest(vectors.norm(F.col("v")), floor) * F.greatest(vectors.norm(F.col("q")), floor))

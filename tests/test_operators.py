@@ -228,6 +228,20 @@ def test_cells_with_all_probes_are_exhaustive(spark):
     assert semantic.cell_candidates(data.limit(0), queries, dim=8, cells=10, probes=4, keep=5).count() == 0
 
 
+def test_fitted_cells_reach_the_recall(spark):
+    rng = np.random.default_rng(8)
+    m, q = rng.normal(size=(3000, 16)), rng.normal(size=(5, 16))
+    data = spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(m)], "chunk_id long, v array<double>")
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid long, q array<double>")
+    exact = semantic.top_passages(semantic.cosine_scan(data, queries, dim=16, keep=50), 50)
+    least = lambda found: semantic.recall(exact, found).agg(F.min("recall")).first()[0]
+    assert least(semantic.cell_candidates(data, queries, dim=16, cells=64, probes=4, keep=50)) < 0.9
+    found = semantic.cell_candidates(data, queries, dim=16, cells=64, keep=50)
+    assert least(found) >= 0.9 and rows(found) == rows(semantic.cell_candidates(data, queries, dim=16, cells=64, keep=50))
+    assert semantic.fitted_cells(data, queries, dim=16, cells=64, keep=50, recall=0.9)[1] < 64
+    assert semantic.cell_candidates(data.limit(0), queries, dim=16, cells=64, keep=5).count() == 0
+
+
 def test_images_have_their_own_list(spark):
     f = spark.createDataFrame([(1, "image", [1.0, 0.0]), (2, "image", None), (3, "text", [1.0, 0.0]), (4, "image", [0.0, 1.0])], "file_id long, kind string, image_embedding array<float>")
     q = spark.createDataFrame([(7, [1.0, 0.2])], "qid long, q array<double>")
