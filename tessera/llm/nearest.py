@@ -4,7 +4,8 @@ The tree is fitted on a bounded sample (``sample_rows``); every row is indexed i
 centroid.  A search walks the tree best bin first: a priority queue holds nodes
 and leaves by their cosine to the query, and leaves are visited down to a margin
 below the best one.  The margin is widened until the wanted recall is reached on
-the sample, against the exact neighbours in it.  Queries then
+exact neighbours: of sampled rows in the sample, or, where only neighbours above a
+bound count, of sampled rows among all rows.  Queries then
 travel to the leaves they visit; no query meets the whole collection.
 """
 
@@ -25,6 +26,8 @@ from ..runtime import only, stage
 
 #: Rows of one block of a leaf; a larger leaf is cut into several blocks.
 BLOCK_ROWS = 4096
+#: Rows whose neighbours above a bound are sought among all rows for the calibration.
+CALIBRATION_ROWS = 10_000
 
 
 @dataclass
@@ -101,37 +104,25 @@ def fit(sample: np.ndarray, leaves: int, seed: int = 42) -> Tree:
     return Tree(tops, np.concatenate(parts).astype(np.float32), np.array(first))
 
 
-def calibrate(tree: Tree, sample: np.ndarray, k: int, least: float, recall: float, *, both_ways: bool = False, queries: int = 500) -> tuple[int, float, float]:
-    """How many top nodes to open and the margin for the leaves, for ``recall`` on the sample, and the recall reached.
+Pairs = tuple[np.ndarray, np.ndarray]
 
-    Counts the neighbours among the k most similar whose cosine is ``least`` or
-    more; with ``both_ways`` also those that would find the query themselves.
+
+def calibrate(tree: Tree, sample: np.ndarray, k: int, least: float, recall: float, *, both_ways: bool = False, pairs: Pairs | None = None) -> tuple[int, float, float]:
+    """How many top nodes to open and the margin for the leaves, for ``recall`` of the pairs of a query and its neighbour, and the recall reached.
+
+    Without ``pairs``, those of the k nearest in the sample whose cosine is
+    ``least`` or more; with ``both_ways`` a pair also counts if the neighbour
+    would find the query.
     """
-    k = min(k, len(sample) - 1)
-    if k < 1:
+    asking, wanted = pairs or sample_pairs(sample, k, least)
+    if not len(asking):
         return 1, 0.0, 1.0
-    # Neighbours above a bound may be rare, so all of the sample asks for them; else some queries tell enough.
-    step = 1 if least > -1 else max(1, len(sample) // queries)
-    rows = np.arange(0, len(sample), step)
-    parts = []
-    for a in range(0, len(rows), 1000):
-        own = rows[a : a + 1000]
-        cosines = sample[own] @ sample.T
-        cosines[np.arange(len(own)), own] = -2
-        asking = np.flatnonzero((cosines >= least).any(axis=1))
-        cosines = cosines[asking]
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        wanted = np.take_along_axis(cosines, near, 1) >= least
-        parts.append(np.column_stack([np.repeat(own[asking], k)[wanted.ravel()], near[wanted]]))
-    ends = np.concatenate(parts)
-    if not len(ends):
-        return min(4, len(tree.tops)), 0.1, 1.0
-    home = tree.home(sample)
     opened = min(2, len(tree.tops))
+    to, back = tree.home(wanted), tree.home(asking)
     while True:
-        gap = tree.gaps(sample[ends[:, 0]], home[ends[:, 1]], opened)
+        gap = tree.gaps(asking, to, opened)
         if both_ways:
-            gap = np.minimum(gap, tree.gaps(sample[ends[:, 1]], home[ends[:, 0]], opened))
+            gap = np.minimum(gap, tree.gaps(wanted, back, opened))
         # The nodes that are opened may lose half of what may be lost.
         if np.isfinite(gap).mean() >= (1 + recall) / 2 or opened == len(tree.tops):
             margin = float(np.quantile(gap, recall, method="higher")) + 1e-6
@@ -139,6 +130,56 @@ def calibrate(tree: Tree, sample: np.ndarray, k: int, least: float, recall: floa
         opened = min(len(tree.tops), max(opened + 1, math.ceil(opened * 1.3)))
 
 
+def sample_pairs(sample: np.ndarray, k: int, least: float = -1.0, queries: int = 500) -> Pairs:
+    """Some vectors of the sample and their k nearest in it, as far as the cosine is ``least`` or more."""
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return sample[:0], sample[:0]
+    own = np.arange(0, len(sample), max(1, len(sample) // queries))
+    cosines = sample[own] @ sample.T
+    cosines[np.arange(len(own)), own] = -2
+    near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+    good = np.take_along_axis(cosines, near, 1) >= least
+    return sample[np.repeat(own, good.sum(axis=1))], sample[near[good]]
+
+
+def bounded_pairs(index: DataFrame, ids: np.ndarray, asked: np.ndarray, *, dim: int, k: int, least: float, fewest: int) -> Pairs:
+    """Vectors that were asked for and of those of their k nearest among all rows whose cosine is ``least`` or more.
+
+    Every batch hands on the best k of each query only.  If less than ``fewest``
+    pairs come out, pairs that are just so near are made from the vectors.
+    """
+    shared = index.sparkSession.sparkContext.broadcast((ids, asked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, q = shared.value
+        for batch in batches:
+            own, m = batch.column("id").to_numpy(), _units(batch.column("vec"), dim).astype(np.float32)
+            for a in range(0, len(q), 1000):
+                cosines = q[a : a + 1000] @ m.T
+                rows = np.flatnonzero(cosines.max(axis=1, initial=-2) >= least)
+                cosines = cosines[rows]
+                cosines[own[None, :] == q_ids[a + rows, None]] = -2
+                near = np.argpartition(-cosines, k - 1, axis=1)[:, :k] if len(own) > k else np.broadcast_to(np.arange(len(own)), (len(rows), len(own)))
+                good = np.take_along_axis(cosines, near, 1) >= least
+                at = near[good]
+                found = [pa.array(np.repeat(a + rows, good.sum(axis=1)), pa.int64()), batch.column("id").take(pa.array(at)), pa.array(np.take_along_axis(cosines, near, 1)[good].astype(np.float64)), batch.column("vec").take(pa.array(at))]
+                yield pa.RecordBatch.from_arrays(found, names=["query", "id", "cosine", "vec"])
+
+    found = index.select("id", "vec").mapInArrow(run, "query long, id long, cosine double, vec array<float>")
+    best = Window.partitionBy("query").orderBy(F.desc("cosine"), "id")
+    table = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select("query", "id", "vec").toArrow().sort_by([("query", "ascending"), ("id", "ascending")])
+    asking, wanted = asked[table.column("query").to_numpy()], _units(table.column("vec"), dim).astype(np.float32) if table.num_rows else asked[:0]
+    if len(asking) < fewest:
+        rng = np.random.default_rng(9)
+        x = asked[rng.choice(len(asked), 2000)]
+        away = rng.normal(size=x.shape)
+        away -= (away * x).sum(axis=1, keepdims=True) * x
+        made = least * x + math.sqrt(max(0.0, 1 - least * least)) * away / np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-9)
+        asking, wanted = np.concatenate([asking, x]), np.concatenate([wanted, made.astype(np.float32)])
+    return asking, wanted
+
+
 def usable_vectors(df: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
     """``id, vec`` once for every id whose vector has exactly ``dim`` finite values, not all zero."""
     src = only(df, id=F.col(f"`{id_col}`").cast("long"), vec=F.col(f"`{vector_col}`").cast("array<float>")).where((F.size("vec") == dim) & F.col("id").isNotNull())
@@ -221,7 +262,11 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, *, dim: int = 64, k: in
     table = sample.toArrow().sort_by("id")
     unit = _units(table.column("vec"), dim).astype(np.float32)
     tree = fit(unit, max(1, min(rows // leaf_rows, len(unit) // 8)))
-    opened, margin, _ = calibrate(tree, unit, k, least, recall, both_ways=every == 1 and recall < 1)
+    pairs = None
+    if least > -1:
+        some = np.argsort(table.column("drawn").to_numpy(), kind="stable")[:CALIBRATION_ROWS]
+        pairs = bounded_pairs(index, table.column("id").to_numpy()[some], unit[some], dim=dim, k=k, least=least, fewest=min(1000, math.ceil(1 / max(1e-3, 1 - recall))))
+    opened, margin, _ = calibrate(tree, unit, k, least, recall, both_ways=every == 1 and recall < 1, pairs=pairs)
     chosen = spark.sparkContext.broadcast(tree)
 
     def assign(route: bool):

@@ -3,7 +3,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tessera.llm.nearest import calibrate, fit, nearest
+from tessera.llm.nearest import bounded_pairs, calibrate, fit, nearest
 from tessera.llm.packing import DEFAULT_TOKENIZER, encoding, pack, training_windows, windows
 
 SCHEMA = "k long, v array<float>"
@@ -33,6 +33,24 @@ def test_recall_on_clustered_vectors(spark):
     assert hit >= 0.95 * sum(map(len, want.values())) > 0
 
 
+def test_calibration_pairs_do_not_fall_with_the_rows(spark):
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(3000, 16))
+    m = np.concatenate([m, m + 0.05 * rng.normal(size=m.shape)]).astype(np.float32)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vec array<float>")
+    # Of few sampled rows hardly any neighbour is in the sample, but each has its own among all rows.
+    some = np.arange(0, 3000, 60)
+    asking, wanted = bounded_pairs(index, some, u[some], dim=16, k=4, least=0.95, fewest=1)
+    cosines = u[some] @ u.T
+    cosines[np.arange(len(some)), some] = -2
+    assert len(asking) == (cosines >= 0.95).sum() >= len(some)
+    assert ((asking * wanted).sum(axis=1) >= 0.95 - 1e-5).all()
+    # Where there are none, pairs at the bound stand for them.
+    asking, wanted = bounded_pairs(index, some, u[some], dim=16, k=4, least=0.9999999, fewest=1000)
+    assert len(asking) >= 1000 and (asking * wanted).sum(axis=1) == pytest.approx(0.9999999, abs=1e-4)
+
+
 def test_every_leaf_is_exact(spark):
     rng = np.random.default_rng(2)
     m = rng.normal(size=(120, 8)).astype(np.float32)
