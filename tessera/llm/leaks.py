@@ -116,22 +116,23 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int, *, open_end: bool = F
     return min(min(row) if open_end else row[-1], most + 1)
 
 
-def repetitions(item_windows: np.ndarray, rule: Rule, most: int = 100) -> int:
-    """How many repetitions reach the rule's recall, from windows with as many random edits as it allows.
+def repetitions(rule: Rule, most: int = 100) -> int:
+    """How many repetitions reach the rule's recall, from made windows with as many random edits as it allows.
 
+    It depends on the rule only, not on which passages there are.
     Spans of each length must reach it on their own, so that inserted and missing words are found as often as other ones.
     """
-    if rule.edits == 0 or not len(item_windows):
+    if rule.edits == 0:
         return 1
     rng = np.random.default_rng(7)
-    rows = item_windows[rng.choice(len(item_windows), 2000)]
+    rows = rng.integers(1, 2**62, (20_000, rule.window)).astype(np.uint64)
     pairs: dict[int, list] = {}
     for x in rows:
         y = x.tolist()
         for _ in range(rule.edits):
             kind, new = int(rng.integers(3)), int(rng.integers(1, 2**62))
-            # Nothing is inserted before or after the words, as a span without it is as near.
-            at = int(rng.integers(kind == 1, max(2, len(y))))
+            # All edits are inside, as those of the first and last word are found more easily.
+            at = int(rng.integers(1, max(2, len(y) - (kind != 1))))
             y[at : at + (kind != 1)] = [new] * (kind != 2)
         pairs.setdefault(len(y), []).append((x, y))
     sides = [(np.array([x for x, _ in p], np.uint64), np.array([y for _, y in p], np.uint64)) for n, p in pairs.items() if n]
@@ -193,7 +194,7 @@ class _Index:
         x = windows(flat, starts, rule.window)
         self.intact = np.unique(runs(flat, lengths, rule.intact)[0])
         self.tables = []
-        for r in range(repetitions(x, rule)):
+        for r in range(repetitions(rule)):
             k = keys(x, rule, r)
             order = np.argsort(k, kind="stable")
             self.tables.append((k[order], order))
@@ -335,6 +336,5 @@ def leaks(documents: DataFrame, id_col: str, text_col: str, cases: DataFrame, ca
     if len(rows) <= few_items:
         found = _few(src, sorted(rows), rule)
     else:
-        sample = _Index(rows[:200], rule)
-        found = _many(src, items, rule, len(sample.tables))
+        found = _many(src, items, rule, repetitions(rule))
     return found.groupBy(F.col("id").alias("doc_id"), "case_id").agg(F.countDistinct("word").alias("windows"), F.min("edits").alias("edits"))

@@ -123,6 +123,20 @@ def test_p7_near_finds_inserted_missing_and_other_words(spark, tmp_path, few):
         assert sum(places[r.case_id][0] == kind for r in pairs) >= 34
 
 
+def test_many_passages_are_found_whichever_come_first(spark):
+    rule = Rule(window=12, stride=1, run=0, edits=1, sampled=12, recall=0.95)
+    rng = random.Random(7)
+    cases = [(i, " ".join(rng.sample([f"v{i}x{k}" for k in range(12)], 12)), None, 0) for i in range(60)]
+    docs = [(i, " ".join(edited(q.split(), "other", 1 + i % 10))) for i, q, *_ in cases]
+    short = [(1000 + i, f"too short {i}", None, 0) for i in range(3000)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    found = []
+    for first in (short + cases, cases + short):
+        c = spark.createDataFrame(first, CASES).coalesce(1)
+        found.append(rows(leaks(d, "doc_id", "text", c, "case_id", ["question"], rule, few_items=3), "doc_id", "case_id"))
+    assert found[0] == found[1] and len(found[0]) >= 54
+
+
 def test_a_missing_or_inserted_word_costs_one():
     a, b = np.arange(1, 13), np.arange(1, 14)
     assert edit_distance(a, np.delete(b, 4), 1, open_end=True) == edit_distance(a, np.insert(a, 4, 99), 1, open_end=True) == 1
