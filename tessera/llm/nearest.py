@@ -1,12 +1,14 @@
 """The k most similar vectors of every vector, by a hierarchical k-means tree.
 
-The tree is fitted on a bounded sample (``sample_rows``); every row is indexed in the leaf of its nearest
-centroid.  A search walks the tree best bin first: a priority queue holds nodes
-and leaves by their cosine to the query, and leaves are visited down to a margin
-below the best one.  The margin is widened until the wanted recall is reached on
-exact neighbours: of sampled rows in the sample, or, where only neighbours above a
-bound count, of sampled rows among all rows.  Queries then
-travel to the leaves they visit; no query meets the whole collection.
+The upper levels of the tree are fitted on a bounded sample (``sample_rows``).  Every row is indexed in a leaf
+that is nearest to it; leaves that turn out too large, by exact counts over all rows, are split further by
+fits among their own rows, so that the number of leaves grows with the rows and the size of a leaf doesn't.
+A search walks the tree best bin first: a priority queue holds nodes and leaves by their cosine to the query,
+each level with a calibrated lift, and only the children of nodes that come out are looked at.  The search ends
+when what comes out is more than a margin below the best leaf.  Margin and lifts are widened until the wanted
+recall is reached on exact neighbours: of sampled rows in the sample, or, where only neighbours above a
+bound count, of sampled rows among all rows.  Queries then travel to the leaves they visit; no query meets
+the whole collection.
 """
 
 from __future__ import annotations
@@ -23,76 +25,129 @@ from pyspark.sql import functions as F
 
 from ..operators.semantic import kmeans
 from ..runtime import only, stage
-
-#: Rows of one block of a leaf; a larger leaf is cut into several blocks.
+from .hashing import U64, mix64
+
+#: A leaf with more rows than SPLIT_LEAVES times the wanted number is split.
+SPLIT_LEAVES = 4
+#: Children of a node that is split, at most, and sampled rows that each child is fitted on.
+FANOUT, FIT_ROWS = 256, 32
+#: Leaves of a tree, at most: 34 MB of centroids of 64 dimensions on every executor.
+MOST_LEAVES = 131_072
+#: Rows of one block of a leaf; a larger leaf, which only a tree of MOST_LEAVES or of very many equal rows can have, is cut into several blocks.
 BLOCK_ROWS = 4096
 #: Rows whose neighbours above a bound are sought among all rows for the calibration.
 CALIBRATION_ROWS = 10_000
 
 
 @dataclass
-class Tree:
-    """Two levels of unit centroids; leaves are numbered through, parent by parent."""
-
-    tops: np.ndarray
-    leaves: np.ndarray
-    first: np.ndarray  # number of the first leaf of each top node, and the end
+class Search:
+    """How far a search goes: the margin below the best leaf, and the lift of the nodes of each inner level."""
 
-    def home(self, vectors: np.ndarray) -> np.ndarray:
-        """The leaf with the nearest centroid of every vector, in which it is indexed."""
-        return np.concatenate([(vectors[a : a + 2000] @ self.leaves.T).argmax(axis=1) for a in range(0, len(vectors), 2000)] or [np.empty(0, np.int64)])
+    margin: float
+    lifts: list[float]
 
-    def visits(self, queries: np.ndarray, opened: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
-        """The leaves that every query visits, as rows and numbers of leaves.
 
-        Best bin first: the queue begins with the ``opened`` nearest top nodes;
-        a node that comes out puts its leaves into the queue, a leaf that comes
-        out is visited unless its cosine is more than ``margin`` below that of
-        the best leaf seen.
+@dataclass
+class Tree:
+    """Levels of unit centroids; the children of node i of a level are first[level][i] to first[level][i + 1] of the next."""
+
+    levels: list[np.ndarray]
+    first: list[np.ndarray]
+
+    @property
+    def leaves(self) -> np.ndarray:
+        return self.levels[-1]
+
+    def parents(self, level: int) -> np.ndarray:
+        """The parent of every node of the level after this one."""
+        return np.repeat(np.arange(len(self.levels[level])), np.diff(self.first[level]))
+
+    def _best_children(self, level: int, rows: np.ndarray, nodes: np.ndarray, vectors: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every (row, node) the ``keep`` children nearest to the row's vector, as rows, children and cosines."""
+        order = np.argsort(nodes, kind="stable")
+        rows, nodes = rows[order], nodes[order]
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for part in np.split(np.arange(len(nodes)), np.flatnonzero(np.diff(nodes)) + 1):
+            lo, hi = self.first[level][nodes[part[0]] : nodes[part[0]] + 2]
+            near = vectors[rows[part]] @ self.levels[level + 1][lo:hi].T
+            at = np.argsort(-near, axis=1, kind="stable")[:, :keep]
+            out.append((np.repeat(rows[part], at.shape[1]), lo + at.ravel(), np.take_along_axis(near, at, 1).ravel()))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def home(self, vectors: np.ndarray, width: int = 4) -> np.ndarray:
+        """The leaf in which every vector is indexed: the nearest one below the ``width`` nearest nodes of each level."""
+        out = np.zeros(len(vectors), np.int64)
+        for a in range(0, len(vectors), 8192):
+            v = vectors[a : a + 8192]
+            near = v @ self.levels[0].T
+            at = np.argsort(-near, axis=1, kind="stable")[:, :width]
+            rows, nodes, cosines = np.repeat(np.arange(len(v)), at.shape[1]), at.ravel(), np.take_along_axis(near, at, 1).ravel()
+            for level in range(len(self.levels) - 1):
+                rows, nodes, cosines = self._best_children(level, rows, nodes, v, width)
+                order = np.lexsort((nodes, -cosines, rows))
+                rows, nodes, cosines = rows[order], nodes[order], cosines[order]
+                nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                rows, nodes, cosines = rows[nth < width], nodes[nth < width], cosines[nth < width]
+            one = np.searchsorted(rows, np.arange(len(v)))
+            out[a : a + len(v)] = nodes[one]
+        return out
+
+    def visits(self, queries: np.ndarray, search: Search) -> tuple[np.ndarray, np.ndarray]:
+        """The leaves that every query visits, as rows and numbers of leaves, best bin first.
+
+        The queue begins with the top nodes.  A node that comes out puts its
+        children into the queue, a leaf that comes out is visited; the search
+        ends when the best of what is left is more than the margin below the
+        best leaf seen.  Nodes count with their level's lift.
         """
         rows: list[int] = []
         leaves: list[int] = []
-        bounds = self.first.tolist()
+        last, levels, margin = len(self.levels) - 1, self.levels, search.margin
+        lifts, bounds = [*search.lifts, 0.0], [f.tolist() for f in self.first]
+        pop, push = heapq.heappop, heapq.heappush
         for a in range(0, len(queries), 1000):
-            part = queries[a : a + 1000]
-            near_top, near_leaf = part @ self.tops.T, part @ self.leaves.T
-            order = np.argsort(-near_top, axis=1)[:, :opened]
-            for q in range(len(part)):
-                scores = near_leaf[q]
-                queue = [(-near_top[q, t], -1 - int(t)) for t in order[q]]
+            tops = queries[a : a + 1000] @ levels[0].T + lifts[0]
+            for q, keys in enumerate(tops):
+                v = queries[a + q]
+                best = float(keys.max()) if not last else -2.0
+                queue = [(-k, 0, i) for i, k in enumerate(keys.tolist())]
                 heapq.heapify(queue)
-                best = -2.0
                 while queue:
-                    cost, node = heapq.heappop(queue)
-                    if node >= 0:
-                        if -cost >= best - margin:
-                            rows.append(a + q)
-                            leaves.append(node)
+                    key, level, node = pop(queue)
+                    if -key < best - margin:
+                        break
+                    if level == last:
+                        rows.append(a + q)
+                        leaves.append(node)
                         continue
-                    lo, hi = bounds[-1 - node], bounds[-node]
-                    inside = scores[lo:hi]
-                    best = max(best, float(inside.max()))
-                    for i in np.flatnonzero(inside >= best - margin):
-                        heapq.heappush(queue, (-float(inside[i]), lo + int(i)))
+                    lo, hi = bounds[level][node], bounds[level][node + 1]
+                    level += 1
+                    near = levels[level][lo:hi] @ v
+                    if level == last:
+                        best = max(best, float(near.max()))
+                    near = near + lifts[level]
+                    for i in np.flatnonzero(near >= best - margin).tolist():
+                        push(queue, (-float(near[i]), level, lo + i))
         return np.array(rows, np.int64), np.array(leaves, np.int64)
 
-    def gaps(self, queries: np.ndarray, wanted: np.ndarray, opened: int) -> np.ndarray:
-        """By how much the wanted leaf of each query is farther than its best leaf, among the leaves of the opened nodes."""
-        parent = np.repeat(np.arange(len(self.tops)), np.diff(self.first))
-        out = []
-        for a in range(0, len(queries), 2000):
-            part, leaf = queries[a : a + 2000], wanted[a : a + 2000]
-            near = part @ self.leaves.T
-            order = np.argsort(-(part @ self.tops.T), axis=1)[:, :opened]
-            own = np.zeros((len(part), len(self.tops)), bool)
-            np.put_along_axis(own, order, True, axis=1)
-            near[~own[:, parent]] = -np.inf
-            out.append(near.max(axis=1) - near[np.arange(len(part)), leaf])
-        return np.concatenate(out)
+    def gaps(self, queries: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Per level and query, by how much the wanted leaf (or its ancestor) is farther than the query's best leaf."""
+        out = np.empty((len(self.levels), len(queries)))
+        node = wanted
+        at = []
+        for level in range(len(self.levels) - 1, -1, -1):
+            at.append(node)
+            node = self.parents(level - 1)[node] if level else node
+        for a in range(0, len(queries), 1000):
+            v = queries[a : a + 1000]
+            best = (v @ self.leaves.T).max(axis=1)
+            for level, nodes in zip(range(len(self.levels)), reversed(at), strict=True):
+                out[level, a : a + 1000] = best - (v * self.levels[level][nodes[a : a + 1000]]).sum(axis=1)
+        return out
 
 
 def fit(sample: np.ndarray, leaves: int, seed: int = 42) -> Tree:
-    """A tree of about ``leaves`` leaves over unit vectors."""
+    """A tree of two levels and about ``leaves`` leaves over unit vectors."""
     rng = np.random.default_rng(seed)
     tops, own = kmeans(sample, max(1, round(math.sqrt(leaves))), rng)
     parts, first = [], [0]
@@ -101,33 +156,101 @@ def fit(sample: np.ndarray, leaves: int, seed: int = 42) -> Tree:
         part = kmeans(members, max(1, round(leaves * len(members) / len(sample))), rng)[0] if len(members) else tops[t : t + 1]
         parts.append(part)
         first.append(first[-1] + len(part))
-    return Tree(tops, np.concatenate(parts).astype(np.float32), np.array(first))
+    return Tree([tops, np.concatenate(parts).astype(np.float32)], [np.array(first)])
+
+
+def children_wanted(counts: np.ndarray, leaf_rows: int, most_leaves: int = MOST_LEAVES) -> np.ndarray:
+    """Into how many leaves each leaf with so many rows is to be split: 1 for those that stay."""
+    wanted = np.where(counts > SPLIT_LEAVES * leaf_rows, np.clip(-(-counts // leaf_rows), 1, FANOUT), 1)
+    room = most_leaves - len(counts)
+    extra = int((wanted - 1).sum())
+    if extra > room:
+        wanted = 1 + (wanted - 1) * max(0, room) // extra
+    return wanted
+
+
+def blocks_of(counts: np.ndarray) -> np.ndarray:
+    """Blocks of each leaf."""
+    return np.maximum(1, -(-counts // BLOCK_ROWS)).astype(int)
+
+
+def counted(index: DataFrame, tree: Tree, dim: int) -> np.ndarray:
+    """Rows of every leaf, exactly."""
+    shared = index.sparkSession.sparkContext.broadcast(tree)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value.leaves), np.int64)
+        for batch in batches:
+            total += np.bincount(shared.value.home(_units(batch.column("vec"), dim).astype(np.float32)), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["leaf", "n"])
+
+    found = index.select("vec").mapInArrow(run, "leaf int, n long").groupBy("leaf").agg(F.sum("n").alias("n")).toArrow()  # a row for a leaf
+    out = np.zeros(len(tree.leaves), np.int64)
+    out[found.column("leaf").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def grown(index: DataFrame, tree: Tree, counts: np.ndarray, wanted: np.ndarray, dim: int) -> Tree:
+    """A tree in which every leaf that is to be split has been fitted on a sample of its own rows, each by one task.
+
+    The new leaves take the place of the old ones as long as few are split;
+    otherwise they make one more level below them.
+    """
+    spark = index.sparkSession
+    rate = np.where(wanted > 1, np.minimum(1.0, FIT_ROWS * wanted / np.maximum(1, counts)), 0.0)
+    shared = spark.sparkContext.broadcast((tree, (rate * 2**53).astype(np.uint64)))
+    split = {int(i): int(wanted[i]) for i in np.flatnonzero(wanted > 1)}
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, least = shared.value
+        for batch in batches:
+            leaf = own.home(_units(batch.column("vec"), dim).astype(np.float32))
+            keep = np.flatnonzero(mix64(batch.column("id").to_numpy().view(np.uint64) ^ U64(77)) >> U64(11) < least[leaf])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(keep)), batch.column("vec").take(pa.array(keep)), pa.array(leaf[keep].astype(np.int32))], names=["id", "vec", "leaf"])
+
+    def refit(members: pa.Table) -> pa.Table:
+        members = members.sort_by("id")
+        leaf = members.column("leaf")[0].as_py()
+        centres = kmeans(_units(members.column("vec"), dim).astype(np.float32), split[leaf], np.random.default_rng(leaf))[0]
+        return pa.table({"leaf": pa.array([leaf] * len(centres), pa.int32()), "nth": pa.array(range(len(centres)), pa.int32()), "centre": pa.array(list(centres.astype(np.float32)), pa.list_(pa.float32()))})
+
+    fits = index.select("id", "vec").mapInArrow(drawn, "id long, vec array<float>, leaf int").groupBy("leaf").applyInArrow(refit, "leaf int, nth int, centre array<float>")
+    table = fits.toArrow().sort_by([("leaf", "ascending"), ("nth", "ascending")])  # MOST_LEAVES rows at most
+    leaf = table.column("leaf").to_numpy()
+    centres = _matrix(table.column("centre"), dim) if table.num_rows else tree.leaves[:0]
+    alone = np.setdiff1d(np.arange(len(tree.leaves)), leaf)
+    order = np.argsort(np.concatenate([leaf, alone]), kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.maximum(1, np.bincount(leaf, minlength=len(tree.leaves))))])
+    leaves = np.concatenate([centres, tree.leaves[alone]])[order].astype(np.float32)
+    if len(leaves) < 2 * len(tree.leaves):
+        return Tree([*tree.levels[:-1], leaves], [*tree.first[:-1], ends[tree.first[-1]]])
+    return Tree([*tree.levels, leaves], [*tree.first, ends])
 
 
 Pairs = tuple[np.ndarray, np.ndarray]
 
 
-def calibrate(tree: Tree, sample: np.ndarray, k: int, least: float, recall: float, *, both_ways: bool = False, pairs: Pairs | None = None) -> tuple[int, float, float]:
-    """How many top nodes to open and the margin for the leaves, for ``recall`` of the pairs of a query and its neighbour, and the recall reached.
+def calibrate(tree: Tree, sample: np.ndarray, k: int, least: float, recall: float, *, both_ways: bool = False, pairs: Pairs | None = None) -> tuple[Search, float]:
+    """How far to search for ``recall`` of the pairs of a query and its neighbour, and the recall reached.
 
     Without ``pairs``, those of the k nearest in the sample whose cosine is
     ``least`` or more; with ``both_ways`` a pair also counts if the neighbour
     would find the query.
     """
     asking, wanted = pairs or sample_pairs(sample, k, least)
+    inner = len(tree.levels) - 1
     if not len(asking):
-        return 1, 0.0, 1.0
-    opened = min(2, len(tree.tops))
-    to, back = tree.home(wanted), tree.home(asking)
-    while True:
-        gap = tree.gaps(asking, to, opened)
-        if both_ways:
-            gap = np.minimum(gap, tree.gaps(wanted, back, opened))
-        # The nodes that are opened may lose half of what may be lost.
-        if np.isfinite(gap).mean() >= (1 + recall) / 2 or opened == len(tree.tops):
-            margin = float(np.quantile(gap, recall, method="higher")) + 1e-6
-            return opened, margin, float((gap <= margin).mean())
-        opened = min(len(tree.tops), max(opened + 1, math.ceil(opened * 1.3)))
+        return Search(0.0, [0.0] * inner), 1.0
+    gap = tree.gaps(asking, tree.home(wanted))
+    back = tree.gaps(wanted, tree.home(asking)) if both_ways else gap
+    easier = np.where(gap[-1] <= back[-1], gap, back)
+    # The inner levels together may lose half of what may be lost.
+    opened = [float(np.quantile(g, 1 - (1 - recall) / 2 / inner, method="higher")) + 1e-6 for g in easier[:-1]]
+    reached = [np.where((g[:-1] <= np.array(opened)[:, None]).all(axis=0), g[-1], np.inf) for g in (gap, back)]
+    one = np.minimum(*reached)
+    margin = float(np.quantile(one, recall, method="higher")) + 1e-6
+    return Search(margin, [o - margin for o in opened]), float((one <= margin).mean())
 
 
 def sample_pairs(sample: np.ndarray, k: int, least: float = -1.0, queries: int = 500) -> Pairs:
@@ -214,8 +337,8 @@ def _search(members: pa.Table, queries: pa.Table, dim: int, k: int, least: float
     for a in range(0, len(q_ids), step):
         micro = np.rint(qm[a : a + step] @ m.T * 1e6)
         own = ids[None, :] == q_ids[a : a + step, None]
-        # One exact number orders by cosine, then by the smaller id (members are sorted by id).
-        key = micro * 65536.0 - np.arange(width)
+        # One exact number, below 2 ** 53, orders by cosine, then by the smaller id: members are sorted by id, and fewer than 2 ** 32.
+        key = micro * 4294967296.0 - np.arange(width)
         key[own] = -np.inf
         if least > -1:
             rows = np.flatnonzero((micro >= round(least * 1e6)).sum(axis=1) > own.sum(axis=1))
@@ -258,22 +381,32 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, *, dim: int = 64, k: in
     drawn = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(rows))
     sample = index.select("id", "vec", drawn.alias("drawn"))
     if rows > sample_rows:
-        sample = sample.where(F.col("drawn") < sample_rows).orderBy("drawn", "id").limit(2 * sample_rows)
-    table = sample.toArrow().sort_by("id")
+        sample = sample.where(F.col("drawn") < sample_rows + CALIBRATION_ROWS).orderBy("drawn", "id").limit(sample_rows + CALIBRATION_ROWS)
+    table = sample.toArrow().sort_by([("drawn", "ascending"), ("id", "ascending")])
     unit = _units(table.column("vec"), dim).astype(np.float32)
-    tree = fit(unit, max(1, min(rows // leaf_rows, len(unit) // 8)))
+    fitted, held = unit[:sample_rows], slice(sample_rows, None)
+    # Rows that the tree wasn't fitted on tell how far to search, where there are enough of them; if it was fitted on all rows, these do.
+    if len(unit) < sample_rows + 1000:
+        held = slice(0, CALIBRATION_ROWS)
+    tree = fit(fitted, max(1, min(rows // leaf_rows, len(fitted) // 8)))
     pairs = None
     if least > -1:
-        some = np.argsort(table.column("drawn").to_numpy(), kind="stable")[:CALIBRATION_ROWS]
-        pairs = bounded_pairs(index, table.column("id").to_numpy()[some], unit[some], dim=dim, k=k, least=least, fewest=min(1000, math.ceil(1 / max(1e-3, 1 - recall))))
-    opened, margin, _ = calibrate(tree, unit, k, least, recall, both_ways=every == 1 and recall < 1, pairs=pairs)
+        pairs = bounded_pairs(index, table.column("id").to_numpy()[held], unit[held], dim=dim, k=k, least=least, fewest=min(1000, math.ceil(1 / max(1e-3, 1 - recall))))
+    counts = counted(index, tree, dim)
+    # Levels are added until every leaf is small; the rows of a leaf that can't be split any further are cut into blocks.
+    largest = rows + 1
+    while (wanted := children_wanted(counts, leaf_rows)).max() > 1 and counts.max() < largest:
+        largest = counts.max()
+        tree = grown(index, tree, counts, wanted, dim)
+        counts = counted(index, tree, dim)
+    search, _ = calibrate(tree, fitted, k, least, recall, both_ways=every == 1 and recall < 1, pairs=pairs)
     chosen = spark.sparkContext.broadcast(tree)
 
     def assign(route: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 units = _units(batch.column("vec"), dim).astype(np.float32)
-                at, leaf = chosen.value.visits(units, opened, margin) if route else (np.arange(len(units)), chosen.value.home(units))
+                at, leaf = chosen.value.visits(units, search) if route else (np.arange(len(units)), chosen.value.home(units))
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), batch.column("vec").take(pa.array(at)), pa.array(leaf.astype(np.int32))], names=["id", "vec", "leaf"])
 
         return run
@@ -282,11 +415,8 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, *, dim: int = 64, k: in
     asked = base if every == 1 else base.where(F.col("id") % every == 0)
     homed = base.mapInArrow(assign(False), "id long, vec array<float>, leaf int")
     routed = asked.mapInArrow(assign(True), "id long, vec array<float>, leaf int")
-    # A leaf with many rows is cut into blocks on both sides, so that no task holds an unbounded group.
-    # The sample tells the shares of the leaves; there are no more of them than the sample has rows.
-    share = np.bincount(tree.home(unit), minlength=len(tree.leaves)) / len(unit)
-    blocks = np.maximum(1, np.ceil(2 * share * rows / BLOCK_ROWS)).astype(int)
-    cut = F.broadcast(spark.createDataFrame([(i, int(b)) for i, b in enumerate(blocks) if b > 1], "leaf int, n int"))
+    blocks = blocks_of(counts)
+    cut = F.broadcast(spark.createDataFrame([(i, int(b)) for i, b in enumerate(blocks) if b > 1], "leaf int, n int"))  # no more rows than leaves
 
     def blocked(side: DataFrame, own: str, other: str) -> DataFrame:
         side = side.join(cut, "leaf", "left").withColumn("n", F.coalesce("n", F.lit(1)))

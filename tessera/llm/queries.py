@@ -117,6 +117,12 @@ SQL = {
         dw as (select doc_id, array_to_string(list_slice(w, i, i + 11), ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from d)),
         cw as (select distinct case_id, array_to_string(list_slice(w, i, i + 11), ' ') as g from (select case_id, w, unnest(range(1, len(w) - 10)) as i from c))
         select distinct doc_id, case_id from dw join cw using (g)""",
+    "p5_found": """with u as (select chunk_id as id, any_value(cast(embedding as double[])) as v from chunks where chunk_id is not null and len(embedding) = 64
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by chunk_id),
+        n as (select id, list_transform(v, lambda x: x / l) as v from (select id, v, sqrt(list_inner_product(v, v)) as l from u)),
+        c as (select a.id as a, b.id as b, round(list_inner_product(a.v, b.v), 6) as cosine from n a join n b on a.id <> b.id),
+        r as (select a, b, cosine, row_number() over (partition by a order by cosine desc, b) as place from c)
+        select distinct least(a, b) as chunk_id_a, greatest(a, b) as chunk_id_b from r where place <= 5 and cosine >= 0.9""",
     "p3_found": r"""
         with recursive long_ones as (select distinct chunk_id, text, length(text) as n from chunks where length(text) > 1200 and chunk_id is not null),
         step(chunk_id, text, n, piece, start_char, end_char) as (

@@ -1,9 +1,12 @@
+import math
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tessera.llm.nearest import bounded_pairs, calibrate, fit, nearest
+from tessera.llm.nearest import BLOCK_ROWS, MOST_LEAVES, Search, _search, blocks_of, bounded_pairs, calibrate, children_wanted, counted, fit, grown, nearest
 from tessera.llm.packing import DEFAULT_TOKENIZER, encoding, pack, training_windows, windows
 
 SCHEMA = "k long, v array<float>"
@@ -83,10 +86,11 @@ def test_calibration_reaches_its_recall():
     x = rng.normal(size=(3000, 16)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     tree = fit(x, 40)
-    opened, margin, reached = calibrate(tree, x, 5, -1.0, 0.9)
-    assert reached >= 0.9 and opened <= len(tree.tops)
-    home, (rows_, leaves) = tree.home(x), tree.visits(x, opened, margin)
-    assert set(zip(range(300), home[:300].tolist(), strict=True)) <= set(zip(*(v.tolist() for v in tree.visits(x[:300], len(tree.tops), 0.0)), strict=True))
+    search, reached = calibrate(tree, x, 5, -1.0, 0.9)
+    assert reached >= 0.9
+    home, (rows_, leaves) = tree.home(x), tree.visits(x, search)
+    assert (home == tree.home(x, width=len(tree.levels[0]))).mean() > 0.9
+    assert (tree.home(x, width=len(tree.levels[0])) == (x @ tree.leaves.T).argmax(axis=1)).all()
     cos = x[:100] @ x.T
     cos[np.arange(100), np.arange(100)] = -2
     near = np.argsort(-cos, axis=1)[:, :5]
@@ -94,6 +98,73 @@ def test_calibration_reaches_its_recall():
     assert np.mean([(q, home[n]) in seen for q in range(100) for n in near[q]]) >= 0.85
 
 
+def test_visits_are_best_bin_first():
+    """A search with any margin visits the leaves that a search over all leaves would, as far as their nodes are opened."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2000, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = fit(x, 60)
+    cosines = x[:50] @ tree.leaves.T
+    for margin in (0.0, 0.1, 0.3):
+        rows_, leaves = tree.visits(x[:50], Search(margin, [10.0]))
+        want = set(zip(*(v.tolist() for v in np.nonzero(cosines >= cosines.max(axis=1, keepdims=True) - margin - 1e-7)), strict=True))
+        assert set(zip(rows_.tolist(), leaves.tolist(), strict=True)) ^ want == set()
+        assert all((np.diff(cosines[q][leaves[rows_ == q]]) <= 1e-6).all() for q in range(50))
+    opened = tree.visits(x[:50], Search(0.1, [0.0]))
+    assert len(opened[0]) <= len(tree.visits(x[:50], Search(0.1, [10.0]))[0])
+
+
+def test_more_members_than_sixteen_bits_can_number():
+    """With 140,000 members the order by cosine, then by id, still holds."""
+    n = 140_000
+    v = np.zeros((n, 4), np.float32)
+    v[:, 0], v[:, 1] = 0.5, math.sqrt(0.75)
+    v[n - 1] = [0.500001, math.sqrt(1 - 0.500001**2), 0, 0]
+    v[n // 2] = [0.500001, math.sqrt(1 - 0.500001**2), 0, 0]
+    members = pa.table({"id": pa.array(range(n), pa.int64()), "vec": pa.array(list(v), pa.list_(pa.float32()))})
+    asked = pa.table({"id": pa.array([-1], pa.int64()), "vec": pa.array([[1.0, 0.0, 0.0, 0.0]], pa.list_(pa.float32()))})
+    found = _search(members, asked, 4, 3, -1.0, False).sort_by([("cosine", "descending"), ("near", "ascending")])
+    assert found.column("near").to_pylist() == [n // 2, n - 1, 0]
+
+
+def test_leaves_grow_with_the_rows(spark):
+    rng = np.random.default_rng(6)
+    m = np.concatenate([rng.normal(size=(3000, 8)), rng.normal(size=(1, 8)) + 0.05 * rng.normal(size=(3000, 8))]).astype(np.float32)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    index = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vec array<float>")
+    tree = fit(u[::60], 6)
+    counts = counted(index, tree, 8)
+    assert counts.sum() == 6000 and (counts == np.bincount(tree.home(u), minlength=len(tree.leaves))).all()
+    wanted = children_wanted(counts, 100)
+    more = grown(index, tree, counts, wanted, 8)
+    assert len(more.leaves) == wanted.sum() and len(more.levels) == 3
+    few = np.where(np.arange(len(counts)) == counts.argmax(), 2, 1)
+    flat = grown(index, tree, counts, few, 8)
+    assert len(flat.levels) == 2 and len(flat.leaves) == len(tree.leaves) + 1 == flat.first[0][-1] and (np.diff(flat.first[0]) >= np.diff(tree.first[0])).all()
+    assert counted(index, more, 8).max() <= counts.max() / 3
+    # The whole search, by a tree that must grow from 100 sampled rows.
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], SCHEMA)
+    got: dict = {}
+    for r in nearest(df, "k", "v", dim=8, k=3, recall=0.97, leaf_rows=60, sample_rows=200, every=50).collect():
+        got.setdefault(r.id, set()).add(r.near)
+    cosines = u[::50] @ u.T
+    cosines[np.arange(len(cosines)), np.arange(0, 6000, 50)] = -2
+    near = np.argsort(-cosines, axis=1)[:, :3]
+    assert np.mean([len(got[50 * q] & set(w.tolist())) / 3 for q, w in enumerate(near)]) >= 0.9
+
+
+def test_a_tree_for_sixteen_million_rows_needs_no_blocks():
+    """By arithmetic: the tree of 2,500 leaves that the sample gives is split once, and then no vector is sent more often than to its one block."""
+    rows_ = 16_000_000
+    counts = np.full(2500, rows_ // 2500)
+    wanted = children_wanted(counts, 400)
+    assert wanted.sum() == rows_ // 400
+    after = np.repeat(counts // wanted, wanted)
+    assert blocks_of(3 * after).max() == 1 and children_wanted(after, 400).max() == 1
+    assert blocks_of(np.array([0, BLOCK_ROWS, BLOCK_ROWS + 1, 10 * BLOCK_ROWS])).tolist() == [1, 1, 2, 10]
+    assert children_wanted(np.full(2500, 10**7), 400).sum() <= MOST_LEAVES
+
+
 def test_pack_keeps_all_limits():
     rng = np.random.default_rng(4)
     tokens = rng.integers(1, 2049, 5000)
