@@ -17,6 +17,8 @@ from .top_n import top_n
 #: Units and thresholds of near-duplicate passages and paths in this project's data.
 CHUNKS = {"threshold": 0.6, "unit": "word", "size": 3, "bands": 24, "rows": 3}
 PATHS = {"threshold": 0.7, "unit": "char", "size": 4, "bands": 72, "rows": 7}
+#: Passages that are near to 12 words, or to the whole of a shorter passage.
+NEAR = Rule(window=12, stride=1, run=0, edits=1, sampled=9, recall=0.99, least=6)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -78,9 +80,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_near(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with 12 words of a question or target up to one inserted, missing or other word."""
-    rule = Rule(window=12, stride=1, run=0, edits=1, sampled=12, recall=0.95)
-    return leaks(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "relevance_cases"), "case_id", ["question", "target"], rule)
+    """Documents with 12 words of a question or target (all of it, if it has 6 to 11) up to one inserted, missing or other word."""
+    return leaks(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "relevance_cases"), "case_id", ["question", "target"], NEAR).select("doc_id", "case_id", "edits")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -117,6 +118,15 @@ SQL = {
         dw as (select doc_id, array_to_string(list_slice(w, i, i + 11), ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from d)),
         cw as (select distinct case_id, array_to_string(list_slice(w, i, i + 11), ' ') as g from (select case_id, w, unnest(range(1, len(w) - 10)) as i from c))
         select distinct doc_id, case_id from dw join cw using (g)""",
+    "p7_near": f"""with d as (select distinct doc_id, {_PLAIN.format("text")} as w from documents where text is not null and doc_id is not null),
+        c as (select distinct case_id, {_PLAIN.format("text")} as w from (select case_id, question as text from relevance_cases union all select case_id, target from relevance_cases) where text is not null and case_id is not null),
+        cw as (select distinct case_id, n, list_slice(w, i, i + n - 1) as g from (select case_id, w, least(12, len(w)) as n, unnest(range(1, greatest(1, len(w) - 10))) as i from c where len(w) >= 6)),
+        dw as (select doc_id, n, e, list_slice(w, i, i + n + e - 1) as g from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d), (select distinct n from cw), (values (-1), (0), (1)) v(e) where i + n + e - 1 <= len(w)),
+        less as (select *, unnest(range(1, n + e + 1)) as j from dw),
+        ck as (select case_id, n, 0 as e, 0 as j, 0 as edits, hash(g) as k from cw union all select case_id, n, 1, 0, 1, hash(g) from cw
+            union all select case_id, n, e, case when e = 0 then j else 0 end, 1, hash(list_concat(list_slice(g, 1, j - 1), list_slice(g, j + 1, n))) from (select *, unnest(range(1, n + 1)) as j from cw), (values (0), (-1)) v(e)),
+        dk as (select doc_id, n, e, 0 as j, hash(g) as k from dw where e <= 0 union all select doc_id, n, e, case when e = 0 then j else 0 end, hash(list_concat(list_slice(g, 1, j - 1), list_slice(g, j + 1, n + e))) from less where e >= 0)
+        select doc_id, case_id, min(edits) as edits from dk join ck using (n, e, j, k) group by doc_id, case_id""",
     "p5_found": """with u as (select chunk_id as id, any_value(cast(embedding as double[])) as v from chunks where chunk_id is not null and len(embedding) = 64
             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by chunk_id),
         n as (select id, list_transform(v, lambda x: x / l) as v from (select id, v, sqrt(list_inner_product(v, v)) as l from u)),

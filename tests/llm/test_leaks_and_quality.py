@@ -7,8 +7,8 @@ import pytest
 from conftest import rows
 
 from tessera.llm import quality
-from tessera.llm.leaks import Rule, edit_distance, keys, leaks, plain_words
-from tessera.llm.queries import p7_near
+from tessera.llm.leaks import INDEX_BYTES, Rule, edit_distances, keys, leaks, plain_words, repetitions
+from tessera.llm.queries import NEAR, p7_near
 from tessera.llm.quality import Rules, Summary, count_texts, statistics
 
 CASES = "case_id long, question string, target string, id long"
@@ -26,15 +26,20 @@ def test_plain_words(text, words):
     assert plain_words(text) == words
 
 
-def test_edit_distance():
-    rng = random.Random(1)
-    for _ in range(200):
-        a, b = ([rng.randrange(4) for _ in range(rng.randint(0, 7))] for _ in range(2))
-        d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
-        for i in range(1, len(a) + 1):
-            for j in range(1, len(b) + 1):
-                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
-        assert edit_distance(np.array(a), np.array(b), 3) == min(d[-1][-1], 4)
+def slow_distance(a, b):
+    d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+    return d
+
+
+def test_edit_distances():
+    rng = np.random.default_rng(1)
+    for n, m in ((1, 1), (5, 6), (7, 3)):
+        a, b = rng.integers(0, 4, (100, n)), rng.integers(0, 4, (100, m))
+        assert edit_distances(a, b).tolist() == [slow_distance(x, y)[-1][-1] for x, y in zip(a, b, strict=True)]
+        assert edit_distances(a, b, open_end=True).tolist() == [min(slow_distance(x, y)[-1]) for x, y in zip(a, b, strict=True)]
 
 
 def test_equal_windows_have_equal_keys_and_edits_often_do():
@@ -80,14 +85,14 @@ def brute(docs, cases, n=12):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("few", [10_000, 3])
-def test_leaks_equal_brute_force(spark, few):
+@pytest.mark.parametrize("room", [INDEX_BYTES, 0])
+def test_leaks_equal_brute_force(spark, room):
     docs, cases = corpus()
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, t string, case_id int")
     c = spark.createDataFrame([(*x, 1) for x in cases], CASES)
     want = brute(docs, cases)
-    assert rows(leaks(d, "doc_id", "t", c, "case_id", ["question", "target"], few_items=few), "doc_id", "case_id") == want and want
-    assert leaks(d.limit(0), "doc_id", "t", c, "case_id", ["question"], few_items=few).count() == 0
+    assert rows(leaks(d, "doc_id", "t", c, "case_id", ["question", "target"], index_bytes=room), "doc_id", "case_id") == want and want
+    assert leaks(d.limit(0), "doc_id", "t", c, "case_id", ["question"], index_bytes=room).count() == 0
 
 
 def test_no_cases(spark):
@@ -99,49 +104,66 @@ def edited(words, kind, at):
     return words[:at] + ["other"] * (kind != "missing") + words[at + (kind != "inserted") :]
 
 
-@pytest.mark.parametrize("few", [None, 3])
-def test_p7_near_finds_inserted_missing_and_other_words(spark, tmp_path, few):
+def planted(kinds, each):
+    """Cases of 12 words and documents that hold them with one edit inside, some with words around."""
     rng = random.Random(6)
-    places = [(kind, at) for kind in ("inserted", "missing", "other") for at in range(1, 11) for _ in range(4)]
+    places = [(kind, 1 + i % 10) for kind in kinds for i in range(each)]
     cases = [(i, " ".join(rng.sample([f"v{i}x{k}" for k in range(12)], 12)), None, 0) for i in range(len(places))]
     docs = []
     for i, (kind, at) in enumerate(places):
         once = edited(cases[i][1].split(), kind, at)
         docs.append((i, " ".join(once if i % 2 else ["before", *once, "after"])))
-        twice = edited(once, "other", at - 2 if at > 5 else at + 3)
-        docs.append((1000 + i, " ".join(["before", *twice, "after"])))
+    return places, cases, docs
+
+
+def test_p7_near_finds_inserted_missing_and_other_words(spark, tmp_path):
+    kinds = ("inserted", "missing", "other")
+    places, cases, docs = planted(kinds, 400)
     d, c = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(cases, CASES)
-    if few is None:
-        d.write.parquet(f"{tmp_path}/documents.parquet")
-        c.write.parquet(f"{tmp_path}/relevance_cases.parquet")
-        found = p7_near(spark, str(tmp_path))
-    else:
-        found = leaks(d, "doc_id", "text", c, "case_id", ["question"], Rule(window=12, stride=1, run=0, edits=1, sampled=12, recall=0.95), few_items=few)
-    pairs = found.collect()
-    assert all(r.doc_id == r.case_id and r.edits == 1 for r in pairs)
-    for kind in ("inserted", "missing", "other"):
-        assert sum(places[r.case_id][0] == kind for r in pairs) >= 34
-
-
-def test_many_passages_are_found_whichever_come_first(spark):
-    rule = Rule(window=12, stride=1, run=0, edits=1, sampled=12, recall=0.95)
-    rng = random.Random(7)
-    cases = [(i, " ".join(rng.sample([f"v{i}x{k}" for k in range(12)], 12)), None, 0) for i in range(60)]
-    docs = [(i, " ".join(edited(q.split(), "other", 1 + i % 10))) for i, q, *_ in cases]
-    short = [(1000 + i, f"too short {i}", None, 0) for i in range(3000)]
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    c.write.parquet(f"{tmp_path}/relevance_cases.parquet")
+    found = p7_near(spark, str(tmp_path)).collect()
+    assert all(r.doc_id == r.case_id and r.edits == 1 for r in found)
+    for kind in kinds:
+        assert sum(places[r.case_id][0] == kind for r in found) >= 0.975 * 400
+
+
+def test_both_ways_give_the_same_rows(spark):
+    _, cases, docs = planted(("inserted", "missing", "other", "other"), 60)
+    cases += [(1000 + i, f"too short {i}", None, 0) for i in range(500)] + [(2000, "just these seven words stand here whole", None, 0)]
+    docs += [(900, "before JUST these seven words stood here whole after"), (901, "just these seven stand whole")]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     found = []
-    for first in (short + cases, cases + short):
-        c = spark.createDataFrame(first, CASES).coalesce(1)
-        found.append(rows(leaks(d, "doc_id", "text", c, "case_id", ["question"], rule, few_items=3), "doc_id", "case_id"))
-    assert found[0] == found[1] and len(found[0]) >= 54
+    for rule in (NEAR, Rule(window=12, stride=1, run=0, edits=1, sampled=12, recall=0.8), Rule(window=12, stride=1, run=0, edits=2, sampled=9, recall=0.9)):
+        for order in (1, -1):
+            c = spark.createDataFrame(cases[::order], CASES).coalesce(1)
+            found.append([rows(leaks(d, "doc_id", "text", c, "case_id", ["question"], rule, index_bytes=room)) for room in (INDEX_BYTES, 0)])
+            assert found[-1][0] == found[-1][1]
+        assert found[-1] == found[-2] and len(found[-1][0]) > 180
+    assert [x[:2] for x in found[0][0] if x[1] == 2000] == [(900, 2000)]
+
+
+def test_windows_of_the_size_of_a_short_item():
+    rule = Rule(window=12, stride=1, run=0, edits=1, least=6)
+    assert [one.window for one in rule.sizes] == list(range(6, 13)) and all(one.least is None for one in rule.sizes)
+    for bad in ({"least": 6, "run": 12}, {"least": 1}, {"least": 13}):
+        with pytest.raises(ValueError):
+            Rule(**({"window": 12, "stride": 1, "run": 0, "edits": 1} | bad))
+
+
+def test_repetitions_are_derived_from_the_rule():
+    low, high = (repetitions(Rule(window=12, stride=1, run=0, edits=1, sampled=12, recall=r)) for r in (0.9, 0.99))
+    assert 1 < low < high and repetitions(Rule()) == 1
+    with pytest.raises(ValueError):
+        repetitions(Rule(window=12, stride=1, run=0, edits=4, sampled=36, recall=0.999999))
 
 
 def test_a_missing_or_inserted_word_costs_one():
     a, b = np.arange(1, 13), np.arange(1, 14)
-    assert edit_distance(a, np.delete(b, 4), 1, open_end=True) == edit_distance(a, np.insert(a, 4, 99), 1, open_end=True) == 1
-    assert edit_distance(a, b, 1, open_end=True) == 0
-    assert edit_distance(a, np.delete(a, [2, 7]), 1, open_end=True) == 2
+    far = lambda x, y: edit_distances(x[None], y[None], open_end=True)[0]
+    assert far(a, np.delete(b, 4)) == far(a, np.insert(a, 4, 99)) == 1
+    assert far(a, b) == 0
+    assert far(a, np.delete(a, [2, 7])) == 2
 
 
 def test_one_edit_is_found(spark):
