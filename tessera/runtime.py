@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from functools import partial
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,6 +75,27 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _opened(options: dict[str, str], path: str) -> dict[str, object]:
+    import pyarrow.fs as pafs
+
+    if path.startswith(("s3a://", "s3://")) and "access_key" in options:
+        fs, root = pafs.S3FileSystem(**options), path.split("://", 1)[1]
+    else:
+        fs, root = pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True, recursive=True))
+    return {i.path: fs.open_input_file(i.path) for i in sorted(found, key=lambda i: i.path) if i.is_file and i.path.endswith(".parquet")}
+
+
+def shared_files(spark: SparkSession):
+    """A function for Python workers that opens the Parquet files below a path of the shared folder.
+
+    It takes the session's credentials for object storage along, as workers have no session.
+    """
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    names = {"access_key": "access.key", "secret_key": "secret.key", "session_token": "session.token", "endpoint_override": "endpoint", "region": "endpoint.region"}
+    return partial(_opened, {k: v for k, n in names.items() if (v := conf.get(f"fs.s3a.{n}"))})
+
+
 def release() -> None:
     """Deletes what stage() wrote; results that still read it become invalid."""
     while _staged:
