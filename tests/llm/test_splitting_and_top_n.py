@@ -1,12 +1,15 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm.splitting import pieces, split
-from tessera.llm.top_n import top_n
+from tessera.llm.top_n import LoserTree, Run, best_of_groups, top_n
 
 
 def greedy(t, limit=1200, overlap=180, floor=600):
@@ -36,6 +39,31 @@ def test_kind_order_covers_the_text(parts):
     assert all(b[0] == a[1] - 4 for a, b in zip(got, got[1:], strict=False))
 
 
+def slow_by_kind(t, limit, overlap):
+    """Pieces by looking through all boundaries again and again for the weakest across which both sides fit."""
+
+    def strength(e):
+        if not t[e - 1].isspace():
+            return None
+        return 3 if t[:e].endswith("\n\n") else 2 if t[e - 1] == "\n" else 1 if t[e - 2 : e - 1] in {".", "!"} else 0
+
+    cuts = {e: k for e in range(1, len(t)) if (k := strength(e)) is not None}
+    while True:
+        around = [0, *sorted(cuts), len(t)]
+        open_ = [(cuts[e], e) for a, e, b in zip(around, around[1:], around[2:], strict=False) if b - max(0, a - overlap) <= limit]
+        if not open_:
+            return [(max(0, a - overlap), b) for a, b in zip(around, around[1:], strict=False)]
+        del cuts[min(open_)[1]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["abcdefgh", "bc", "def", "k"]), st.sampled_from([" ", ". ", "! ", "\n", ".\n\n", "\n\n"])), min_size=4, max_size=60))
+def test_kind_order_merges_the_weakest_boundary_first(parts):
+    t = "".join(w + b for w, b in parts).rstrip() + "x"
+    if len(t) > 20:
+        assert split(t, 20, 4, order="kind", floor=10) == slow_by_kind(t, 20, 4)
+
+
 def test_kind_order_prefers_strong_boundaries():
     t = "one two three.\n\nfour five six"
     assert [t[s:e] for s, e in split(t, 20, 0, order="kind", floor=10)][0] == "one two three.\n\n"
@@ -87,5 +115,42 @@ def test_a_group_over_several_batches(spark):
     assert rows(module.top_n(df, 2, buckets=2, runs=1), "g1", "g2", "item") == [(1, 1, 0), (1, 1, 1000), (1, 2, 1)]
 
 
+def stored(path, g1, g2, score, item, row_group):
+    table = pa.table({"g1": pa.array(g1, pa.int64()), "g2": pa.array(g2, pa.int64()), "score": pa.array(score, pa.float64()), "item": pa.array(item, pa.int64())})
+    pq.write_table(table, path, row_group_size=row_group)
+    return pq.ParquetFile(path)
+
+
+def test_a_hot_group_of_ten_million_rows_reads_few_row_groups(tmp_path):
+    n = 10_000_000
+    runs = []
+    for i in range(2):
+        g2 = np.concatenate([np.zeros(5), np.full(n // 2, 1), np.full(3, 2)])
+        score = np.concatenate([np.arange(5), np.arange(n // 2), np.arange(3)]).astype(float)
+        runs.append(Run([stored(f"{tmp_path}/{i}.parquet", np.zeros(len(g2)), g2, score, np.arange(len(g2)) * 2 + i, 50_000)], 3))
+    found = [(head[:2], place) for head, place in LoserTree(runs).first_of_groups(3)]
+    assert found == [((0, g), p) for g in (0, 1, 2) for p in (1, 2, 3)]
+    assert all(r.row_groups_read <= 3 for r in runs) and len(runs[0].parts) > 100
+
+
+def test_runs_that_are_not_sorted_are_refused(tmp_path):
+    for i, score in enumerate(([3.0, 2.0, 4.0, 5.0], [3.0, 4.0, 1.0, 2.0])):
+        with pytest.raises(ValueError):
+            Run([stored(f"{tmp_path}/{i}.parquet", [1] * 4, [1] * 4, score, range(4), 2)], 9).seek_past((0, 0))
+            r = Run([stored(f"{tmp_path}/{i}.parquet", [1] * 4, [1] * 4, score, range(4), 2)], 9)
+            for _ in range(4):
+                r.next()
+
+
+def test_best_of_groups():
+    rng = np.random.default_rng(3)
+    c = [rng.integers(0, 3, 500), rng.integers(0, 2, 500), rng.integers(0, 9, 500).astype(float), rng.integers(0, 20, 500)]
+    c = [x[np.lexsort(c[::-1])] for x in c]
+    keep = best_of_groups(c, 4)
+    want = [(*w[:2], w[3], w[2]) for w in best(list(zip(*(x.tolist() for x in c), strict=True)), 4)]
+    assert sorted(zip(*(x[keep].tolist() for x in c), strict=True)) == sorted(want)
+    assert len(best_of_groups([x[:0] for x in c], 4)) == 0
+
+
 def test_top_n_of_nothing(spark):
     assert top_n(spark.createDataFrame([], "g1 long, g2 long, score double, item long"), 3).count() == 0
