@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import only, stage
@@ -20,7 +20,9 @@ from . import hashing
 from .groups import classes
 from .sketch import band_keys, sketch
 
-_UNITS, _BANDS = "id long, fp binary, low array<int>, high array<smallint>", "id long, fp binary, bands array<bigint>"
+_UNITS, _BANDS = "id long, fp binary, low array<int>, high array<smallint>", "id long, fp binary, n int, bands array<bigint>"
+#: Representatives that share a band and are compared by one task with all others that share it.
+HOT_BAND = 1000
 
 
 def _tokens(texts: list[str], unit: str, cache: hashing.TokenHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -78,14 +80,14 @@ class UnitSets:
         return self.src.mapInArrow(run, _UNITS)
 
     def _banded(self) -> DataFrame:
-        """``id, fp, bands``, written to the shared folder; fp identifies the set."""
+        """``id, fp, n, bands``, written to the shared folder; fp identifies the set, n is its size."""
         unit, size, bands, rows = self.unit, self.size, self.bands, self.rows
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for ids, sets in _sets(batches, unit, size):
                 counts = np.fromiter(map(len, sets), np.int64, len(sets))
                 keys = band_keys(sketch(np.concatenate(sets), counts, bands * rows), rows)
-                yield pa.RecordBatch.from_arrays([ids, _digests(sets), _lists(keys.reshape(-1), np.full(len(sets), bands))], names=["id", "fp", "bands"])
+                yield pa.RecordBatch.from_arrays([ids, _digests(sets), pa.array(counts.astype(np.int32)), _lists(keys.reshape(-1), np.full(len(sets), bands))], names=["id", "fp", "n", "bands"])
 
         return stage(self.src.mapInArrow(run, _BANDS), "bands")
 
@@ -95,6 +97,21 @@ def _whole(low: str, high: str) -> Column:
     return F.zip_with(low, high, join)
 
 
+def band_pairs(banded: DataFrame, threshold: float, *, hot: int = HOT_BAND) -> DataFrame:
+    """``id_a, id_b`` (id_a < id_b): records (``rep, n, key``) that share a band and whose sizes ``n`` allow the similarity.
+
+    Records alone in their band leave before the join.  A band of more than
+    ``hot`` records is cut into parts, each of which meets all of the band in
+    a task of its own.
+    """
+    met = banded.withColumn("m", F.count("*").over(Window.partitionBy("key"))).where("m > 1")
+    parts = F.ceil(F.col("m") / hot).cast("int")
+    a = met.select("key", F.pmod(F.xxhash64("rep"), parts).cast("int").alias("part"), F.col("rep").alias("id_a"), F.col("n").alias("n_a"))
+    b = met.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("rep").alias("id_b"), F.col("n").alias("n_b"))
+    near = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")
+    return a.join(b, ["key", "part"]).where((F.col("id_a") < F.col("id_b")) & near).select("id_a", "id_b").distinct()
+
+
 def class_links(sets: UnitSets, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Verified links between classes of equal sets, and the members of classes with more than one.
 
@@ -102,10 +119,9 @@ def class_links(sets: UnitSets, threshold: float) -> tuple[DataFrame, DataFrame]
     their digests; copies: ``fp, id``.
     """
     records = sets.records
-    reps = records.groupBy("fp").agg(F.min_by(F.struct("id", "bands"), "id").alias("r"))
-    banded = reps.select(F.col("r.id").alias("rep"), F.explode("r.bands").alias("key"))
-    a, b = (banded.select(F.col("rep").alias(f"id_{x}"), "key") for x in "ab")
-    candidates = a.join(b, "key").where("id_a < id_b").select("id_a", "id_b").distinct()
+    reps = records.groupBy("fp").agg(F.min_by(F.struct("id", "n", "bands"), "id").alias("r"))
+    banded = reps.select(F.col("r.id").alias("rep"), F.col("r.n").alias("n"), F.explode("r.bands").alias("key"))
+    candidates = band_pairs(banded, threshold)
     units = sets.units()
     side = lambda x: units.select(*(F.col(c).alias(f"{c}_{x}") for c in units.columns))
     both = candidates.join(side("a"), "id_a").join(side("b"), "id_b")

@@ -113,6 +113,10 @@ _FILE_UNITS = "select id, substr(p, i, 4) as unit from (select id, p, unnest(ran
 
 SQL = {
     "p1_found": "with " + _similar("chunk", _CHUNK_UNITS, 0.6) + ", " + _similar("file", _FILE_UNITS, 0.7) + " select 'chunk' as record, id_a, id_b from chunk_p union all select 'file', id_a, id_b from file_p",
+    "p1_groups": "with recursive " + _similar("chunk", _CHUNK_UNITS, 0.6) + """, sets as (select id, list_sort(list(unit)) as fp from chunk_u group by id), c as (select fp, min(id) as rep, count(*) as copies from sets group by fp),
+        l as (select id_a, id_b from chunk_p where id_a in (select rep from c) and id_b in (select rep from c)), e as (select id_a as a, id_b as b from l union all select id_b, id_a from l),
+        reach(a, b) as (select rep, rep from c union select r.a, e.b from reach r join e on r.b = e.a), label as (select a as rep, min(b) as class_id from reach group by a)
+        select id as chunk_id, class_id, copies, (select count(*) from e where e.a = c.rep) as links from sets join c using (fp) join label using (rep)""",
     "p7_found": f"""with d as (select distinct doc_id, {_PLAIN.format("text")} as w from documents where text is not null and doc_id is not null),
         c as (select distinct case_id, {_PLAIN.format("text")} as w from (select case_id, question as text from relevance_cases union all select case_id, target from relevance_cases) where text is not null and case_id is not null),
         dw as (select doc_id, array_to_string(list_slice(w, i, i + 11), ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from d)),

@@ -6,7 +6,7 @@ from conftest import rows
 
 from tessera.llm import hashing
 from tessera.llm.groups import classes
-from tessera.llm.near_duplicates import similar_groups, similar_pairs
+from tessera.llm.near_duplicates import band_pairs, similar_groups, similar_pairs
 from tessera.llm.sketch import EMPTY, sketch
 
 
@@ -134,3 +134,11 @@ def test_groups(spark):
     assert sum(got[i].class_id == c for i, c in want.items()) >= 0.99 * len(want) and len(got) == len(records)
     hot = [i for i, _ in records][-10:]
     assert {got[i].copies for i in hot} == {len(records) // 3} and got[hot[0]].class_id == want[hot[0]]
+
+
+def test_a_hot_band_is_cut_and_loses_nothing(spark):
+    banded = spark.createDataFrame([(i, 10 + i % 3, 1) for i in range(300)] + [(i, 10, 2 + i % 50) for i in range(300)] + [(900, 100, 1), (901, 10, 99)], "rep long, n int, key long")
+    want = {(a, b) for a in range(300) for b in range(a + 1, 300) if min(10 + a % 3, 10 + b % 3) >= 0.9 * max(10 + a % 3, 10 + b % 3) or a % 50 == b % 50}
+    for hot in (7, 100, 10_000):
+        got = rows(band_pairs(banded, 0.9, hot=hot))
+        assert len(got) == len(set(got)) and set(got) == want
