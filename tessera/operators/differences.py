@@ -1,8 +1,9 @@
 """Differences between two copies of a table, field by field.
 
 Both sides are unpivoted to key-field-value cells with a signed count (+1 for
-the first copy, -1 for the second).  Cells that both copies hold cancel; what
-does not cancel is a difference.
+the first copy, -1 for the second): one cell for the key itself, and one for
+each field.  Cells that both copies hold cancel.  A key that does not cancel is
+on one side only, by its sign; of other keys the fields that do not cancel differ.
 """
 
 from __future__ import annotations
@@ -25,12 +26,6 @@ def canonical_number(value: Column) -> Column:
     return F.when(value.rlike(_PLAIN_NUMBER), F.when(bare == "-0", "0").otherwise(bare)).otherwise(value)
 
 
-def latest_by(version: Column | None, fields: list[str]) -> Column:
-    """Orders the rows of one key on one side: the greatest version (null or NaN least), then the greatest values."""
-    v = [F.when(~F.isnan(version.cast("double")), version.cast("double"))] if version is not None else []
-    return F.struct(*v, *fields)
-
-
 def differences(first: DataFrame, second: DataFrame, key: Column, fields: Mapping[str, Column], *, version: Column | None = None, labels: tuple[str, str] = ("only_first", "only_second")) -> DataFrame:
     """``row_key, field``: one row for every key on one side only, and for every field that differs.
 
@@ -54,10 +49,18 @@ def differences(first: DataFrame, second: DataFrame, key: Column, fields: Mappin
 
     both = side(first, 1).unionByName(side(second, -1))
     one = both.groupBy("row_key").agg(*(F.max(F.when(F.col("sign") == s, F.col("r"))).alias(n) for s, n in ((1, "a"), (-1, "b"))))
-    cell = lambda side, sign: [F.struct(F.lit(n).alias("field"), F.col(f"{side}.{c}").alias("value"), F.lit(sign).alias("sign")) for n, c in zip(names, inner, strict=True)]
-    cells = F.when(F.col("b").isNull(), F.array(F.struct(F.lit(labels[0]).alias("field"), F.lit(None).cast("string").alias("value"), F.lit(1).alias("sign"))))
-    cells = cells.when(F.col("a").isNull(), F.array(F.struct(F.lit(labels[1]).alias("field"), F.lit(None).cast("string").alias("value"), F.lit(-1).alias("sign"))))
-    cells = cells.otherwise(F.array(*cell("a", 1), *cell("b", -1)))
-    rows = one.select("row_key", F.explode(cells).alias("c")).select("row_key", "c.*")
-    left = rows.groupBy("row_key", "field", "value").agg(F.sum("sign").alias("n")).where("n <> 0")
-    return left.groupBy("row_key", "field").agg(F.lit(1)).select("row_key", "field")
+
+    def cells(name: str, sign: int) -> Column:
+        """The key's cell, without a field, and those of its fields; none if the side lacks the key."""
+        own = F.struct(F.lit(None).cast("int").alias("field"), F.lit(None).cast("string").alias("value"), F.lit(sign).alias("sign"))
+        each = [F.struct(F.lit(i).alias("field"), F.col(f"{name}.{c}").alias("value"), F.lit(sign).alias("sign")) for i, c in enumerate(inner)]
+        return F.when(F.col(name).isNull(), F.array().cast("array<struct<field:int,value:string,sign:int>>")).otherwise(F.array(own, *each))
+
+    long = one.select("row_key", F.explode(F.concat(cells("a", 1), cells("b", -1))).alias("c")).select("row_key", "c.*")
+    left = long.groupBy("row_key", "field", "value").agg(F.sum("sign").alias("n")).where("n <> 0")
+    # No more cells of a key are left than it has fields on both sides.
+    key_sign = F.max(F.when(F.col("field").isNull(), F.col("n"))).alias("key_sign")
+    by_key = left.groupBy("row_key").agg(key_sign, F.collect_set("field").alias("fields"))
+    named = F.transform("fields", lambda i: F.element_at(F.array(*map(F.lit, names)), i + 1))
+    only = F.array(F.when(F.col("key_sign") > 0, labels[0]).otherwise(labels[1]))
+    return by_key.select("row_key", F.explode(F.when(F.col("key_sign").isNull(), named).otherwise(only)).alias("field"))
