@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import only
@@ -31,7 +31,7 @@ COMMON_WORDS = {
     "fr": "le la les un une des du de et ou mais donc car ni que qui quoi dont où quand lorsque puisque si comme avec sans sous sur dans par pour vers chez entre depuis avant après contre pendant ce cet cette ces mon ton son notre votre leur leurs nous vous il elle ils elles on je tu ne pas plus chaque chacun personne aucun au aux",
     "es": "el la los las un una unos unas y o pero pues porque cuando mientras aunque si como con sin sobre bajo en por para hacia desde hasta entre según antes después contra este esta estos estas ese esa aquel su sus mi tu nuestro nuestra él ella ellos nosotros alguien nadie quien algún alguna cada no del al lo se que",
 }
-_COMMON = frozenset(w for words in COMMON_WORDS.values() for w in words.split())
+COMMON = frozenset(w for words in COMMON_WORDS.values() for w in words.split())
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _INVISIBLE = re.compile("[\\u00ad\\u200b-\\u200f\\u2060-\\u2064\\ufeff]")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -51,14 +51,15 @@ _T = len(TOKEN)
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds of the outcomes."""
+    """Thresholds of the outcomes, and the words that are common."""
 
     common_share: float = 0.18  # of the words of a line of prose are common words, at least
     clean_share: float = 0.6  # of the words of a line of prose consist of letters, at least
     prose_share: float = 0.45  # of the characters of a document of prose stand in lines of prose, at least
+    common: frozenset[str] = COMMON
 
 
-def token_counts(token: str) -> tuple[int, ...]:
+def token_counts(token: str, common_words: frozenset[str] = COMMON) -> tuple[int, ...]:
     """The counts TOKEN of one token, and whether it ends a sentence and whether it is a list mark."""
     letters = sum(map(str.isalpha, token))
     digits = sum(map(str.isdigit, token))
@@ -67,21 +68,21 @@ def token_counts(token: str) -> tuple[int, ...]:
         return 1, len(token), 0, 0, letters, digits, len(token) - letters - digits, ends, bullet
     words = [w for x in _TAG.sub(" ", _INVISIBLE.sub("", token)).split() if (w := _EDGE.sub("", x)) or not x.isspace()]
     clean = sum(_CLEAN.fullmatch(w) is not None for w in words)
-    common = sum(w.lower() in _COMMON for w in words)
+    common = sum(w.lower() in common_words for w in words)
     return len(words), sum(map(len, words)), clean, common, letters, digits, len(token) - letters - digits, ends, bullet
 
 
 class _Tokens(dict):
     """Token to its row in ``table``, which grows as tokens come; both are emptied at ``room`` tokens."""
 
-    def __init__(self, room: int = 200_000):
+    def __init__(self, common: frozenset[str] = COMMON, room: int = 200_000):
         super().__init__()
-        self.room, self.rows = room, []
+        self.common, self.room, self.rows = common, room, []
         self._table = np.empty((0, _T + 2), np.int64)
 
     def __missing__(self, token: str) -> int:
         n = len(self.rows)
-        self.rows.append(token_counts(token))
+        self.rows.append(token_counts(token, self.common))
         if len(token) <= LONGEST_WORD:
             self[token] = n
         return n
@@ -156,9 +157,9 @@ class Fragment:
         text = self.text + other.text if self.text is not None and other.text is not None else None
         return Fragment(text if text is not None and len(text) <= LONGEST_WORD else None, self.chars + other.chars, self.letters + other.letters, self.digits + other.digits, other.last)
 
-    def counts(self) -> tuple[int, ...]:
+    def counts(self, common: frozenset[str]) -> tuple[int, ...]:
         if self.text is not None:
-            return token_counts(self.text)
+            return token_counts(self.text, common)
         return 1, self.chars, 0, 0, self.letters, self.digits, self.chars - self.letters - self.digits, self.last in _ENDS, False
 
 
@@ -211,7 +212,7 @@ class Summary:
         def opened(line: str) -> OpenLine:
             out = OpenLine(len(line))
             for t in line.split():
-                out = out.add(token_counts(t))
+                out = out.add(token_counts(t, rules.common))
             return out
 
         first = opened(lines[0])
@@ -237,7 +238,7 @@ class Summary:
             return Summary(a.left, a.right + b.left, a.first if a.broken else end, end if a.broken else a.last, a.inner, a.broken, False)
         word = a.right + b.left
         if word.chars:
-            end = end.add(word.counts())
+            end = end.add(word.counts(rules.common))
         middle = end + b.first
         if a.broken and b.broken:
             return Summary(a.left, b.right, a.first, b.last, a.inner + b.inner + middle.closed(rules), True, False)
@@ -247,8 +248,8 @@ class Summary:
 
     def total(self, rules: Rules) -> np.ndarray:
         """The counts once there is nothing more on either side."""
-        head = OpenLine().add(self.left.counts()) if self.left.chars else OpenLine()
-        tail = OpenLine().add(self.right.counts()) if self.right.chars else OpenLine()
+        head = OpenLine().add(self.left.counts(rules.common)) if self.left.chars else OpenLine()
+        tail = OpenLine().add(self.right.counts(rules.common)) if self.right.chars else OpenLine()
         if not self.broken:
             return (head + self.first + tail).closed(rules)
         return (head + self.first).closed(rules) + self.inner + (self.last + tail).closed(rules)
@@ -264,6 +265,49 @@ class Summary:
         return cls(Fragment(*x[0]), Fragment(*x[1]), OpenLine(*x[2]), OpenLine(*x[3]), np.array(x[4], np.int64), x[5], x[6])
 
 
+#: A line from which common words are learnt has so many words at least, and so large a share of them of letters only.
+LEARNT_WORDS, LEARNT_CLEAN = 6, 0.8
+
+
+def frequent_words(df: DataFrame, text_col: str, lang_col: str, *, share: float = 0.4, least_documents: int = 50) -> DataFrame:
+    """``lang, word, documents, df``: words that stand in sentence-like lines of at least ``share`` of a language's documents.
+
+    Of the languages (by the first two letters of their name) that COMMON_WORDS
+    lacks, with ``least_documents`` documents or more.  Each document counts a
+    word once; documents without a text or a language don't count.
+    """
+    src = only(df, lang=F.lower(F.substring(F.trim(F.col(f"`{lang_col}`")), 1, 2)), text=text_col).where(F.col("text").isNotNull() & (F.length("lang") == 2) & ~F.col("lang").isin(list(COMMON_WORDS)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple[str, str], int] = {}
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                seen = {""}  # stands for the document
+                for line in text.split("\n"):
+                    words = [w for x in line.split() if (w := _EDGE.sub("", x))]
+                    clean = [w.lower() for w in words if len(w) <= LONGEST_WORD and _CLEAN.fullmatch(w)]
+                    if len(words) >= LEARNT_WORDS and len(clean) >= LEARNT_CLEAN * len(words):
+                        seen.update(clean)
+                for w in seen:
+                    found[lang, w] = found.get((lang, w), 0) + 1
+            langs, words = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "df"])
+
+    counted = src.mapInArrow(run, "lang string, word string, df long").groupBy("lang", "word").agg(F.sum("df").alias("df"))
+    documents = F.max(F.when(F.col("word") == "", F.col("df"))).over(Window.partitionBy("lang"))
+    kept = counted.withColumn("documents", documents).where((F.col("word") != "") & (F.col("documents") >= least_documents) & (F.col("df") >= share * F.col("documents")))
+    return kept.select("lang", "word", "documents", "df")
+
+
+def learnt_rules(df: DataFrame, text_col: str, lang_col: str, rules: Rules = Rules()) -> Rules:
+    """The rules with the frequent words of the corpus' other languages beside the fixed ones.
+
+    No more words than a document has on average, divided by the share, are
+    frequent in a language, and the names of languages have two letters.
+    """
+    return replace(rules, common=rules.common | {r.word for r in frequent_words(df, text_col, lang_col).collect()})
+
+
 _COUNTED = "id long, " + ", ".join(f"{c} long" for c in COUNTS)
 
 
@@ -274,7 +318,7 @@ def counts(df: DataFrame, id_col: str, text_col: str, rules: Rules = Rules(), *,
     src = only(df, id=F.col(f"`{id_col}`").cast("long"), text=text_col).where("id is not null and text is not null")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Tokens()
+        cache = _Tokens(rules.common)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
@@ -290,7 +334,7 @@ def counts(df: DataFrame, id_col: str, text_col: str, rules: Rules = Rules(), *,
                     yield pa.RecordBatch.from_arrays([pa.array([i] * len(some), pa.int64()), pa.array([s // chunk_chars for s in some], pa.int64()), pa.array([text[s : s + chunk_chars] for s in some], pa.string())], names=["id", "chunk", "text"])
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Tokens()
+        cache = _Tokens(rules.common)
         for batch in batches:
             packed = [json.dumps(Summary.of(t, rules, cache).pack()) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.string())], names=["id", "chunk", "summary"])

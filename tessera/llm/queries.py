@@ -10,7 +10,8 @@ from .leaks import Rule, leaks
 from .near_duplicates import similar_groups, similar_pairs
 from .nearest import nearest
 from .packing import training_windows
-from .quality import statistics
+from .quality import learnt_rules, statistics
+from .quality_sql import STATISTICS
 from .splitting import pieces
 from .top_n import top_n
 
@@ -84,14 +85,15 @@ def p7_near(spark: SparkSession, d: str) -> DataFrame:
     return leaks(read(spark, d, "documents"), "doc_id", "text", read(spark, d, "relevance_cases"), "case_id", ["question", "target"], NEAR).select("doc_id", "case_id", "edits")
 
 
-def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that for the larger part aren't prose."""
-    return statistics(read(spark, d, "documents"), "doc_id", "text").where("not is_prose").select(F.col("id").alias("doc_id"))
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of every document, with the common words of four languages and those that the corpus tells of others."""
+    docs = read(spark, d, "documents")
+    return statistics(docs, "doc_id", "text", learnt_rules(docs, "text", "lang")).withColumnRenamed("id", "doc_id")
 
 
-def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """The statistics of every document."""
-    return statistics(read(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that for the larger part aren't prose."""
+    return p8_statistics(spark, d).where("not is_prose").select("doc_id")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_pieces, p4_found, p5_found, p5_nearest, p6_windows, p7_found, p7_near, p8_found, p8_statistics)}
@@ -112,6 +114,8 @@ _CHUNK_UNITS = """select id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as unit
 _FILE_UNITS = "select id, substr(p, i, 4) as unit from (select id, p, unnest(range(1, length(p) - 2)) as i from (select distinct file_id as id, lower(path) as p from files where file_id is not null and path is not null))"
 
 SQL = {
+    "p8_statistics": STATISTICS + " select * from st",
+    "p8_found": STATISTICS + " select doc_id from st where not is_prose",
     "p1_found": "with " + _similar("chunk", _CHUNK_UNITS, 0.6) + ", " + _similar("file", _FILE_UNITS, 0.7) + " select 'chunk' as record, id_a, id_b from chunk_p union all select 'file', id_a, id_b from file_p",
     "p1_groups": "with recursive " + _similar("chunk", _CHUNK_UNITS, 0.6) + """, sets as (select id, list_sort(list(unit)) as fp from chunk_u group by id), c as (select fp, min(id) as rep, count(*) as copies from sets group by fp),
         l as (select id_a, id_b from chunk_p where id_a in (select rep from c) and id_b in (select rep from c)), e as (select id_a as a, id_b as b from l union all select id_b, id_a from l),
