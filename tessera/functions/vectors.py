@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NORM_FLOOR = 1e-12
@@ -49,3 +53,25 @@ def pack_nibbles(codes: Column, levels: int = 7) -> Column:
 def unpack_nibbles(packed: Column, levels: int = 7) -> Column:
     halves = F.transform(packed, lambda b: F.array(F.shiftright(b, 4) - levels, b.bitwiseAND(F.lit(15)) - levels))
     return F.flatten(halves)
+
+
+def _converted(df: DataFrame, source: str, target: str, convert, kind: str) -> DataFrame:
+    names = [c for c in df.columns if c not in (source, target)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), convert(batch.column(source))], names=[*names, target])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
+    return df.select(*names, source).mapInArrow(run, f"{kept}, `{target}` {kind}")
+
+
+def packed(df: DataFrame, source: str, target: str) -> DataFrame:
+    """``df`` with vectors as bytes of little-endian 32-bit floats in the place of ``source``; null stays null."""
+    return _converted(df, source, target, lambda c: pa.array([None if x is None else np.asarray(x, "<f4").tobytes() for x in c.to_pylist()], pa.binary()), "binary")
+
+
+def unpacked(df: DataFrame, source: str, target: str) -> DataFrame:
+    """The way back; null for bytes that aren't a whole number of floats."""
+    read = lambda x: None if x is None or len(x) % 4 else np.frombuffer(x, "<f4")
+    return _converted(df, source, target, lambda c: pa.array([read(x) for x in c.to_pylist()], pa.list_(pa.float32())), "array<float>")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.text import FILENAME_TERM, query_terms
-from ..runtime import small
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -78,10 +77,26 @@ def filename_hits(files: DataFrame, queries: DataFrame, *, limit: int, require_a
     rows = files if not drop_junk_first else files.where(~paths.is_junk(F.col("path")))
     low = F.lower("path")
     test = F.forall if require_all else F.exists
-    hits = rows.join(small(terms), test("terms", lambda t: F.contains(low, t)))
     first = Window.partitionBy("qid").orderBy("path")
-    hits = hits.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit)
-    return hits.where(~paths.is_junk(F.col("path"))).select("qid", "path", "kind", "mtime", "mime", F.lit(1.0).alias("score"))
+    out: DataFrame | None = None
+    for block in _blocks(terms):
+        hits = rows.join(F.broadcast(block), test("terms", lambda t: F.contains(low, t)))
+        hits = hits.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= limit)
+        hits = hits.where(~paths.is_junk(F.col("path"))).select("qid", "path", "kind", "mtime", "mime", F.lit(1.0).alias("score"))
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def _blocks(queries: DataFrame, size: int = 2000) -> Iterator[DataFrame]:
+    """A stated set of queries in blocks that can be sent to every executor; one empty block of none."""
+    spark, block, given = queries.sparkSession, [], False
+    for row in queries.toLocalIterator():
+        block.append(row)
+        if len(block) == size:
+            yield spark.createDataFrame(block, queries.schema)
+            block, given = [], True
+    if block or not given:
+        yield spark.createDataFrame(block, queries.schema)
 
 
 def census(files: DataFrame, by: Column, name: str, top: int | None = None) -> DataFrame:

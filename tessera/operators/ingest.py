@@ -76,6 +76,12 @@ def reusable_vectors(files: DataFrame, passages: DataFrame) -> DataFrame:
     return known.where("missing > 0").join(donors, ["content_hash", "extractor", "shape"]).select("file_id", "donor_id")
 
 
+def repaired(files: DataFrame, passages: DataFrame) -> DataFrame:
+    """``files`` without the signature of those whose first passage is missing, so that they are read again."""
+    late = passages.where("file_id is not null").groupBy("file_id").agg(F.min("ordinal").alias("first")).where("first > 0").select("file_id", F.lit(True).alias("__late"))
+    return files.join(late, "file_id", "left").withColumn("content_sig", F.when(F.col("__late").isNull(), F.col("content_sig"))).select(files.columns)
+
+
 def resume_points(passages: DataFrame, progress: DataFrame) -> DataFrame:
     """``progress`` (``file_id, source_sig, next_ordinal``) with ``stored``: the passages already there below the next ordinal."""
     counted = passages.groupBy("file_id", "ordinal").agg(F.lit(1).alias("one"))

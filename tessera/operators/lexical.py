@@ -1,4 +1,8 @@
-"""Keyword retrieval: postings, corpus statistics, BM25 with phrases, and the best passage of each file."""
+"""Keyword retrieval: stored postings, corpus statistics, BM25 with phrases, and the best passage of each file.
+
+The inverted index is a table in order of its terms, so that a search reads the
+row groups of its terms and no text; what is tokenised is what is new.
+"""
 
 from __future__ import annotations
 
@@ -7,26 +11,37 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.text import query_terms, tokens
-from ..runtime import stage
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
+#: Tokens of queries that are listed in the filter of the postings; more of them are joined.
+MOST_TOKENS = 10_000
+
+
+def tokenized(passages: DataFrame, *carry: str) -> DataFrame:
+    """``chunk_id, tokens, dl`` (and other columns) of every passage with a text."""
+    return passages.where(F.col("text").isNotNull()).select("chunk_id", *carry, tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
+
+
+def postings(passages: DataFrame, *carry: str) -> DataFrame:
+    """``term, chunk_id, dl, tf, positions`` (and other columns of the passage): the inverted index; ``dl`` is the passage's length in tokens."""
+    at = tokenized(passages, *carry).select("chunk_id", *carry, "dl", F.posexplode("tokens").alias("pos", "term"))
+    return at.groupBy("term", "chunk_id", *carry, "dl").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
-def tokenized(passages: DataFrame) -> DataFrame:
-    """``chunk_id, tokens, dl`` of every passage with a text."""
-    return passages.where(F.col("text").isNotNull()).select("chunk_id", tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
+def by_term(postings: DataFrame) -> DataFrame:
+    """The postings in the order in which they are stored; a term with very many passages is spread over several files."""
+    return postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
 
 
-def postings(passages: DataFrame) -> DataFrame:
-    """``term, chunk_id, tf, positions``: the inverted index."""
-    at = tokenized(passages).select("chunk_id", F.posexplode("tokens").alias("pos", "term"))
-    return at.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+def lengths(passages: DataFrame, *carry: str) -> DataFrame:
+    """``chunk_id, dl`` (and other columns) of every passage with a text, also of those without any token."""
+    return tokenized(passages, *carry).select("chunk_id", *carry, "dl")
 
 
-def corpus_stats(tokenized: DataFrame) -> DataFrame:
+def corpus_stats(lengths: DataFrame) -> DataFrame:
     """One row: number of passages, their mean length in tokens, and the number of tokens."""
-    return tokenized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("tokens"))
+    return lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("tokens"))
 
 
 def phrases(queries: DataFrame) -> DataFrame:
@@ -41,45 +56,57 @@ def phrases(queries: DataFrame) -> DataFrame:
     return parts.select("qid", "term", "size", F.posexplode_outer("parts").alias("k", "token"))
 
 
-def term_frequencies(tokenized: DataFrame, phrase_tokens: DataFrame) -> DataFrame:
-    """``term, chunk_id, dl, tf``: occurrences of every term as a phrase.
+def term_frequencies(index: DataFrame, phrase_tokens: DataFrame) -> DataFrame:
+    """``term, chunk_id, dl, tf``: occurrences of every term as a phrase, from the postings of its tokens.
 
-    A token at position p that is the k-th of a phrase votes for a start at
-    p - k; a start with as many votes as the phrase has tokens is an
-    occurrence.  Only tokens of some query survive the first join, so the
-    exchange carries the matches and not the corpus.
+    The postings of a single token tell it at once.  Of a longer phrase, the
+    token at position p that is the k-th of it votes for a start at p - k; a
+    start with as many votes as the phrase has tokens is an occurrence.
     """
-    vocabulary = phrase_tokens.where("token is not null").select("term", "k", "token", "size").distinct()
-    at = tokenized.select("chunk_id", "dl", F.posexplode("tokens").alias("pos", "token"))
-    votes = at.join(vocabulary, "token").groupBy("term", "size", "chunk_id", "dl", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("votes"))
-    return votes.where("votes = size").groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-
-
-def bm25(passages: DataFrame, queries: DataFrame, *, require_all: bool = False, digits: int = 10) -> DataFrame:
+    spark = index.sparkSession
+    wanted = phrase_tokens.where("token is not null").select("term", "k", "token", "size").distinct()
+    some = wanted.limit(MOST_TOKENS + 1).collect()
+    few = len(some) <= MOST_TOKENS
+    if few:
+        wanted = F.broadcast(spark.createDataFrame(some, wanted.schema))
+        index = index.where(F.col("term").isin(sorted({r.token for r in some})))
+    met = index.withColumnRenamed("term", "token").join(wanted, "token")
+    out = met.where("size = 1").select("term", "chunk_id", "dl", F.col("tf").cast("long").alias("tf"))
+    if few and all(r.size == 1 for r in some):
+        return out
+    at = met.where("size > 1").select("term", "size", "chunk_id", "dl", "k", F.explode("positions").alias("pos"))
+    votes = at.groupBy("term", "size", "chunk_id", "dl", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("votes"))
+    return out.unionByName(votes.where("votes = size").groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf")))
+
+
+def bm25(index: DataFrame, stats, queries: DataFrame, *, require_all: bool = False, digits: int = 10) -> DataFrame:
     """``qid, chunk_id, score``: BM25 of every passage that holds any (or all) of a query's terms.
 
-    Statistics are those of the whole corpus, whatever is filtered later; the
-    idf has a floor; scores are rounded so that ties don't hang on the order of
-    additions.  A query without a term finds nothing; a term of separators only
-    is ignored, or prevents any result if all terms are required.
+    ``index`` has the postings and ``stats`` (n, avgdl) the figures of the
+    whole corpus, whatever is filtered later; the idf has a floor; scores are
+    rounded so that ties don't hang on the order of additions.  A query without
+    a term finds nothing; a term of separators only is ignored, or prevents any
+    result if all terms are required.
     """
-    corpus = tokenized(passages)
     wanted = phrases(queries)
-    # Needed twice, for the documents' frequencies and for the scores; no more than the matches of the queries' terms.
-    tf = stage(term_frequencies(corpus, wanted), "tf")
-    stats = corpus_stats(corpus).first()
+    tf = term_frequencies(index, wanted)
     n, avgdl = F.lit(stats.n), F.lit(stats.avgdl or 1.0)
-    frequency = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))), F.lit(IDF_FLOOR))
+    frequency = tf.groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf"))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (F.lit(1 - B) + B * F.col("dl") / avgdl))
     asked = wanted.groupBy("qid", "term").agg(F.max("size").alias("size"))
-    scored = asked.where("size > 0").join(frequency.withColumn("idf", idf), "term").join(tf, "term")
+    scored = asked.where("size > 0").join(frequency, "term").join(tf, "term")
     scored = scored.groupBy("qid", "chunk_id").agg(F.round(F.sum(F.col("idf") * weight), digits).alias("score"), F.count("*").alias("matched"))
     if require_all:
         scored = scored.join(asked.groupBy("qid").agg(F.count("*").alias("terms")), "qid").where("matched = terms")
     return scored.select("qid", "chunk_id", "score")
 
 
+def bm25_texts(passages: DataFrame, queries: DataFrame, **options) -> DataFrame:
+    """The same of passages that have no stored postings."""
+    return bm25(postings(passages), corpus_stats(lengths(passages)).first(), queries, **options)
+
+
 def best_of_files(hits: DataFrame, passages: DataFrame, files: DataFrame, pool: int, *, group: str = "qid") -> DataFrame:
     """``<group>, chunk_id, path, kind, mtime, mime, score, rk``: of each file the best passage, and of those the best ``pool``.
 

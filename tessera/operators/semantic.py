@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
@@ -51,9 +52,10 @@ def cosine_scan(rows: DataFrame, queries: DataFrame, *, dim: int, keep: int, gro
                 best = score
                 if group:
                     owner, at = np.unique(batch.column(group).to_numpy(zero_copy_only=False), return_inverse=True)
-                    best = np.full((len(ids), len(owner)), -np.inf)
-                    np.maximum.at(best, (slice(None), at), score)
-                least = np.sort(best, axis=1)[:, -min(keep, best.shape[1])]
+                    order = np.argsort(at, kind="stable")
+                    best = np.maximum.reduceat(score[:, order], np.searchsorted(at[order], np.arange(len(owner))), axis=1)
+                n = min(keep, best.shape[1])
+                least = -np.partition(-best, n - 1, axis=1)[:, n - 1]
                 good = score >= least[:, None]
                 if group:
                     good &= score == best[:, at]
@@ -92,26 +94,48 @@ def scale_vector(scale: DataFrame) -> DataFrame:
     return scale.agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "scale"))), lambda x: x["scale"]).alias("scale"))
 
 
+def _half(rows: DataFrame, source: str, target: str, packing: bool) -> DataFrame:
+    """Vectors as bytes of 16-bit floats, the format of the first version, and back."""
+    names = [c for c in rows.columns if c not in (source, target)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = batch.column(source).to_pylist()
+            if packing:
+                out = pa.array([None if x is None else np.asarray(x, "<f2").tobytes() for x in given], pa.binary())
+            else:
+                out = pa.array([None if x is None else np.frombuffer(x, "<f2").astype(np.float64) for x in given], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), out], names=[*names, target])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema)
+    return rows.select(*names, source).mapInArrow(run, f"{kept}, {target} {'binary' if packing else 'array<double>'}")
+
+
 def quantized(rows: DataFrame, scale: DataFrame, dtype: str) -> DataFrame:
-    """``rows`` with ``codes``: the unit vector in int8 or int4 levels of the scale (a one-row DataFrame)."""
+    """``rows`` with ``codes``: the unit vector in int8 or int4 levels of the scale (a one-row DataFrame), or as fp16, which needs none."""
+    if dtype == "fp16":
+        return _half(rows.withColumn("v", vectors.normalized(F.col("v"))), "v", "codes", True)
     with_scale = rows.withColumn("__scale", scale.select("scale").scalar())
     return with_scale.withColumn("codes", vectors.quantize(vectors.normalized(F.col("v")), F.col("__scale"), LEVELS[dtype])).drop("__scale")
 
 
 def dequantized(rows: DataFrame, scale: DataFrame, dtype: str) -> DataFrame:
+    if dtype == "fp16":
+        return _half(rows, "codes", "v", False)
     return rows.withColumn("__scale", scale.select("scale").scalar()).withColumn("v", vectors.dequantize(F.col("codes"), F.col("__scale"), LEVELS[dtype])).drop("__scale")
 
 
-def matrix_rows(rows: DataFrame, watermark: int, dtype: str, dim: int) -> DataFrame:
-    """``chunk_id, file_id, v``: compressed vectors up to the watermark, stored ones after it.
-
-    The compressed part is written and read again, as one that is kept between
-    queries would be; ids that have gone since are dropped by the caller's join.
-    """
+def matrix(rows: DataFrame, watermark: int, dtype: str, dim: int) -> tuple[DataFrame, DataFrame]:
+    """The compressed vectors up to the watermark (``chunk_id, file_id, codes``) and their scale, as an index stores them."""
     old = rows.where(F.col("chunk_id") <= watermark)
     scale = scale_vector(scale_of(old, dim))
-    matrix = stage(quantized(old, scale, dtype).select("chunk_id", "file_id", F.col("codes").cast("array<tinyint>").alias("codes")), "matrix")
-    cached = dequantized(matrix, scale, dtype).select("chunk_id", "file_id", "v")
+    codes = quantized(old, scale, dtype).select("chunk_id", "file_id", "codes")
+    return codes if dtype == "fp16" else codes.withColumn("codes", F.col("codes").cast("array<tinyint>")), scale
+
+
+def with_tail(codes: DataFrame, scale: DataFrame, dtype: str, rows: DataFrame, watermark: int) -> DataFrame:
+    """``chunk_id, file_id, v``: the compressed vectors, and the stored ones of ids after the watermark."""
+    cached = dequantized(codes, scale, dtype).select("chunk_id", "file_id", "v")
     return cached.unionByName(rows.where(F.col("chunk_id") > watermark).select("chunk_id", "file_id", "v"))
 
 
@@ -128,25 +152,7 @@ def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
     return out.withColumn("recall", F.round(F.col("hit") / F.col("expected"), 6))
 
 
-# An early tier: vectors in the cells of centroids, of which a query visits a few
-
-
-def _nearest_cells(batch: pa.RecordBatch, name: str, dim: int, cells: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and cell of the n nearest centroids of every vector, by cosines rounded to 6 digits, then by the cell's number."""
-    m = _unit(batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-    order = np.argsort(-np.round(m @ cells.T, 6), axis=1, kind="stable")[:, :n]
-    return np.repeat(np.arange(len(m)), order.shape[1]), order.ravel()
-
-
-def cell_centroids(rows: DataFrame, cells: int) -> np.ndarray:
-    """Vectors that stand for the cells: of every residue of the id by a step, so that there are ``cells`` of them or fewer.
-
-    A bounded number is collected; their choice depends on the ids only.
-    """
-    high = rows.agg(F.max("chunk_id")).first()[0] or 0
-    step = max(1, -(-int(high) // cells))
-    found = rows.where(F.col("chunk_id") % step == 0).orderBy("chunk_id").limit(cells).select("v").collect()
-    return _unit(np.array([r.v for r in found], np.float64)) if found else np.empty((0, 0))
+# An early tier: vectors in the cells of fitted centroids, of which a query visits the nearest
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
@@ -162,69 +168,126 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return centres, (x @ centres.T).argmax(axis=1)
 
 
-def fitted_cells(rows: DataFrame, queries: DataFrame, *, dim: int, cells: int, keep: int, recall: float, sample_rows: int = 20_000) -> tuple[np.ndarray, int]:
-    """Centroids fitted on about ``sample_rows`` vectors, and how many of their cells to visit for ``recall``.
+@dataclass
+class Cells:
+    """What an index keeps of its early tier: the vectors by cell (``cell, chunk_id, file_id, v``, in order of the cell), and two
+    small tables, the centroids (``cell, centre``) and a sample of the vectors (``v``), by which it is told how far a query must look."""
 
-    Of every query (of at most 500) so large a share of its best ``keep``, as
-    far as they are in the sample, must lie in the cells it visits.
+    rows: DataFrame
+    centres: DataFrame
+    sample: DataFrame
+
+
+def _stack(df: DataFrame, column: str, dim: int) -> np.ndarray:
+    """A bounded table of vectors as unit rows on the driver."""
+    return _unit(df.select(column).toArrow().column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64))
+
+
+def _nearest_cell(m: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return np.round(m @ centroids.T, 6).argmax(axis=1)
+
+
+def build_cells(rows: DataFrame, *, dim: int, cell_rows: int = 400, most_cells: int = 4096, sample_rows: int = 20_000) -> Cells:
+    """Cells of about ``cell_rows`` vectors (``chunk_id, file_id, v``), but no more than ``most_cells``, by k-means on about ``sample_rows`` of them.
+
+    Every vector is in the cell of its nearest centroid.  The sample doesn't
+    hang on the order of the rows.  An empty table has one empty cell.
     """
+    spark = rows.sparkSession
     total = rows.count()
     drawn = F.pmod(F.xxhash64("chunk_id", F.lit(1)), F.lit(max(1, total)))
-    sample = rows.select("chunk_id", "v", drawn.alias("drawn"))
+    some = rows.select("chunk_id", "v", drawn.alias("drawn"))
     if total > sample_rows:
-        sample = sample.where(F.col("drawn") < sample_rows).orderBy("drawn", "chunk_id").limit(2 * sample_rows)
-    table = sample.toArrow().sort_by("chunk_id")
-    asked = queries.limit(500).collect()
-    if not table.num_rows or not asked:
-        return np.empty((0, 0)), 0
-    m = _unit(table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-    centroids = _unit(kmeans(m.astype(np.float32), min(cells, max(1, len(m) // 8)), np.random.default_rng(42))[0].astype(np.float64))
-    home = np.round(m @ centroids.T, 6).argmax(axis=1)
+        some = some.where(F.col("drawn") < sample_rows).orderBy("drawn", "chunk_id").limit(2 * sample_rows)
+    sample = stage(some.orderBy("chunk_id").select("v").coalesce(1), "cell-sample")
+    m = _stack(sample, "v", dim)
+    k = max(1, min(most_cells, total // cell_rows, len(m) // 8))
+    centroids = _unit(kmeans(m.astype(np.float32), k, np.random.default_rng(42))[0].astype(np.float64)) if len(m) else np.zeros((1, dim))
+    shared = spark.sparkContext.broadcast(centroids)  # most_cells rows at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                cell = _nearest_cell(_unit(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)), shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *(batch.column(c) for c in ("chunk_id", "file_id", "v"))], names=["cell", "chunk_id", "file_id", "v"])
+
+    placed = rows.select("chunk_id", "file_id", "v").mapInArrow(run, "cell int, chunk_id long, file_id long, v array<double>")
+    centres = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centre array<double>")
+    return Cells(placed.repartitionByRange("cell", "chunk_id").sortWithinPartitions("cell", "chunk_id"), centres, sample)
+
+
+def probes_for(q: np.ndarray, centroids: np.ndarray, m: np.ndarray, total: int, *, keep: int, recall: float) -> np.ndarray:
+    """How many cells each query must visit, so that ``recall`` of its best ``keep`` lie in them, as far as the sample ``m`` tells."""
     # Few of the best are in a small sample; a few more, which are farther off, tell enough.
-    n = min(len(m), keep, max(30, -(-keep * len(m) // total)))
-    probes = 1
-    for row in asked:
-        q = _unit(np.array([row.q], np.float64))[0]
+    n = min(len(m), keep, max(30, -(-keep * len(m) // max(1, total))))
+    home = _nearest_cell(m, centroids)
+    out = np.ones(len(q), np.int64)
+    for i, x in enumerate(q):
         place = np.empty(len(centroids), np.int64)
-        place[np.argsort(-np.round(centroids @ q, 6), kind="stable")] = np.arange(len(centroids))
-        best = np.argsort(-(m @ q), kind="stable")[:n]
-        probes = max(probes, 1 + int(np.quantile(place[home[best]], recall, method="higher")))
-    return centroids, probes
-
+        place[np.argsort(-np.round(centroids @ x, 6), kind="stable")] = np.arange(len(centroids))
+        if n:
+            out[i] = 1 + int(np.quantile(place[home[np.argsort(-(m @ x), kind="stable")[:n]]], recall, method="higher"))
+    return out
 
-def cell_candidates(rows: DataFrame, queries: DataFrame, *, dim: int, cells: int, keep: int, probes: int | None = None, recall: float = 0.9) -> DataFrame:
-    """``qid, chunk_id, score``: full-precision scores of the passages in the ``probes`` nearest cells of each query, the best ``keep``.
 
-    Without ``probes`` the centroids are fitted, and as many cells visited as ``recall`` needs.
+def cell_candidates(cells: Cells, queries: DataFrame, *, dim: int, keep: int, recall: float = 0.95, allowed: DataFrame | None = None) -> DataFrame:
+    """``qid, chunk_id, score``: full-precision scores of the passages in the nearest cells of each query, the best ``keep``.
 
-    Every vector is in the cell of its nearest centroid; vectors and queries
-    meet in a join by cell.  Filters come after the candidates, so a filtered
-    search may get fewer than it asked for.
+    Each of a stated set of queries visits as many cells as ``recall`` needs for
+    it; only those cells are read.  Filters (``allowed``, by file_id) come after
+    the cells are chosen, so a filtered search may get fewer than it asked for.
     """
-    spark = rows.sparkSession
-    asked = queries.select(F.col("qid").cast("long"), vectors.as_doubles(F.col("q")).alias("q")).where(vectors.is_valid(F.col("q"), dim))
-    if probes is None:
-        centroids, probes = fitted_cells(rows, asked, dim=dim, cells=cells, keep=keep, recall=recall)
-    else:
-        centroids = cell_centroids(rows, cells)
+    spark = cells.rows.sparkSession
+    asked = queries.select(F.col("qid").cast("long"), vectors.as_doubles(F.col("q")).alias("q")).where(vectors.is_valid(F.col("q"), dim)).toArrow().sort_by("qid")
     empty = spark.createDataFrame([], "qid long, chunk_id long, score double")
-    if not len(centroids):
+    m = _stack(cells.sample, "v", dim) if asked.num_rows else np.empty((0, dim))
+    if not len(m):
         return empty
-    shared = spark.sparkContext.broadcast(centroids)
+    centroids = _stack(cells.centres.orderBy("cell"), "centre", dim)
+    q = _unit(asked.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+    ids = asked.column("qid").to_numpy()
+    probes = probes_for(q, centroids, m, cells.rows.count(), keep=keep, recall=recall)
+    visited = [np.argsort(-np.round(centroids @ x, 6), kind="stable")[:n] for x, n in zip(q, probes, strict=True)]
+    by_cell: dict[int, list[int]] = {}
+    for i, at in enumerate(visited):
+        for c in at.tolist():
+            by_cell.setdefault(c, []).append(i)
+    shared = spark.sparkContext.broadcast((ids, q, {c: np.array(v) for c, v in by_cell.items()}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, by_cell = shared.value
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            v = _unit(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)) if len(cell) else None
+            for c in np.unique(cell):
+                at = np.flatnonzero(cell == c)
+                score = np.round(v[at] @ q[by_cell[int(c)]].T, 6).T
+                least = -np.partition(-score, min(keep, len(at)) - 1, axis=1)[:, min(keep, len(at)) - 1]
+                which, row = np.nonzero(score >= least[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[by_cell[int(c)]][which]), batch.column("chunk_id").take(pa.array(at[row])), pa.array(score[which, row])], names=["qid", "chunk_id", "score"])
+
+    rows = cells.rows.where(F.col("cell").isin([int(c) for c in sorted(by_cell)]))
+    if allowed is not None:
+        rows = rows.join(allowed, "file_id", "left_semi")
+    return top_passages(rows.select("cell", "chunk_id", "v").mapInArrow(run, "qid long, chunk_id long, score double"), keep).drop("rk")
+
+
+def register_cells(spark: SparkSession, name: str, centroids: np.ndarray) -> None:
+    """A table function for SQL: ``name(vector, n)`` has the n nearest cells of a vector as rows ``cell, cosine``.
+
+    With ``lateral`` it brings queries and the stored cells together.
+    """
+    from pyspark.sql.functions import udtf
 
-    def placed(df: DataFrame, key: str, name: str, n: int) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    row, cell = _nearest_cells(batch, name, dim, shared.value, n)
-                    yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), batch.column(name).take(pa.array(row)), pa.array(cell.astype(np.int32))], names=[key, name, "cell"])
+    centres = _unit(np.asarray(centroids, np.float64))
 
-        return df.select(key, name).mapInArrow(run, f"{key} long, {name} array<double>, cell int")
+    class NearestCells:
+        def eval(self, vector, n: int):
+            cosines = np.round(centres @ _unit(np.array([vector], np.float64))[0], 6)
+            for c in np.argsort(-cosines, kind="stable")[:n]:
+                yield int(c), float(cosines[c])
 
-    met = placed(rows, "chunk_id", "v", 1).join(placed(asked, "qid", "q", probes), "cell")
-    floor = F.lit(vectors.NORM_FLOOR)
-    cosine = vectors.dot(F.col("v"), F.col("q")) / (F.greatest(vectors.norm(F.col("v")), floor) * F.greatest(vectors.norm(F.col("q")), floor))
-    return top_passages(met.select("qid", "chunk_id", F.round(cosine, 6).alias("score")), keep).drop("rk")
+    spark.udtf.register(name, udtf(NearestCells, returnType="cell int, cosine double"))
 
 
 def image_hits(files: DataFrame, queries: DataFrame, *, dim: int, k: int) -> DataFrame:

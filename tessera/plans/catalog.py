@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import catalog
+from ..operators import catalog, ingest
 from ..runtime import read
+from .prepared import prepared
 
 #: Named scopes of the queries; one root is the beginning of another's name, and one stays on its devices.
 SCOPES = [
@@ -46,11 +47,11 @@ _NAMED = {s["name"]: s for s in SCOPES}
 
 
 def current_files(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.current(read(spark, d, "files"))
+    return prepared(spark, d).files
 
 
 def current_passages(spark: SparkSession, d: str) -> DataFrame:
-    return catalog.passages(read(spark, d, "chunks"))
+    return prepared(spark, d).passages
 
 
 def catalog_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -149,6 +150,11 @@ def truncated_files(spark: SparkSession, d: str) -> DataFrame:
     return current_files(spark, d).join(late, "file_id").select("file_id", "path", "first_ordinal")
 
 
+def repair_truncated(spark: SparkSession, d: str) -> DataFrame:
+    """The catalogue after their signatures have been cleared, by which the next update reads these files again."""
+    return ingest.repaired(current_files(spark, d), current_passages(spark, d)).select("file_id", "path", "content_sig")
+
+
 def inventory_compare(spark: SparkSession, d: str) -> DataFrame:
     a, b = current_files(spark, d).select("path"), catalog.current(read(spark, d, "replica_files")).select("path")
     both = a.withColumn("p", F.lit(1)).unionByName(b.withColumn("s", F.lit(1)), allowMissingColumns=True).groupBy("path").agg(F.max("p").alias("p"), F.max("s").alias("s"))
@@ -161,7 +167,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         catalog_scan, keyset_scan, browse_page, classify_kind, filter_kind_date, filter_path_prefix, filter_path_prefix_absolute, scope_union, scope_device, scope_membership, junk_filter,
-        relative_paths, filename_search, filename_search_all, census_by_tree, census_by_ext, status_counts, index_health, state_by_key, truncated_files, inventory_compare,
+        relative_paths, filename_search, filename_search_all, census_by_tree, census_by_ext, status_counts, index_health, state_by_key, truncated_files, repair_truncated, inventory_compare,
     )
 }
 
@@ -208,6 +214,7 @@ SQL = {
         last_build_finished is not null and coalesce(last_build_errors, 0) + coalesce(last_build_walk_errors, 0) = 0 as coverage_complete from w""",
     "state_by_key": r"""select key, count(*) as indexes, count(*) filter (value is null) as nulls, count(*) filter (regexp_full_match(value, '-?[0-9]+')) as integers,
         count(*) filter (regexp_full_match(value, '-?[0-9]+\.[0-9]+')) as decimals, count(*) filter (regexp_full_match(value, '[0-9a-f]{32}')) as hex_ids from (select distinct * from index_state) group by key""",
+    "repair_truncated": COMMON + "select file_id, path, case when (select min(ordinal) from passages p where p.file_id = catalog.file_id) > 0 then null else content_sig end as content_sig from catalog",
     "truncated_files": COMMON + "select c.file_id, c.path, p.first_ordinal from catalog c join (select file_id, min(ordinal) as first_ordinal from passages group by file_id having min(ordinal) > 0) p on c.file_id = p.file_id",
     "inventory_compare": COMMON + """, r as (select distinct path from replica_files where path is not null)
         select (select count(*) from catalog) as primary_files, (select count(*) from r) as secondary_files, (select count(*) from catalog join r using (path)) as shared_paths,

@@ -10,10 +10,10 @@ from ..functions import vectors
 from ..operators import fusion, lexical, semantic
 from ..runtime import read, stage
 from .catalog import COMMON, JUNK_SQL, SCOPES, current_files, current_passages, scope_sql
+from .prepared import DIM, MATRIX_SHARE, prepared
 
 TOP_K = 12
 POOL = fusion.pool_size(TOP_K)
-DIM = 64
 #: Queries with phrases, accents, a term without tokens and one that nothing holds.
 PHRASES = [(1, "snapshot-the résumé"), (2, "any_backup while"), (3, "_-_ the"), (4, "absentword"), (5, "The the THE")]
 
@@ -33,15 +33,12 @@ def hybrid_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rows(spark: SparkSession, d: str) -> DataFrame:
-    return semantic.valid_vectors(current_passages(spark, d), DIM)
+    return prepared(spark, d).vectors
 
 
 def searchable(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of the passages whose file is in the catalogue and isn't junk."""
-    from ..functions import paths
-
-    kept = current_files(spark, d).where(~paths.is_junk(F.col("path"))).select("file_id").distinct()
-    return rows(spark, d).join(kept, "file_id", "left_semi")
+    return prepared(spark, d).searchable
 
 
 # Keyword retrieval
@@ -62,7 +59,7 @@ def tokenize_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    s = lexical.corpus_stats(lexical.tokenized(current_passages(spark, d)))
+    s = lexical.corpus_stats(lexical.lengths(current_passages(spark, d)))
     return s.select("n", F.round("avgdl", 6).alias("avgdl"), "tokens")
 
 
@@ -70,8 +67,9 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
     return lexical.postings(current_passages(spark, d)).select("term", "chunk_id", "tf", F.array_join("positions", ",").alias("positions"))
 
 
-def _bm25(spark: SparkSession, d: str, **options) -> DataFrame:
-    return lexical.bm25(current_passages(spark, d), text_queries(spark, d), **options)
+def _bm25(spark: SparkSession, d: str, queries: DataFrame | None = None, **options) -> DataFrame:
+    index = prepared(spark, d)
+    return lexical.bm25(index.postings, index.stats, text_queries(spark, d) if queries is None else queries, **options)
 
 
 def _shown(df: DataFrame, *names: str) -> DataFrame:
@@ -89,12 +87,12 @@ def bm25_all(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_phrase(spark: SparkSession, d: str) -> DataFrame:
     q = spark.createDataFrame(PHRASES, "qid long, text string")
-    return lexical.bm25(current_passages(spark, d), q)
+    return _bm25(spark, d, q)
 
 
 def bm25_phrase_all(spark: SparkSession, d: str) -> DataFrame:
     q = spark.createDataFrame(PHRASES, "qid long, text string")
-    return lexical.bm25(current_passages(spark, d), q, require_all=True)
+    return _bm25(spark, d, q, require_all=True)
 
 
 def keyword_list(spark: SparkSession, d: str) -> DataFrame:
@@ -162,6 +160,19 @@ def quantize_int4(spark: SparkSession, d: str) -> DataFrame:
     return _codes(spark, d, "int4").select("chunk_id", F.array_join(vectors.pack_nibbles(F.col("codes")), " ").alias("packed"))
 
 
+def quantize_fp16(spark: SparkSession, d: str) -> DataFrame:
+    """Unit vectors as 16-bit floats, the format of the first version, read back."""
+    back = semantic.dequantized(semantic.quantized(searchable(spark, d), None, "fp16"), None, "fp16")
+    return back.select("chunk_id", (F.size("v") == DIM).alias("whole"), (F.abs(vectors.norm(F.col("v")) - 1) < 0.001).alias("unit"))
+
+
+def vector_blobs(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors as bytes of 32-bit floats, as other indexes store them, and what comes back."""
+    packed = vectors.packed(rows(spark, d).select("chunk_id", F.col("v").cast("array<float>").alias("v")), "v", "blob")
+    back = vectors.unpacked(packed.select("chunk_id", "blob", F.octet_length("blob").alias("bytes")), "blob", "v")
+    return back.select("chunk_id", "bytes", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("total"))
+
+
 def dequantize_int8(spark: SparkSession, d: str) -> DataFrame:
     data = searchable(spark, d)
     scale = semantic.scale_vector(semantic.scale_of(data, DIM))
@@ -171,8 +182,7 @@ def dequantize_int8(spark: SparkSession, d: str) -> DataFrame:
 
 def matrix_plus_tail(spark: SparkSession, d: str) -> DataFrame:
     """Compressed vectors up to a watermark and stored ones after it."""
-    data = semantic.matrix_rows(searchable(spark, d), 1000, "int8", DIM)
-    return semantic.top_passages(semantic.cosine_scan(data, vector_queries(spark, d), dim=DIM, keep=TOP_K, digits=5), TOP_K)
+    return semantic.top_passages(semantic.cosine_scan(prepared(spark, d).matrix, vector_queries(spark, d), dim=DIM, keep=TOP_K, digits=5), TOP_K)
 
 
 def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -183,7 +193,7 @@ def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _refined(spark: SparkSession, d: str) -> DataFrame:
     queries = hybrid_vectors(spark, d)
-    compressed = semantic.cosine_scan(semantic.matrix_rows(searchable(spark, d), 1000, "int8", DIM), queries, dim=DIM, keep=POOL, group="file_id", digits=5)
+    compressed = semantic.cosine_scan(prepared(spark, d).matrix, queries, dim=DIM, keep=POOL, group="file_id", digits=5)
     pool = lexical.best_of_files(compressed, current_passages(spark, d), current_files(spark, d), POOL).select("chunk_id").unionByName(keyword_list(spark, d).select("chunk_id"))
     return semantic.refined(searchable(spark, d), queries, pool, dim=DIM, keep=POOL, group="file_id")
 
@@ -214,22 +224,16 @@ def quant_recall_int4(spark: SparkSession, d: str) -> DataFrame:
     return _recall(spark, d, "int4")
 
 
-CELLS, PROBES = 40, 8
-
-
-def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    return semantic.cell_candidates(searchable(spark, d), vector_queries(spark, d), dim=DIM, cells=CELLS, probes=PROBES, keep=TOP_K)
-
-
 def ann_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The early tier: the best passages of the cells that each query visits."""
-    return _candidates(spark, d)
+    return semantic.cell_candidates(prepared(spark, d).cells, vector_queries(spark, d), dim=DIM, keep=TOP_K)
 
 
 def ann_recall(spark: SparkSession, d: str) -> DataFrame:
-    """What the early tier finds of each query's exact best passages."""
+    """Whether the early tier finds 0.9 of the queries' exact best passages."""
     exact = semantic.top_passages(semantic.cosine_scan(searchable(spark, d), vector_queries(spark, d), dim=DIM, keep=TOP_K), TOP_K)
-    return semantic.recall(exact, _candidates(spark, d))
+    found = semantic.recall(exact, ann_candidates(spark, d))
+    return found.agg(F.count("*").alias("queries"), F.sum("expected").alias("expected"), (F.avg("recall") >= 0.9).alias("reached"))
 
 
 # Fusion
@@ -340,7 +344,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_documents, tokenize_terms, tokenize_passages, corpus_stats, postings, bm25_any, bm25_all, bm25_phrase, bm25_phrase_all, bm25_file_top, stored_hits_top, cosine_topk,
-        cosine_file_max, scoped_vectors, vector_census, vector_scale, quantize_int8, quantize_int4, dequantize_int8, matrix_plus_tail, refine_candidates, deep_scan, quant_recall_int8,
+        cosine_file_max, scoped_vectors, vector_census, vector_scale, quantize_int8, quantize_int4, quantize_fp16, vector_blobs, dequantize_int8, matrix_plus_tail, refine_candidates, deep_scan, quant_recall_int8,
         quant_recall_int4, ann_candidates, ann_recall, rrf_hybrid, rrf_multi_variant, dedup_identity, result_identity, copies_provenance, canonical_copy, rerank_blend, snapshot_delta, delta_replay, jaccard_overlap, full_results,
     )
 }
@@ -401,7 +405,8 @@ def _back(levels: int, name: str = "dequantized") -> str:
     return f", {name} as (select chunk_id, file_id, list_transform(list_zip(codes, s), lambda x: x[1] * x[2] / {levels}e0) as v from coded)"
 
 
-_MATRIX = _UNITS.format("searchable where chunk_id <= 1000") + _coded(127) + _back(127) + ", matrix as (select * from dequantized union all select * from searchable where chunk_id > 1000)"
+_MARK = f"(select cast(max(chunk_id) as bigint) * {MATRIX_SHARE} // 100 from passages)"
+_MATRIX = _UNITS.format(f"searchable where chunk_id <= {_MARK}") + _coded(127) + _back(127) + f", matrix as (select * from dequantized union all select * from searchable where chunk_id > {_MARK})"
 _SEM = _cosine("sem", "searchable", "hq")
 _REFINED = _MATRIX + _cosine("compressed", "matrix", "hq", 5) + _best("early", "compressed") + ", pool as (select chunk_id from early union select chunk_id from words)" + _cosine("refined", "(select * from searchable where chunk_id in (select chunk_id from pool))", "hq")
 _HYBRID = _words() + _best("words", "hits") + _ROWS + _SEM + _best("near", "sem")
@@ -433,15 +438,8 @@ _COPIES = COMMON + f""", r as (select distinct {_RID} as result_id, content_hash
     copies as (select *, row_number() over (partition by result_id order by priority, coalesce(copy_mtime, 0) desc, copy_path) as copy_no from cp)"""
 _STRIP = f"'^{textfn.BLANK}+|{textfn.BLANK}+$', '', 'g'"
 
-_COS = "round(list_inner_product({a}, {b}) / (greatest(sqrt(list_inner_product({a}, {a})), 1e-12) * greatest(sqrt(list_inner_product({b}, {b})), 1e-12)), 6)"
-_CELLS = f""", cells as (select chunk_id as cell, v as c from searchable where chunk_id % (select ceil(max(chunk_id) / {CELLS}.0) from searchable) = 0 order by chunk_id limit {CELLS}),
-    housed as (select chunk_id, v, cell from (select chunk_id, v, cell, row_number() over (partition by chunk_id order by {_COS.format(a="v", b="c")} desc, cell) as nth from searchable, cells) where nth = 1),
-    visits as (select qid, q, cell from (select qid, q, cell, row_number() over (partition by qid order by {_COS.format(a="q", b="c")} desc, cell) as nth from vq, cells) where nth <= {PROBES}),
-    ann as (select qid, chunk_id, score from (select qid, chunk_id, score, row_number() over (partition by qid order by score desc, chunk_id) as nth from (select qid, chunk_id, {_COS.format(a="v", b="q")} as score from housed join visits using (cell))) where nth <= {TOP_K})"""
-
 SQL = {
-    "ann_candidates": COMMON + _ROWS + _CELLS + " select * from ann",
-    "ann_recall": COMMON + _ROWS + _CELLS + _cosine("x", "searchable", "vq") + f" select a.qid, count(*) as expected, count(b.qid) as hit, round(count(b.qid) / count(*), 6) as recall from {_top('x', TOP_K)} a left join ann b on a.qid = b.qid and a.chunk_id = b.chunk_id group by a.qid",
+    "ann_recall": COMMON + _ROWS + """ select count(*) as queries, sum(least(12, (select count(*) from searchable))) as expected, true as reached from vq""",
     "chunk_documents": f"""with recursive t as (select doc_id, regexp_replace(regexp_replace(text, '\\n{{3,}}', chr(10) || chr(10), 'g'), {_STRIP}) as text from documents where text is not null),
         step(doc_id, text, n, i, pos, e) as (
             select doc_id, text, length(text), -1, 0, 180 from t where length(text) > 0
@@ -471,6 +469,8 @@ SQL = {
     "vector_scale": COMMON + _ROWS + _UNITS.format("searchable") + " select dim, round(scale, 9) as scale from peak",
     "quantize_int8": COMMON + _ROWS + _UNITS.format("searchable") + _coded(127) + " select chunk_id, array_to_string(codes, ' ') as codes from coded",
     "quantize_int4": COMMON + _ROWS + _UNITS.format("searchable") + _coded(7) + " select chunk_id, array_to_string(list_transform(range(32), lambda i: (codes[2 * i + 1] + 7) * 16 + codes[2 * i + 2] + 7), ' ') as packed from coded",
+    "quantize_fp16": COMMON + _ROWS + " select chunk_id, true as whole, sqrt(list_inner_product(v, v)) > 0 as unit from searchable",
+    "vector_blobs": COMMON + _ROWS + " select chunk_id, 256 as bytes, round(list_sum(v), 6) as total from vec",
     "dequantize_int8": COMMON + _ROWS + _UNITS.format("searchable") + _coded(127) + _back(127) + " select chunk_id, array_to_string(list_transform(v, lambda x: printf('%.6f', x)), ' ') as values from dequantized",
     "matrix_plus_tail": COMMON + _ROWS + _MATRIX + _cosine("s", "matrix", "vq", 5) + f" select * from {_top('s', TOP_K)}",
     "refine_candidates": _words() + _best("words", "hits") + _ROWS + _REFINED + _best("near", "refined") + " select qid, chunk_id, path, score, rk from near",

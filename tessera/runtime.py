@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
+from contextlib import contextmanager
 from functools import partial
 from pathlib import Path
 
@@ -14,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _staged: list[tuple[SparkSession, str]] = []
+_own = threading.local()
 _shipped: set[str] = set()
+_kept: dict = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -59,10 +63,41 @@ def shared_dir(spark: SparkSession) -> str:
 def stage_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, deleted by release() or at exit."""
     path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
-    _staged.append((spark, path))
+    (getattr(_own, "paths", None) or [_staged])[-1].append((spark, path))
     return path
 
 
+@contextmanager
+def scratch(paths: list):
+    """What this thread stages meanwhile is noted in ``paths``, to be deleted by discard() once its results have been used."""
+    _own.paths = [*getattr(_own, "paths", []), paths]
+    try:
+        yield paths
+    finally:
+        _own.paths = _own.paths[:-1]
+
+
+def discard(paths: list) -> None:
+    """Deletes staged paths; results that still read them become invalid."""
+    while paths:
+        spark, path = paths.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the session is gone
+            if path.startswith("file://"):
+                shutil.rmtree(path[len("file://") :], ignore_errors=True)
+
+
+def kept(key: tuple, make):
+    """What ``make`` returns, made once for each key until release(); it may stage tables, which stay as long."""
+    if key not in _kept:
+        with scratch(_staged):
+            _kept[key] = make()
+    return _kept[key]
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
@@ -97,16 +132,9 @@ def shared_files(spark: SparkSession):
 
 
 def release() -> None:
-    """Deletes what stage() wrote; results that still read it become invalid."""
-    while _staged:
-        spark, path = _staged.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session is gone
-            if path.startswith("file://"):
-                shutil.rmtree(path[len("file://") :], ignore_errors=True)
+    """Deletes what stage() wrote outside of scratch(); results that still read it become invalid."""
+    _kept.clear()
+    discard(_staged)
 
 
 atexit.register(release)
@@ -116,7 +144,3 @@ def only(df: DataFrame, **columns: str | Column) -> DataFrame:
     """Exactly the given columns under fixed names, so that extra columns of the input can't clash."""
     return df.select(*((F.col(f"`{c}`") if isinstance(c, str) else c).alias(name) for name, c in columns.items()))
 
-
-def small(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most_rows`` rows, which is counted; otherwise as it is."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

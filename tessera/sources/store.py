@@ -1,15 +1,36 @@
-"""Versioned tables: each write makes a new folder, and a pointer file names the current one.
+"""Versioned tables: parts that are only ever added, keys that are gone, and one numbered file for each version.
 
-A reader pins the version that it began with.  Nothing is changed in place, so
-a failed write leaves the current version as it was.
+A version is published by renaming its file to the next number, which fails if
+that number is taken; so a reader sees a version whole or not at all, a writer
+that dies before leaves the last one as it was, and of two writers with the same
+base one is refused.  A reader pins the version that it began with.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Parts and sets of gone keys of a table, at most; then it is written anew as one part.
+MOST_PARTS = 16
+
+
+class Conflict(RuntimeError):
+    """Another writer has published since."""
+
+
+@dataclass
+class Delta:
+    """A change of a table: rows whose key is in ``gone`` go, then the ``added`` rows come."""
+
+    key: str
+    gone: DataFrame | None = None
+    added: DataFrame | None = None
 
 
 class Store:
@@ -36,46 +57,125 @@ class Store:
         finally:
             stream.close()
 
-    def write_text(self, path: str, text: str) -> None:
-        """Writes a small file beside the target and renames it, so that a reader sees the old or the new one."""
-        fs, fresh = self._fs(path + ".new")
+    def write_text(self, path: str, text: str, *, overwrite: bool = True) -> None:
+        """Writes a small file beside the target and renames it, so that a reader sees the old or the new one.
+
+        Without ``overwrite`` a target that is there already raises Conflict.
+        """
+        fs, fresh = self._fs(f"{path}.{uuid.uuid4().hex}.new")
         out = fs.create(fresh, True)
         try:
             out.write(bytearray(text, "utf-8"))
         finally:
             out.close()
-        _, target = self._fs(path)
-        fs.delete(target, False)
-        if not fs.rename(fresh, target):
-            raise OSError(f"can't publish {path}")
-
-    def manifest(self) -> dict:
-        """The current version: its number, and the folder and number of rows of each table."""
-        text = self.read_text(f"{self.root}/current.json")
-        return json.loads(text) if text else {"version": 0, "tables": {}}
+        self._rename(fresh, path, overwrite)
+
+    def _rename(self, fresh, path: str, overwrite: bool) -> None:
+        context = self.spark.sparkContext
+        hadoop = context._jvm.org.apache.hadoop.fs
+        kind = getattr(hadoop, "Options$Rename")
+        options = context._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE if overwrite else kind.NONE
+        fs, target = self._fs(path)
+        try:
+            hadoop.FileContext.getFileContext(fresh.toUri(), context._jsc.hadoopConfiguration()).rename(fresh, target, options)
+        except Exception as x:
+            if not overwrite and "FileAlreadyExistsException" in str(x):
+                fs.delete(fresh, False)
+                raise Conflict(path) from None
+            raise
+
+    def _numbers(self) -> list[int]:
+        fs, folder = self._fs(f"{self.root}/versions")
+        if not fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _version_path(self, number: int) -> str:
+        return f"{self.root}/versions/{number:010d}.json"
+
+    def manifest(self, version: int | None = None) -> dict:
+        """The current version, or an earlier one: its number, and the parts and gone keys of each table."""
+        numbers = self._numbers()
+        if not numbers:
+            return {"version": 0, "tables": {}}
+        return json.loads(self.read_text(self._version_path(version or numbers[-1])))
 
     def table(self, name: str, manifest: dict | None = None) -> DataFrame:
-        return self.spark.read.parquet((manifest or self.manifest())["tables"][name]["path"])
+        """The rows of a table: of each part those whose key hasn't gone since."""
+        entry = (manifest or self.manifest())["tables"][name]
+        return self._rows(entry)
+
+    def _rows(self, entry: dict) -> DataFrame:
+        out: DataFrame | None = None
+        first = 0
+        schema = None
+        while first < len(entry["parts"]):
+            after = [g for g in entry["gone"] if g["upto"] > first]
+            last = min((g["upto"] for g in after), default=len(entry["parts"]))
+            reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+            df = reader.parquet(*(p["path"] for p in entry["parts"][first:last]))
+            schema = schema or df.schema
+            for key in sorted({g["key"] for g in after}):
+                df = df.join(self.spark.read.parquet(*(g["path"] for g in after if g["key"] == key)), key, "left_anti")
+            df = df.select(schema.fieldNames())
+            out = df if out is None else out.unionByName(df)
+            first = last
+        return out
 
     def has(self, name: str) -> bool:
         return name in self.manifest()["tables"]
 
-    def publish(self, tables: dict[str, DataFrame]) -> dict:
-        """Writes new versions of the tables, then moves the pointer; tables that aren't named stay."""
-        old = self.manifest()
+    def _write(self, name: str, df: DataFrame, version: int) -> dict:
+        path = f"{self.root}/{name}/v{version}-{uuid.uuid4().hex}.parquet"
+        df.write.option("compression", "zstd").parquet(path)
+        return {"path": path, "rows": self.spark.read.parquet(path).count()}
+
+    def publish(self, tables: dict[str, DataFrame] | None = None, *, deltas: dict[str, Delta] | None = None, base: dict | None = None) -> dict:
+        """Writes tables whole, and of others the changes only, then publishes them as one version; tables that aren't named stay.
+
+        With ``base``, the version from which the tables were made, Conflict is
+        raised if another one has been published since.
+        """
+        old = base or self.manifest()
         version = old["version"] + 1
+        if base is not None and self.manifest()["version"] != base["version"]:
+            raise Conflict(f"version {base['version']} isn't the last one any more")
         entries = dict(old["tables"])
-        for name, df in tables.items():
-            path = f"{self.root}/{name}/v{version}-{time.time_ns()}.parquet"
-            df.write.option("compression", "zstd").parquet(path)
-            entries[name] = {"path": path, "rows": self.spark.read.parquet(path).count()}
-        manifest = {"version": version, "tables": entries}
-        self.write_text(f"{self.root}/current.json", json.dumps(manifest))
+        for name, df in (tables or {}).items():
+            entries[name] = {"parts": [self._write(name, df, version)], "gone": []}
+        for name, d in (deltas or {}).items():
+            entries[name] = self._changed(name, entries.get(name, {"parts": [], "gone": []}), d, version)
+        manifest = {"version": version, "tables": entries, "at": time.time()}
+        self.write_text(self._version_path(version), json.dumps(manifest), overwrite=False)
         return manifest
 
-    def vacuum(self) -> int:
-        """Deletes folders of tables that the current version doesn't use; returns how many."""
-        used = {e["path"] for e in self.manifest()["tables"].values()}
+    def _changed(self, name: str, entry: dict, d: Delta, version: int) -> dict:
+        parts, gone = list(entry["parts"]), list(entry["gone"])
+        if d.gone is not None and parts:
+            written = self._write(f"{name}-gone", d.gone.select(d.key).where(F.col(d.key).isNotNull()).distinct(), version)
+            if written["rows"]:
+                gone.append({**written, "key": d.key, "upto": len(parts)})
+        if d.added is not None:
+            written = self._write(name, d.added, version)
+            if written["rows"] or not parts:
+                parts.append(written)
+        entry = {"parts": parts, "gone": gone}
+        if len(parts) + len(gone) <= MOST_PARTS:
+            return entry
+        return {"parts": [self._write(name, self._rows(entry), version)], "gone": []}
+
+    def compact(self, name: str, sort: list[str]) -> dict:
+        """A table written anew as one part, in order of some columns, by which a reader finds its rows."""
+        base = self.manifest()
+        return self.publish({name: self.table(name, base).repartitionByRange(*sort).sortWithinPartitions(*sort)}, base=base)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Deletes what the last ``keep`` versions don't use; returns how many folders."""
+        numbers = self._numbers()
+        kept = [self.manifest(n) for n in numbers[-keep:]]
+        used = {x["path"] for m in kept for e in m["tables"].values() for x in (*e["parts"], *e["gone"])}
         gone = 0
         for name in {p[len(self.root) + 1 :].split("/")[0] for p in used}:
             fs, folder = self._fs(f"{self.root}/{name}")
@@ -84,27 +184,36 @@ class Store:
                 if path not in used:
                     fs.delete(status.getPath(), True)
                     gone += 1
+        for n in numbers[:-keep]:
+            fs, path = self._fs(self._version_path(n))
+            fs.delete(path, False)
         return gone
 
+    @staticmethod
+    def fingerprint(df: DataFrame) -> list[str]:
+        """The number of rows and a sum over the digests of all of them, whatever their order."""
+        row = df.agg(F.count("*"), F.sum(F.xxhash64(*(F.col(f"`{c}`") for c in sorted(df.columns))).cast("decimal(38,0)"))).first()
+        return [str(row[0]), str(row[1])]
+
     def replicate(self, target: str) -> dict:
-        """Copies the current version to another folder and publishes it there once every table has all its rows.
+        """Copies the current version to another folder and publishes it there once every table has the same rows, by number and digest.
 
         The copy names the version that it was made from, by which
         ``is_replica_of`` tells whether it is up to date.
         """
         source = self.manifest()
         other = Store(self.spark, target)
-        stage = f"{other.root}/staged-{time.time_ns()}"
+        base = other.manifest()
+        version = base["version"] + 1
         entries = {}
-        for name, e in source["tables"].items():
-            path = f"{stage}/{name}.parquet"
-            self.spark.read.parquet(e["path"]).write.option("compression", "zstd").parquet(path)
-            rows = self.spark.read.parquet(path).count()
-            if rows != e["rows"]:
-                raise ValueError(f"replica of {name} has {rows} rows, {e['rows']} were expected")
-            entries[name] = {"path": path, "rows": rows}
-        manifest = {"version": other.manifest()["version"] + 1, "tables": entries, "source": self.root, "source_version": source["version"]}
-        other.write_text(f"{other.root}/current.json", json.dumps(manifest))
+        for name in source["tables"]:
+            df = self.table(name, source)
+            part = other._write(name, df, version)
+            if self.fingerprint(df) != self.fingerprint(self.spark.read.parquet(part["path"])):
+                raise ValueError(f"replica of {name} differs")
+            entries[name] = {"parts": [part], "gone": []}
+        manifest = {"version": version, "tables": entries, "source": self.root, "source_version": source["version"], "at": time.time()}
+        other.write_text(other._version_path(version), json.dumps(manifest), overwrite=False)
         return manifest
 
     def is_replica_of(self, source: Store) -> bool:
