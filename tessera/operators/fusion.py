@@ -88,7 +88,9 @@ def results(fused: DataFrame, files: DataFrame, passages: DataFrame, top_k: int,
     """Full results: deduplicated, with the canonical path, the number of copies, and the text of the evidence, which is joined last."""
     top = stage(dedup(fused, files, top_k, group=group), "results")
     best = canonical(_copy_rows(top, files, list(scopes)), group=group).drop("priority")
-    return top.withColumnRenamed("path", "evidence_path").drop("mtime").join(best, [group, "result_id"]).join(passages.select("chunk_id", F.col("text").alias("snippet")), "chunk_id", "left")
+    rows = top.withColumnRenamed("path", "evidence_path").drop("mtime").join(best, [group, "result_id"]).join(passages.select("chunk_id", F.col("text").alias("snippet"), F.lit(True).alias("__there")), "chunk_id", "left")
+    # A result whose passage has gone since is left out, after it has stood for its identity.
+    return rows.where("chunk_id is null or __there").drop("__there")
 
 
 def delta(before: DataFrame, after: DataFrame, fields: list[str], *, key: str = "result_id", place: str = "place") -> DataFrame:

@@ -111,11 +111,17 @@ def rotating_sample(files: DataFrame, cursor: int, n: int) -> DataFrame:
     return source.orderBy("file_id").limit(n)
 
 
-def refresh_candidates(files: DataFrame, hits: list[str], cursor: int, limit: int = 12, most_bytes: int = 65_536) -> DataFrame:
-    """Files that a search repairs: half of the limit among its hits, half from the rotating sample, each once, small text files only."""
+def refresh_candidates(files: DataFrame, hits: list[str], cursor: int, limit: int = 12, most_bytes: int = 65_536) -> tuple[DataFrame, int]:
+    """Files that a search repairs, and the cursor after them: half of the limit among its hits, half from the rotating sample.
+
+    Each once, small text files that aren't junk only.  The cursor is the
+    greatest id of the sample, or 0 if there was nothing to take.
+    """
     ok = files.where((F.col("kind") == "text") & (F.col("size") <= most_bytes) & ~paths.is_junk(F.col("path")))
     chosen = ok.where(F.col("path").isin(hits[: limit // 2])) if hits else ok.limit(0)
-    return chosen.unionByName(rotating_sample(ok, cursor, limit // 2)).dropDuplicates(["file_id"])
+    sample = rotating_sample(ok, cursor, limit // 2)
+    following = sample.agg(F.max("file_id")).first()[0] or 0
+    return chosen.unionByName(sample).dropDuplicates(["file_id"]), following
 
 
 def storage_estimate(passages: DataFrame) -> DataFrame:

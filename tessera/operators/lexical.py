@@ -25,7 +25,11 @@ def tokenized(passages: DataFrame, *carry: str) -> DataFrame:
 
 def postings(passages: DataFrame, *carry: str) -> DataFrame:
     """``term, chunk_id, dl, tf, positions`` (and other columns of the passage): the inverted index; ``dl`` is the passage's length in tokens."""
-    at = tokenized(passages, *carry).select("chunk_id", *carry, "dl", F.posexplode("tokens").alias("pos", "term"))
+    return postings_of(tokenized(passages, *carry), *carry)
+
+
+def postings_of(tokenized: DataFrame, *carry: str) -> DataFrame:
+    at = tokenized.select("chunk_id", *carry, "dl", F.posexplode("tokens").alias("pos", "term"))
     return at.groupBy("term", "chunk_id", *carry, "dl").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 

@@ -76,3 +76,14 @@ def poll(events: DataFrame, after: int, limit: int = 32, *, key: str = "sequence
 def latest(events: DataFrame, group: str, key: str, fields: list[str]) -> DataFrame:
     """The last event of each group."""
     return events.groupBy(group).agg(F.max_by(F.struct(*fields), key).alias("e"), F.max(key).alias(key)).select(group, key, "e.*")
+
+
+def relevance(ranks: DataFrame, k: int = 3) -> DataFrame:
+    """One row about cases (``case_id, place``; null for what wasn't found): how many, found first, found within k, and the mean reciprocal rank within k."""
+    near = F.col("place") <= k
+    return ranks.agg(F.count("*").alias("cases"), F.count_if(F.col("place") == 1).alias("top1"), F.count_if(near).alias(f"top{k}"), (F.sum(F.when(near, 1.0 / F.col("place")).otherwise(0.0)) / F.count("*")).alias(f"mrr{k}"))
+
+
+def events_as_json(events: DataFrame, fields: list[str]) -> DataFrame:
+    """``event_id, line``: events as the lines of a log."""
+    return events.select("event_id", F.to_json(F.struct(*fields)).alias("line"))

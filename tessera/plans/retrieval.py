@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as textfn
 from ..functions import vectors
-from ..operators import fusion, lexical, semantic
+from ..operators import fusion, lexical, metrics, semantic
 from ..runtime import read, stage
 from .catalog import COMMON, JUNK_SQL, SCOPES, current_files, current_passages, scope_sql
 from .prepared import DIM, MATRIX_SHARE, prepared
@@ -236,6 +236,24 @@ def ann_recall(spark: SparkSession, d: str) -> DataFrame:
     return found.agg(F.count("*").alias("queries"), F.sum("expected").alias("expected"), (F.avg("recall") >= 0.9).alias("reached"))
 
 
+def image_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The best images of each query; the vector of the number that is left of the file's id by 500 stands for that of the image."""
+    vectors_of = read(spark, d, "embeddings").select(F.col("vec_id").alias("n"), F.col("embedding").alias("image_embedding"))
+    files = current_files(spark, d).withColumn("n", F.col("file_id") % 500).join(vectors_of, "n")
+    return semantic.image_hits(files, vector_queries(spark, d), dim=DIM, k=5)
+
+
+def relevance_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """How often a question's keywords bring its target before all distractors and other targets: MRR@3, first places, places up to the third."""
+    cases = read(spark, d, "relevance_cases").where("case_id is not null and question is not null and target is not null")
+    given = F.concat(F.array("target"), F.filter(F.coalesce("distractors", F.array().cast("array<string>")), lambda x: x.isNotNull()))
+    passages = cases.select("case_id", F.posexplode(given).alias("n", "text")).select((F.col("case_id") * 10 + F.col("n")).alias("chunk_id"), "text")
+    scores = lexical.bm25_texts(passages, cases.select(F.col("case_id").alias("qid"), F.col("question").alias("text")))
+    place = semantic.top_passages(scores, 50).where("chunk_id = qid * 10").select(F.col("qid").alias("case_id"), F.col("rk").alias("place"))
+    found = metrics.relevance(cases.select("case_id").join(place, "case_id", "left"))
+    return found.select("cases", "top1", "top3", F.round("mrr3", 6).alias("mrr3"))
+
+
 # Fusion
 
 
@@ -345,7 +363,7 @@ QUERIES = {
     for f in (
         chunk_documents, tokenize_terms, tokenize_passages, corpus_stats, postings, bm25_any, bm25_all, bm25_phrase, bm25_phrase_all, bm25_file_top, stored_hits_top, cosine_topk,
         cosine_file_max, scoped_vectors, vector_census, vector_scale, quantize_int8, quantize_int4, quantize_fp16, vector_blobs, dequantize_int8, matrix_plus_tail, refine_candidates, deep_scan, quant_recall_int8,
-        quant_recall_int4, ann_candidates, ann_recall, rrf_hybrid, rrf_multi_variant, dedup_identity, result_identity, copies_provenance, canonical_copy, rerank_blend, snapshot_delta, delta_replay, jaccard_overlap, full_results,
+        quant_recall_int4, ann_candidates, ann_recall, image_topk, relevance_metrics, rrf_hybrid, rrf_multi_variant, dedup_identity, result_identity, copies_provenance, canonical_copy, rerank_blend, snapshot_delta, delta_replay, jaccard_overlap, full_results,
     )
 }
 
@@ -439,6 +457,10 @@ _COPIES = COMMON + f""", r as (select distinct {_RID} as result_id, content_hash
 _STRIP = f"'^{textfn.BLANK}+|{textfn.BLANK}+$', '', 'g'"
 
 SQL = {
+    "image_topk": COMMON + _ROWS + ", img as (select file_id, cast(embedding as double[]) as v from catalog join embeddings on vec_id = file_id % 500 where kind = 'image')" + _cosine("s", "(select file_id as chunk_id, v from img)", "vq") + f" select qid, chunk_id as file_id, score, rk from {_top('s', 5)}",
+    "relevance_metrics": _words("select case_id as qid, question as text from cases").replace(COMMON, """with cases as (select * from relevance_cases where case_id is not null and question is not null and target is not null),
+        passages as (select case_id * 10 + n as chunk_id, text from (select case_id, unnest(list_concat([target], list_filter(coalesce(distractors, []), lambda x: x is not null))) as text, unnest(range(1 + len(list_filter(coalesce(distractors, []), lambda x: x is not null)))) as n from cases))""") + f""", place as (select qid, rk from {_top('hits', 50)} where chunk_id = qid * 10)
+        select count(*) as cases, count(*) filter (rk = 1) as top1, count(*) filter (rk <= 3) as top3, round(sum(case when rk <= 3 then 1e0 / rk else 0e0 end) / count(*), 6) as mrr3 from cases left join place on qid = case_id""",
     "ann_recall": COMMON + _ROWS + """ select count(*) as queries, sum(least(12, (select count(*) from searchable))) as expected, true as reached from vq""",
     "chunk_documents": f"""with recursive t as (select doc_id, regexp_replace(regexp_replace(text, '\\n{{3,}}', chr(10) || chr(10), 'g'), {_STRIP}) as text from documents where text is not null),
         step(doc_id, text, n, i, pos, e) as (

@@ -89,6 +89,22 @@ def rotating_sample_wrapped(spark: SparkSession, d: str) -> DataFrame:
     return ingest.rotating_sample(current_files(spark, d), 10**12, 6).select("file_id", "path")
 
 
+def _hit_paths(spark: SparkSession, d: str) -> list[str]:
+    """Eight files that stand for a search's hits."""
+    return [r.path for r in current_files(spark, d).where("file_id % 20 = 7").orderBy("path").limit(8).collect()]
+
+
+def refresh_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """What a search would repair beside itself, from the cursor 250."""
+    return ingest.refresh_candidates(current_files(spark, d), _hit_paths(spark, d), 250)[0].select("file_id", "path")
+
+
+def refresh_cursor(spark: SparkSession, d: str) -> DataFrame:
+    """Where the next repair goes on."""
+    following = ingest.refresh_candidates(current_files(spark, d), _hit_paths(spark, d), 250)[1]
+    return spark.createDataFrame([(following,)], "refresh_cursor long")
+
+
 def storage_estimate(spark: SparkSession, d: str) -> DataFrame:
     return ingest.storage_estimate(current_passages(spark, d))
 
@@ -135,6 +151,10 @@ def event_poll_page(spark: SparkSession, d: str) -> DataFrame:
     return metrics.poll(observations(spark, d), 100, 32, key="event_id").select("event_id", "mode", "seconds")
 
 
+def events_json(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.events_as_json(observations(spark, d), ["event_id", "run_id", "mode"])
+
+
 def latest_event(spark: SparkSession, d: str) -> DataFrame:
     return metrics.latest(observations(spark, d), "run_id", "event_id", ["mode", "seconds"])
 
@@ -167,8 +187,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         changed_files_anti, prune_vanished, upsert_catalog, insert_if_absent, assign_chunk_ids, replace_by_file, cascade_delete, embedding_reuse, resume_points, metadata_upgrade,
-        metadata_upgrade_counts, rotating_sample, rotating_sample_wrapped, storage_estimate, content_overlap, latency_histogram, counter_rollup, counter_means, counter_vocabulary,
-        monotonic_deltas, event_poll_page, latest_event, median_seconds, failure_categories, run_health,
+        metadata_upgrade_counts, rotating_sample, rotating_sample_wrapped, refresh_candidates, refresh_cursor, storage_estimate, content_overlap, latency_histogram, counter_rollup, counter_means, counter_vocabulary,
+        monotonic_deltas, event_poll_page, events_json, latest_event, median_seconds, failure_categories, run_health,
     )
 }
 
@@ -181,7 +201,14 @@ _BUCKET = "case " + " ".join(f"when seconds <= {b} then {i}" for i, b in enumera
 _DEVICE = COMMON + ", known as (select root, source_device as device from (select root, source_device, row_number() over (partition by root order by count(*) desc, source_device) as nth from catalog where source_device is not null and root is not null group by root, source_device) where nth = 1)"
 _FAIL = _OBS + ", failures as (select run_id, case event_id % 6 when 0 then 'permission' when 1 then 'disappeared' when 2 then 'io' when 3 then 'permission' when 5 then 'disappeared' else case when event_id % 4 = 0 then 'unknown' else 'other' end end as category from o where run_id % 2 = 1)"
 
+_REPAIR = COMMON + f""", ok as (select * from catalog where kind = 'text' and size <= 65536 and not {JUNK_SQL.format(p="path")}),
+    hits as (select path from (select path from catalog where file_id % 20 = 7 order by path limit 8) order by path limit 6),
+    sample as (select file_id, path from ok where file_id > 250 or (select max(file_id) from ok) <= 250 order by file_id limit 6)"""
+
 SQL = {
+    "refresh_candidates": _REPAIR + " select file_id, path from ok where path in (select path from hits) union select file_id, path from sample",
+    "refresh_cursor": _REPAIR + " select coalesce(max(file_id), 0) as refresh_cursor from sample",
+    "events_json": _OBS + " select event_id, cast(to_json(struct_pack(event_id := event_id, run_id := run_id, mode := mode)) as varchar) as line from o",
     "changed_files_anti": _WALKED + " select path, content_sig from walked w where not exists (select 1 from catalog c where c.path = w.path and c.content_sig = w.content_sig)",
     "prune_vanished": _WALKED + f", {_GONE} select file_id, path from gone",
     "upsert_catalog": _WALKED + f" select {_F} from walked union all select {_F} from catalog where path not in (select path from walked)",

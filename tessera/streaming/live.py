@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators import catalog, ingest, metrics, semantic
-from ..sources.store import Store
+from ..sources.store import Delta, Store
 
 
 def _arriving(spark: SparkSession, source: str, schema: StructType, most: int) -> DataFrame:
@@ -33,8 +33,12 @@ def _marked(store: Store, name: str) -> int:
     return store.table(f"{name}_batch", m).first()[0] if f"{name}_batch" in m["tables"] else -1
 
 
+def _mark(df: DataFrame, name: str, batch: int) -> dict[str, DataFrame]:
+    return {f"{name}_batch": df.sparkSession.createDataFrame([(batch,)], "batch long")}
+
+
 def _publish(store: Store, name: str, df: DataFrame, batch: int) -> None:
-    store.publish({name: df, f"{name}_batch": df.sparkSession.createDataFrame([(batch,)], "batch long")})
+    store.publish({name: df, **_mark(df, name, batch)})
 
 
 def follow_catalog(spark: SparkSession, source: str, schema: StructType, store: Store, checkpoint: str, *, files_per_trigger: int = 100) -> StreamingQuery:
@@ -45,7 +49,10 @@ def follow_catalog(spark: SparkSession, source: str, schema: StructType, store:
             return
         m = store.manifest()
         old = store.table("files", m) if "files" in m["tables"] else ingest.empty_like(batch.sparkSession, batch)
-        _publish(store, "files", catalog.current(old.unionByName(batch.select(old.columns))), number)
+        arrived = batch.select(old.columns)
+        # Only paths of the batch can change; the rest of the table isn't written again.
+        touched = old.join(arrived.select("path"), "path", "left_semi").select(old.columns)
+        store.publish(_mark(batch, "files", number), deltas={"files": Delta("path", arrived.select("path"), catalog.current(touched.unionByName(arrived)))}, base=m)
 
     rows = _arriving(spark, source, schema, files_per_trigger)
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import random
 import time
 import zipfile
 
@@ -12,9 +13,10 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tessera.engine import HashEncoder, Index, Request, guidance
+from tessera.operators import lexical
 from tessera.sources import files as sources
 from tessera.sources import imports
-from tessera.sources.store import Store
+from tessera.sources.store import MOST_PARTS, Conflict, Delta, Store
 from tessera.streaming import live
 
 DIM = 32
@@ -92,14 +94,41 @@ def test_update_catalogue(index):
 
 def test_search_stages_and_copies(index):
     events = list(index.stream(Request("harbour lamp", deep=True)))
-    assert [e["stage"] for e in events] == ["keyword", "semantic", "deep", "done"] and events[-1]["complete"]
+    assert [e["stage"] for e in events] == ["keyword", "encoding", "semantic", "deep", "done"] and events[-1]["complete"]
+    assert events[2]["progress"]["visited"] == index.chunks().count()
     assert names(events[-1]["results"]).count("lamp.txt") + names(events[-1]["results"]).count("copy.txt") == 1
-    assert [e["sequence"] for e in events] == [1, 2, 3, 4]
+    assert [e["sequence"] for e in events] == [1, 2, 3, 4, 5]
+    assert [e["stage"] for e in index.stream(Request("harbour lamp", deep=True, emit_seconds=600.0))] == ["keyword", "done"]
 
 
-def test_early_candidates(index):
-    events = list(index.stream(Request("harbour lamp", early=True)))
-    assert [e["stage"] for e in events] == ["keyword", "candidates", "semantic", "done"] and events[1]["results"]
+def test_early_candidates(spark, index):
+    assert "candidates" not in [e["stage"] for e in index.stream(Request("harbour lamp", early=True))], "none have been built"
+    assert index.build_candidates()["rows"] == index.chunks().count()
+    events = list(index.stream(Request("harbour lamp", early=True, rerank=True)))
+    assert [e["stage"] for e in events] == ["keyword", "encoding", "candidates", "reranked_early", "semantic", "reranked", "done"] and events[2]["results"]
+    with pytest.raises(ValueError, match="candidates_identity"):
+        Index(spark, index.root, dim=DIM + 1).search(Request("boat", early=True))
+
+
+def test_a_search_that_fails_says_so(spark, index):
+    bad = Index(spark, index.root, dim=DIM, scorer=lambda pairs: [])
+    events = []
+    with pytest.raises(Exception, match="invalid_reranker_scores"):
+        for e in bad.stream(Request("harbour", rerank=True)):
+            events.append(e)
+    assert events[-1]["stage"] == "failed" and events[-1]["results"] == events[-2]["results"] and not events[-1]["complete"]
+
+
+def test_searches_leave_nothing_staged(spark, index):
+    from pathlib import Path
+
+    from tessera.runtime import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "tessera"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    list(index.stream(Request("harbour lamp", deep=True, rerank=True)))
+    index.update([str(index.root).removeprefix("file://")])
+    assert set(folder.iterdir()) <= before
 
 
 def test_cancelling_a_job(spark, index):
@@ -176,12 +205,18 @@ def test_jobs(index):
 
 
 def test_matrix_tail_and_identity(spark, index, tree):
-    assert index.build_matrix("int8")["rows"] == index.status()["chunks"]
-    assert [e["stage"] for e in index.stream(Request("boat storm"))] == ["keyword", "semantic", "refined", "done"]
+    made = index.build_matrix("int8")
+    assert made["rows"] == index.status()["chunks"] and not made["continued"]
+    assert [e["stage"] for e in index.stream(Request("boat storm"))] == ["keyword", "encoding", "semantic", "refined", "done"]
     assert index.verify(every=1)["recall"] >= 0.9
     (tree / "a" / "docs" / "tail.txt").write_text("A zeppelin passed over the harbour in the evening of that day.")
     index.update([str(tree / "a"), str(tree / "a-extra")])
     assert "tail.txt" in names(index.search(Request("zeppelin")))
+    more = index.build_matrix("int8")
+    assert more["continued"] and more["rows"] == made["rows"] + 1 and more["db_max_rowid"] > made["db_max_rowid"]
+    assert "tail.txt" in names(index.search(Request("zeppelin"))) and index.verify(every=1)["passed"]
+    assert not index.build_matrix("fp16")["continued"] and index.verify(every=1)["recall"] >= 0.99
+    assert "tail.txt" in names(index.search(Request("zeppelin"))) and index.build_matrix("int8", full=True)["rows"] == more["rows"]
     other = Index(spark, index.root, dim=DIM + 1)
     with pytest.raises(ValueError, match="matrix_identity"):
         other.search(Request("boat"))
@@ -216,7 +251,14 @@ def test_replicate_and_compare(spark, index, tmp_path):
     assert other.store.is_replica_of(index.store) and rows(other.files()) == rows(index.files())
     assert index.compare(other) == {"shared": index.files().count(), "only_first": 0, "only_second": 0}
     counters = {r.metric: r.value for r in index.shadow(other, Request("harbour", keyword_only=True)).collect()}
-    assert counters["overlap_sum"] == 1.0 and counters["same_first"] == 1.0
+    assert counters["overlap_sum"] == 1.0 and counters["same_first"] == 1.0 and counters["first_outcome_ok"] == counters["second_outcome_ok"] == 1.0
+    assert sum(v for k, v in counters.items() if "_latency_bucket_" in k) == 2.0
+    for _ in range(2):
+        index.record(index.shadow(other, Request("harbour", keyword_only=True)))
+    assert {r.metric: r.value for r in index.counters().collect()}["paired"] == 2.0
+    late = {r.metric for r in index.shadow(other, Request("harbour", deep=True), timeout=0.0).collect()}
+    assert late == {"first_outcome_timeout", "second_outcome_timeout"}
+    time.sleep(2)
     index.upgrade_metadata()
     assert not other.store.is_replica_of(index.store)
 
@@ -231,6 +273,95 @@ def test_failed_publish_leaves_the_version(spark, tmp_path):
     assert store.vacuum() >= 1 and store.table("t").count() == 4
 
 
+def test_a_killed_writer_leaves_the_version(spark, tmp_path, monkeypatch):
+    store = Store(spark, "file://" + str(tmp_path))
+    store.publish({"t": spark.range(3)})
+    for step in ("_write", "write_text", "_rename"):
+        with monkeypatch.context() as m:
+            m.setattr(Store, step, lambda *a, **k: (_ for _ in ()).throw(KeyboardInterrupt()))
+            with pytest.raises(KeyboardInterrupt):
+                store.publish({"t": spark.range(9)})
+        fresh = Store(spark, store.root)
+        assert fresh.manifest()["version"] == 1 and fresh.table("t").count() == 3
+    store.publish({"t": spark.range(4)})
+    assert store.manifest()["version"] == 2 and store.table("t").count() == 4 and store.table("t", store.manifest(1)).count() == 3
+
+
+def test_of_two_writers_one_is_refused(spark, tmp_path):
+    one, two = (Store(spark, "file://" + str(tmp_path)) for _ in range(2))
+    base = one.publish({"t": spark.range(3)})
+    two.publish({"u": spark.range(1)}, base=base)
+    with pytest.raises(Conflict):
+        one.publish({"t": spark.range(5)}, base=base)
+    # Both have seen the same last version, and only the rename tells.
+    number = two._version_path(two.manifest()["version"] + 1)
+    two.write_text(number, json.dumps({**two.manifest(), "version": 3}), overwrite=False)
+    with pytest.raises(Conflict):
+        one.write_text(number, "{}", overwrite=False)
+    assert one.manifest()["version"] == 3 and one.table("t").count() == 3 and not list(tmp_path.glob("versions/*.new"))
+
+
+def test_deltas_of_tables(spark, tmp_path):
+    store = Store(spark, "file://" + str(tmp_path))
+    rng = random.Random(1)
+    want: dict = {}
+    for step in range(2 * MOST_PARTS):
+        gone, new = [rng.randrange(40) for _ in range(rng.randrange(3))], {rng.randrange(40): step for _ in range(rng.randrange(4))}
+        want = {k: v for k, v in want.items() if k not in gone and k not in new} | new
+        store.publish(deltas={"t": Delta("k", spark.createDataFrame([(k,) for k in (*gone, *new)], "k long"), spark.createDataFrame(list(new.items()), "k long, v long"))})
+        if step % 5 == 4:
+            assert rows(store.table("t")) == sorted(want.items(), key=repr)
+    entry = store.manifest()["tables"]["t"]
+    assert len(entry["parts"]) + len(entry["gone"]) <= MOST_PARTS
+    store.compact("t", ["k"])
+    assert rows(store.table("t")) == sorted(want.items(), key=repr) and store.vacuum() > 1 and rows(store.table("t")) == sorted(want.items(), key=repr)
+
+
+def test_batches_and_repair(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    for i in range(7):
+        (src / f"f{i}.txt").write_text(f"Text number {i} tells of the old harbour and of the boats in it, at some length.")
+    (src / "bad.docx").write_bytes(b"junk")
+    index = Index(spark, "file://" + str(tmp_path / "ix"), dim=DIM)
+    assert index.update([str(src)], batch_files=3)["changed"] == 8 and index.store.manifest()["version"] >= 3
+    assert index.status()["chunks"] == 7 and index.update([str(src)], batch_files=3)["changed"] == 1
+    stored = index.store.table("postings")
+    assert rows(stored.select("term", "chunk_id", "tf")) == rows(lexical.postings(index.chunks()).select("term", "chunk_id", "tf"))
+    # A changed file among the hits, one in the rotating sample, one that isn't admitted, one that has gone.
+    (src / "f1.txt").write_text("A zeppelin passed over the harbour, which nobody had seen before that evening.")
+    (src / "f6.txt").unlink()
+    events = list(index.search_with_refresh(Request("number 1 harbour")))
+    again = [e for e in events if e.get("refreshed")]
+    assert again and again[-1]["results"][-1]["path"] and any("zeppelin" in r["snippet"] for r in again[-1]["results"])
+    assert index.files().where("path like '%f6.txt'").count() == 1, "a repair prunes nothing"
+    assert int(index.state()["refresh_cursor"]) > 0
+    assert not any(e.get("refreshed") for e in index.search_with_refresh(Request("number 1 harbour")))
+    (src / "f2.txt").write_text("Another zeppelin passed over the harbour, on the evening after that one.")
+    assert index.repair([str(src / "f2.txt")], admit=lambda p: "f2" not in p) == []
+    first = int(index.state()["refresh_cursor"])
+    assert str(src / "f2.txt") in index.repair([str(src / "f2.txt")])
+    assert int(index.state()["refresh_cursor"]) != first or index.files().count() <= 6
+    assert rows(index.store.table("postings").select("term", "chunk_id", "tf")) == rows(lexical.postings(index.chunks()).select("term", "chunk_id", "tf"))
+    # A first passage that is missing.
+    late = index.chunks().where("ordinal = 0").orderBy("chunk_id").limit(1).select("chunk_id", "file_id", F.lit(3).alias("ordinal"), "text", "embedding")
+    index.store.publish(deltas={"chunks": Delta("chunk_id", late.select("chunk_id"), late)})
+    assert index.repair_truncated() == 1 and index.repair_truncated() == 0
+    assert index.update([str(src)])["changed"] == 2
+
+
+def test_importing_a_bundle(spark, tmp_path):
+    texts = ["A lighthouse stands on the cliff above the bay, and its lamp is never lit.", "Nobody has been up there for many years.", "The bay is calm."]
+    (tmp_path / "index.json").write_text(json.dumps({"model": "m", "embedding_dim": DIM}))
+    (tmp_path / "chunks.json").write_text(json.dumps([{"file": "a.txt"}, {"file": "a.txt"}, {"file": "b.txt"}]))
+    (tmp_path / "texts.json").write_text(json.dumps(texts))
+    np.save(tmp_path / "embeddings.npy", HashEncoder(DIM).text_vecs(texts))
+    index = Index(spark, "file://" + str(tmp_path / "ix"), dim=DIM)
+    assert index.import_bundle(str(tmp_path), model="m", root="/r") == {"files": 2, "chunks": 3}
+    assert index.import_bundle(str(tmp_path), model="m", root="/r") == {"files": 0, "chunks": 0}
+    assert names(index.search(Request("lighthouse lamp"))) [0] == "a.txt" and index.chunks().count() == 3
+
+
 def test_bundle(spark, tmp_path):
     emb = HashEncoder(DIM).text_vecs(["one two", "three", "four"])
     (tmp_path / "index.json").write_text(json.dumps({"model": "m", "embedding_dim": DIM}))

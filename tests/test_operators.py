@@ -30,20 +30,20 @@ def test_bm25_with_phrases(spark):
     docs = {i: rng.choices(["red", "green", "blue", "dark", "light", "sky"], k=rng.randint(1, 30)) for i in range(60)}
     p = spark.createDataFrame([(i, " ".join(d)) for i, d in docs.items()] + [(99, None), (98, "")], "chunk_id long, text string")
     q = spark.createDataFrame([(1, "dark-blue sky"), (2, "--- red"), (3, "nothing"), (4, None), (5, "red red RED")], "qid long, text string")
-    got = {(r.qid, r.chunk_id): r.score for r in lexical.bm25(p, q).collect()}
+    got = {(r.qid, r.chunk_id): r.score for r in lexical.bm25_texts(p, q).collect()}
     docs[98] = []
     for qid, terms in ((1, [["dark", "blue"], ["sky"]]), (2, [["red"]]), (5, [["red"], ["red"]])):
         want = bm25_by_hand(docs, terms)
         assert {k[1]: pytest.approx(v, abs=1e-9) for k, v in got.items() if k[0] == qid} == want
     assert not [k for k in got if k[0] in (3, 4)]
-    strict = {(r.qid, r.chunk_id) for r in lexical.bm25(p, q, require_all=True).collect()}
+    strict = {(r.qid, r.chunk_id) for r in lexical.bm25_texts(p, q, require_all=True).collect()}
     assert not [k for k in strict if k[0] == 2], "a term without tokens can't be met"
     assert {k[1] for k in strict if k[0] == 1} == {i for i, d in docs.items() if "sky" in d and any(d[k : k + 2] == ["dark", "blue"] for k in range(len(d)))}
 
 
 def test_bm25_of_nothing(spark):
     p, q = spark.createDataFrame([], "chunk_id long, text string"), spark.createDataFrame([(1, "a")], "qid long, text string")
-    assert lexical.bm25(p, q).count() == 0
+    assert lexical.bm25_texts(p, q).count() == 0
 
 
 def test_best_of_files_ties(spark):
@@ -216,30 +216,62 @@ def test_current_takes_the_last_row(spark):
     assert rows(catalog.current(f)) == [(1, "/a", 2.0)]
 
 
-def test_cells_with_all_probes_are_exhaustive(spark):
-    rng = np.random.default_rng(6)
-    m, q = rng.normal(size=(200, 8)), rng.normal(size=(4, 8))
-    data = spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(m)], "chunk_id long, v array<double>")
-    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid long, q array<double>")
-    exact = semantic.top_passages(semantic.cosine_scan(data, queries, dim=8, keep=5), 5)
-    assert rows(semantic.cell_candidates(data, queries, dim=8, cells=10, probes=10, keep=5)) == rows(exact, "qid", "chunk_id", "score")
-    some = semantic.recall(exact, semantic.cell_candidates(data, queries, dim=8, cells=10, probes=4, keep=5)).agg(F.avg("recall")).first()[0]
-    assert 0.3 < some <= 1
-    assert semantic.cell_candidates(data.limit(0), queries, dim=8, cells=10, probes=4, keep=5).count() == 0
-
-
-def test_fitted_cells_reach_the_recall(spark):
+def test_cells_reach_the_recall(spark):
     rng = np.random.default_rng(8)
     m, q = rng.normal(size=(3000, 16)), rng.normal(size=(5, 16))
-    data = spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(m)], "chunk_id long, v array<double>")
+    data = spark.createDataFrame([(i + 1, i % 7, v.tolist()) for i, v in enumerate(m)], "chunk_id long, file_id long, v array<double>")
     queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "qid long, q array<double>")
     exact = semantic.top_passages(semantic.cosine_scan(data, queries, dim=16, keep=50), 50)
-    least = lambda found: semantic.recall(exact, found).agg(F.min("recall")).first()[0]
-    assert least(semantic.cell_candidates(data, queries, dim=16, cells=64, probes=4, keep=50)) < 0.9
-    found = semantic.cell_candidates(data, queries, dim=16, cells=64, keep=50)
-    assert least(found) >= 0.9 and rows(found) == rows(semantic.cell_candidates(data, queries, dim=16, cells=64, keep=50))
-    assert semantic.fitted_cells(data, queries, dim=16, cells=64, keep=50, recall=0.9)[1] < 64
-    assert semantic.cell_candidates(data.limit(0), queries, dim=16, cells=64, keep=5).count() == 0
+    cells = semantic.build_cells(data, dim=16, cell_rows=50)
+    assert cells.rows.count() == 3000 and cells.centres.count() == 60
+    mean = lambda found: semantic.recall(exact, found).agg(F.avg("recall")).first()[0]
+    found = semantic.cell_candidates(cells, queries, dim=16, keep=50)
+    assert mean(found) >= 0.9 and rows(found) == rows(semantic.cell_candidates(semantic.build_cells(data.orderBy(F.desc("chunk_id")), dim=16, cell_rows=50), queries, dim=16, keep=50))
+    assert rows(semantic.cell_candidates(cells, queries, dim=16, keep=50, recall=1.0)) == rows(exact, "qid", "chunk_id", "score")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    centroids = np.array([r.centre for r in cells.centres.orderBy("cell").collect()])
+    few, many = (semantic.probes_for(u[:5], centroids, u, 3000, keep=10, recall=r) for r in (0.3, 0.9))
+    assert (few <= many).all() and many.max() < 60
+    one = spark.createDataFrame([(3,)], "file_id long")
+    assert rows(semantic.cell_candidates(cells, queries, dim=16, keep=3000, recall=1.0, allowed=one).select("chunk_id").distinct()) == sorted(((i + 1,) for i in range(3000) if i % 7 == 3), key=repr)
+    nothing = semantic.build_cells(data.limit(0), dim=16)
+    assert semantic.cell_candidates(nothing, queries, dim=16, keep=5).count() == 0 and semantic.cell_candidates(cells, queries.limit(0), dim=16, keep=5).count() == 0
+    # The same visits in SQL.
+    semantic.register_cells(spark, "nearest_cells", centroids)
+    cells.rows.createOrReplaceTempView("cell_rows")
+    queries.createOrReplaceTempView("cell_queries")
+    met = spark.sql("select qid, chunk_id from cell_queries, lateral nearest_cells(q, 60) n join cell_rows using (cell)")
+    assert met.count() == 5 * 3000
+    near = rows(spark.sql("select qid, n.cell from cell_queries, lateral nearest_cells(q, 2) n"))
+    assert near == sorted(((i, int(c)) for i in range(5) for c in np.argsort(-np.round(centroids @ (q[i] / np.linalg.norm(q[i])), 6), kind="stable")[:2]), key=repr)
+
+
+def test_half_precision_and_bytes(spark):
+    from tessera.functions import vectors
+
+    df = spark.createDataFrame([(1, [3.0, 4.0], "x"), (2, [0.0, -1.0], None)], "chunk_id long, v array<double>, note string")
+    back = {r.chunk_id: r.v for r in semantic.dequantized(semantic.quantized(df, None, "fp16"), None, "fp16").collect()}
+    assert back[1] == pytest.approx([0.6, 0.8], abs=1e-3) and back[2] == [0.0, -1.0]
+    data = spark.createDataFrame([(1, [1.5, -2.0]), (2, None), (3, [])], "k long, v array<float>")
+    packed = vectors.packed(data, "v", "blob")
+    assert {r.k: r.blob and bytes(r.blob) for r in packed.collect()} == {1: np.array([1.5, -2.0], "<f4").tobytes(), 2: None, 3: b""}
+    assert {r.k: r.v for r in vectors.unpacked(packed, "blob", "v").collect()} == {1: [1.5, -2.0], 2: None, 3: []}
+    odd = spark.createDataFrame([(1, b"abc")], "k long, blob binary")
+    assert vectors.unpacked(odd, "blob", "v").first().v is None
+
+
+def test_many_queries_of_names_come_in_blocks(spark):
+    files = spark.createDataFrame([(f"/a/file{i}.txt", "text", 1.0, "m") for i in range(50)], "path string, kind string, mtime double, mime string")
+    queries = spark.createDataFrame([(i, f"file{i % 50}.txt") for i in range(4500)], "qid long, text string")
+    found = catalog.filename_hits(files, queries, limit=5)
+    assert found.count() == 4500 and found.where("path <> concat('/a/file', qid % 50, '.txt')").count() == 0
+    assert catalog.filename_hits(files, queries.limit(0), limit=5).count() == 0
+
+
+def test_relevance_figures(spark):
+    ranks = spark.createDataFrame([(1, 1), (2, 3), (3, 4), (4, None), (5, 2)], "case_id long, place int")
+    r = metrics.relevance(ranks).first()
+    assert (r.cases, r.top1, r.top3) == (5, 1, 3) and r.mrr3 == pytest.approx((1 + 1 / 3 + 1 / 2) / 5)
 
 
 def test_images_have_their_own_list(spark):
