@@ -5,7 +5,7 @@ import pytest
 from tessera import cli
 
 
-def test_search_and_status(spark, tmp_path, capsys):
+def test_search_and_status(spark, tmp_path, capsys, monkeypatch):
     src = tmp_path / "src"
     src.mkdir()
     (src / "a.txt").write_text("A lamp stands near the window of the old harbour house, all night.")
@@ -17,19 +17,18 @@ def test_search_and_status(spark, tmp_path, capsys):
     assert say("status")[0]["files"] == 1
     assert say("matrix")[0]["rows"] == 1 and say("verify")[0]["passed"]
     assert say("candidates-build")[0] == {"rows": 1, "cells": 1}
-    models = ["--encoder", "tessera.engine:HashEncoder", "--scorer", "test_cli:by_length"]
+    (tmp_path / "my_scorer.py").write_text("def by_length(pairs):\n    return [float(len(t)) for _, t in pairs]\n")
+    spark.sparkContext.addPyFile(str(tmp_path / "my_scorer.py"))
+    monkeypatch.syspath_prepend(str(tmp_path))
+    models = ["--encoder", "tessera.engine:HashEncoder", "--scorer", "my_scorer:by_length"]
     base += models
     assert [e["stage"] for e in say("stream", "lamp", "--early", "--rerank", "--rerank-limit", "5", "--rerank-mix", "0.5")] == ["keyword", "encoding", "candidates", "reranked_early", "semantic", "refined", "reranked", "done"]
     (src / "b.docx").write_bytes(b"junk")
-    assert say("update", str(src), "--batch-files", "1")[0]["changed"] == 1 and say("errors")[0]["category"] == "not_a_zip_file" or say("errors")
+    assert say("update", str(src), "--batch-files", "1")[0]["changed"] == 1 and say("errors")[0]["phase"] == "extract"
     assert say("metrics") == [] and say("stats")[0]["passages"] == 1 and say("repair-truncated") == [{"repaired": 0}] and say("metadata-upgrade")
     assert say("search", "lamp", "--refresh")[0]["path"].endswith("a.txt")
 
 
-def by_length(pairs):
-    return [float(len(t)) for _, t in pairs]
-
-
 def test_start_does_not_wait(spark, tmp_path, capsys, monkeypatch):
     started = []
     monkeypatch.setattr(cli.subprocess, "Popen", lambda command, **options: started.append((command, options)))
