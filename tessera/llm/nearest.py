@@ -5,8 +5,8 @@ that is nearest to it; leaves that turn out too large, by exact counts over all
 fits among their own rows, so that the number of leaves grows with the rows and the size of a leaf doesn't.
 A search walks the tree best bin first: a priority queue holds nodes and leaves by their cosine to the query,
 each level with a calibrated lift, and only the children of nodes that come out are looked at.  The search ends
-when what comes out is more than a margin below the best leaf.  Margin and lifts are widened until the wanted
-recall is reached on exact neighbours: of sampled rows in the sample, or, where only neighbours above a
+when what comes out is more than a margin below the best leaf, or when it has visited a number of leaves.  These are
+widened until the wanted recall is reached, at the least number of visits, on exact neighbours: of sampled rows in the sample, or, where only neighbours above a
 bound count, of sampled rows among all rows.  Queries then travel to the leaves they visit; no query meets
 the whole collection.
 """
@@ -28,23 +28,26 @@ from ..runtime import only, stage
 from .hashing import U64, mix64
 
 #: A leaf with more rows than SPLIT_LEAVES times the wanted number is split.
-SPLIT_LEAVES = 4
+SPLIT_LEAVES = 2
 #: Children of a node that is split, at most, and sampled rows that each child is fitted on.
 FANOUT, FIT_ROWS = 256, 32
 #: Leaves of a tree, at most: 34 MB of centroids of 64 dimensions on every executor.
 MOST_LEAVES = 131_072
 #: Rows of one block of a leaf; a larger leaf, which only a tree of MOST_LEAVES or of very many equal rows can have, is cut into several blocks.
 BLOCK_ROWS = 4096
+#: Visits that are tried as a bound of a search.
+MOST_VISITS = 64
 #: Rows whose neighbours above a bound are sought among all rows for the calibration.
 CALIBRATION_ROWS = 10_000
 
 
 @dataclass
 class Search:
-    """How far a search goes: the margin below the best leaf, and the lift of the nodes of each inner level."""
+    """How far a search goes: the margin below the best leaf, the lift of the nodes of each inner level, and how many leaves it visits at most."""
 
     margin: float
     lifts: list[float]
+    most: int
 
 
 @dataclass
@@ -98,7 +101,7 @@ class Tree:
         The queue begins with the top nodes.  A node that comes out puts its
         children into the queue, a leaf that comes out is visited; the search
         ends when the best of what is left is more than the margin below the
-        best leaf seen.  Nodes count with their level's lift.
+        best leaf seen, or after ``most`` leaves.  Nodes count with their level's lift.
         """
         rows: list[int] = []
         leaves: list[int] = []
@@ -109,16 +112,17 @@ class Tree:
             tops = queries[a : a + 1000] @ levels[0].T + lifts[0]
             for q, keys in enumerate(tops):
                 v = queries[a + q]
-                best = float(keys.max()) if not last else -2.0
+                best, left = float(keys.max()) if not last else -2.0, search.most
                 queue = [(-k, 0, i) for i, k in enumerate(keys.tolist())]
                 heapq.heapify(queue)
-                while queue:
+                while queue and left:
                     key, level, node = pop(queue)
                     if -key < best - margin:
                         break
                     if level == last:
                         rows.append(a + q)
                         leaves.append(node)
+                        left -= 1
                         continue
                     lo, hi = bounds[level][node], bounds[level][node + 1]
                     level += 1
@@ -130,9 +134,9 @@ class Tree:
                         push(queue, (-float(near[i]), level, lo + i))
         return np.array(rows, np.int64), np.array(leaves, np.int64)
 
-    def gaps(self, queries: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Per level and query, by how much the wanted leaf (or its ancestor) is farther than the query's best leaf."""
-        out = np.empty((len(self.levels), len(queries)))
+    def gaps(self, queries: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per level and query, by how much the wanted leaf (or its ancestor) is farther than the query's best leaf, and how many leaves are nearer."""
+        out, nearer = np.empty((len(self.levels), len(queries))), np.empty(len(queries), np.int64)
         node = wanted
         at = []
         for level in range(len(self.levels) - 1, -1, -1):
@@ -140,10 +144,12 @@ class Tree:
             node = self.parents(level - 1)[node] if level else node
         for a in range(0, len(queries), 1000):
             v = queries[a : a + 1000]
-            best = (v @ self.leaves.T).max(axis=1)
+            near = v @ self.leaves.T
+            best = near.max(axis=1)
+            nearer[a : a + 1000] = (near > near[np.arange(len(v)), wanted[a : a + 1000]][:, None]).sum(axis=1)
             for level, nodes in zip(range(len(self.levels)), reversed(at), strict=True):
                 out[level, a : a + 1000] = best - (v * self.levels[level][nodes[a : a + 1000]]).sum(axis=1)
-        return out
+        return out, nearer
 
 
 def fit(sample: np.ndarray, leaves: int, seed: int = 42) -> Tree:
@@ -241,16 +247,28 @@ def calibrate(tree: Tree, sample: np.ndarray, k: int, least: float, recall: floa
     asking, wanted = pairs or sample_pairs(sample, k, least)
     inner = len(tree.levels) - 1
     if not len(asking):
-        return Search(0.0, [0.0] * inner), 1.0
+        return Search(0.0, [0.0] * inner, 1), 1.0
     gap = tree.gaps(asking, tree.home(wanted))
     back = tree.gaps(wanted, tree.home(asking)) if both_ways else gap
-    easier = np.where(gap[-1] <= back[-1], gap, back)
+    easier = np.where(gap[0][-1] <= back[0][-1], gap[0], back[0])
     # The inner levels together may lose half of what may be lost.
     opened = [float(np.quantile(g, 1 - (1 - recall) / 2 / inner, method="higher")) + 1e-6 for g in easier[:-1]]
-    reached = [np.where((g[:-1] <= np.array(opened)[:, None]).all(axis=0), g[-1], np.inf) for g in (gap, back)]
-    one = np.minimum(*reached)
-    margin = float(np.quantile(one, recall, method="higher")) + 1e-6
-    return Search(margin, [o - margin for o in opened]), float((one <= margin).mean())
+    reached = [(np.where((g[:-1] <= np.array(opened)[:, None]).all(axis=0), g[-1], np.inf), nearer) for g, nearer in (gap, back)]
+    some = asking[:: max(1, len(asking) // 1000)]
+    near = -np.sort(-(some @ tree.leaves.T), axis=1)[:, :MOST_VISITS]
+    best: tuple[float, Search, float] | None = None
+    for most in range(1, near.shape[1] + 1):
+        one = np.minimum(*(np.where(nearer < most, g, np.inf) for g, nearer in reached))
+        margin = float(np.quantile(one, recall, method="higher")) + 1e-6
+        if not math.isfinite(margin) and most < near.shape[1]:
+            continue
+        if not math.isfinite(margin):  # not by so few leaves: then by the margin alone
+            most, one = len(tree.leaves), np.minimum(reached[0][0], reached[1][0])
+            margin = float(np.quantile(one, recall, method="higher")) + 1e-6
+        visits = float((near[:, :1] - near[:, :most] <= margin).sum(axis=1).mean())
+        if best is None or visits < best[0]:
+            best = visits, Search(margin, [o - margin for o in opened], most), float((one <= margin).mean())
+    return best[1:]
 
 
 def sample_pairs(sample: np.ndarray, k: int, least: float = -1.0, queries: int = 500) -> Pairs:
@@ -357,7 +375,7 @@ def _search(members: pa.Table, queries: pa.Table, dim: int, k: int, least: float
     return pa.table({"id": pa.array(parts[0], pa.int64()), "near": pa.array(parts[1], pa.int64()), "cosine": pa.array(parts[2], pa.float64())})
 
 
-def nearest(df: DataFrame, id_col: str, vector_col: str, *, dim: int = 64, k: int = 5, least: float = -1.0, recall: float = 0.97, every: int = 1, leaf_rows: int = 400, sample_rows: int = 20_000) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vector_col: str, *, dim: int = 64, k: int = 5, least: float = -1.0, recall: float = 0.97, every: int = 1, leaf_rows: int = 1600, sample_rows: int = 20_000) -> DataFrame:
     """``id, near, cosine, place``: the k most similar other vectors of every vector (or of every id divisible by ``every``).
 
     Cosines are taken in double precision and rounded to 6 decimals; of equal

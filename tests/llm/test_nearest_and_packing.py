@@ -106,12 +106,14 @@ def test_visits_are_best_bin_first():
     tree = fit(x, 60)
     cosines = x[:50] @ tree.leaves.T
     for margin in (0.0, 0.1, 0.3):
-        rows_, leaves = tree.visits(x[:50], Search(margin, [10.0]))
+        rows_, leaves = tree.visits(x[:50], Search(margin, [10.0], 99))
         want = set(zip(*(v.tolist() for v in np.nonzero(cosines >= cosines.max(axis=1, keepdims=True) - margin - 1e-7)), strict=True))
         assert set(zip(rows_.tolist(), leaves.tolist(), strict=True)) ^ want == set()
         assert all((np.diff(cosines[q][leaves[rows_ == q]]) <= 1e-6).all() for q in range(50))
-    opened = tree.visits(x[:50], Search(0.1, [0.0]))
-    assert len(opened[0]) <= len(tree.visits(x[:50], Search(0.1, [10.0]))[0])
+    opened = tree.visits(x[:50], Search(0.1, [0.0], 99))
+    few = tree.visits(x[:50], Search(0.3, [10.0], 3))
+    assert np.bincount(few[0]).max() == 3 and all((cosines[q] > cosines[q][few[1][few[0] == q]].min() + 1e-6).sum() < 3 for q in range(50))
+    assert len(opened[0]) <= len(tree.visits(x[:50], Search(0.1, [10.0], 99))[0])
 
 
 def test_more_members_than_sixteen_bits_can_number():
