@@ -37,17 +37,20 @@ MOST_LEAVES = 131_072
 BLOCK_ROWS = 4096
 #: Visits that are tried as a bound of a search.
 MOST_VISITS = 64
+#: Bytes of vectors that one task compares, about.
+TASK_BYTES = 8 << 20
 #: Rows whose neighbours above a bound are sought among all rows for the calibration.
 CALIBRATION_ROWS = 10_000
 
 
 @dataclass
 class Search:
-    """How far a search goes: the margin below the best leaf, the lift of the nodes of each inner level, and how many leaves it visits at most."""
+    """How far a search goes: the margin below the best leaf, the lift of the nodes of each inner level, and how many leaves it visits at most and about on average."""
 
     margin: float
     lifts: list[float]
     most: int
+    visits: float = 1.0
 
 
 @dataclass
@@ -267,7 +270,7 @@ def calibrate(tree: Tree, sample: np.ndarray, k: int, least: float, recall: floa
             margin = float(np.quantile(one, recall, method="higher")) + 1e-6
         visits = float((near[:, :1] - near[:, :most] <= margin).sum(axis=1).mean())
         if best is None or visits < best[0]:
-            best = visits, Search(margin, [o - margin for o in opened], most), float((one <= margin).mean())
+            best = visits, Search(margin, [o - margin for o in opened], most, visits), float((one <= margin).mean())
     return best[1:]
 
 
@@ -443,6 +446,10 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, *, dim: int = 64, k: in
 
     members, queries = blocked(homed, "mb", "qb"), blocked(routed, "qb", "mb")
     keys = ["leaf", "mb", "qb"]
+    # As many tasks as the vectors ask for, whatever the session's number of partitions is.
+    sent = (rows + rows / every * search.visits) * (4 * dim + 40) * max(1.0, float((counts * blocks).sum()) / rows)
+    tasks = max(2, math.ceil(sent / TASK_BYTES))
+    members, queries = members.repartition(tasks, *keys), queries.repartition(tasks, *keys)
     found = members.groupBy(keys).cogroup(queries.groupBy(keys)).applyInArrow(lambda m, q: _search(m, q, dim, k, least, every == 1), "id long, near long, cosine double")
     if every == 1:
         found = found.distinct()
