@@ -11,7 +11,9 @@ fewer pools, so that what is lost at the ends of the pools is small.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -28,36 +30,68 @@ DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _encodings: dict = {}
 
 
-def encoding(path: str):
-    """The byte-level BPE of a rank file, read once per process."""
+#: What bears no loss: mark-up tags.
+UNTAUGHT = re.compile(rb"</?[a-zA-Z][^<>]*>")
+
+
+def encoding(path: str, content: bytes | None = None):
+    """The byte-level BPE of a rank file, made once per process, of its content if that is given."""
     if path not in _encodings:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        content = Path(path).read_bytes() if content is None else content
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
         _encodings[path] = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encodings[path]
 
 
+def token_bytes(enc) -> np.ndarray:
+    """The number of bytes of every token."""
+    out = np.zeros(enc.n_vocab, np.int64)
+    for token in enc.token_byte_values():
+        out[enc.encode_single_token(token)] = len(token)
+    return out
+
+
+def taught(text: str, lengths: np.ndarray) -> np.ndarray:
+    """Of the tokens of a text, which have these numbers of bytes, those that begin outside of mark-up tags."""
+    data = text.encode()
+    spans = np.array([m.span() for m in UNTAUGHT.finditer(data)], np.int64).reshape(-1, 2)
+    starts = np.cumsum(lengths) - lengths
+    at = np.searchsorted(spans[:, 0], starts, "right") - 1
+    return (at < 0) | (starts >= np.where(at < 0, 0, spans[np.maximum(at, 0), 1] if len(spans) else 0))
+
+
 def token_pieces(df: DataFrame, id_col: str, text_col: str, *, capacity: int, tokenizer: str) -> DataFrame:
-    """``id, piece, first_token, tokens``: every text as one item, or as pieces of ``capacity`` tokens if it is longer.
+    """``id, piece, first_token, tokens, loss_tokens``: every text as one item, or as pieces of ``capacity`` tokens if it is longer.
 
+    The first token of a piece has nothing before it in its segment, so it
+    bears no loss, nor do the tokens of mark-up tags; all others do.  The
+    tokenizer's file is read here and sent to the executors, about a megabyte.
     Null ids and null texts and texts without any token give nothing; repeated
     rows of an id count once.
     """
     src = only(df, id=F.col(f"`{id_col}`").cast("long"), text=text_col).where("id is not null and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(tokenizer)
+        enc = encoding(tokenizer, shared.value)
+        lengths = token_bytes(enc)
         for batch in batches:
-            n = np.fromiter((len(enc.encode_ordinary(t)) for t in batch.column(1).to_pylist()), np.int64, batch.num_rows)
+            n, loss = np.zeros(batch.num_rows, np.int64), []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                tokens = np.array(enc.encode_ordinary(t), np.int64)
+                n[i] = len(tokens)
+                good = taught(t, lengths[tokens])
+                good[::capacity] = False
+                loss.append(np.add.reduceat(good.astype(np.int64), np.arange(0, len(good), capacity)) if len(good) else np.empty(0, np.int64))
             parts = -(-n // capacity)
             at = np.repeat(np.arange(len(n)), parts)
             piece = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
             tokens = np.minimum(capacity, n[at] - piece * capacity)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(piece), pa.array(piece * capacity), pa.array(tokens)], names=["id", "piece", "first_token", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(piece), pa.array(piece * capacity), pa.array(tokens), pa.array(np.concatenate([*loss, np.empty(0, np.int64)]))], names=["id", "piece", "first_token", "tokens", "loss_tokens"])
 
-    return src.mapInArrow(run, "id long, piece long, first_token long, tokens long").dropDuplicates(["id", "piece"])
+    shared = df.sparkSession.sparkContext.broadcast(Path(tokenizer).read_bytes())
+    return src.mapInArrow(run, "id long, piece long, first_token long, tokens long, loss_tokens long").dropDuplicates(["id", "piece"])
 
 
 def pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -130,14 +164,15 @@ def windows(items: DataFrame, limits: dict[str, int], *, pool_items: int = 20_00
 def training_windows(df: DataFrame, id_col: str, text_col: str, *, capacity: int = 2048, segments: int = 64, loss_tokens: int | None = None, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """``id, piece, first_token, tokens, loss_tokens, window`` of every text, or of every piece of a text longer than a window.
 
-    The first token of a piece has nothing before it in its segment, so it
-    bears no loss; all others do.  A window holds at most ``capacity`` tokens,
-    ``segments`` pieces and ``loss_tokens`` loss-bearing tokens (``capacity``
-    by default).  Null and empty texts have no window, repeated rows of an id
+    A window holds at most ``capacity`` tokens, ``segments`` pieces and
+    ``loss_tokens`` loss-bearing tokens (``capacity`` by default), unless one
+    piece alone bears more than that: it has a window of its own then.  Null and empty texts have no window, repeated rows of an id
     count once, an empty table gives no rows.
     """
     items = stage(token_pieces(df, id_col, text_col, capacity=capacity, tokenizer=tokenizer), "items")
-    items = items.withColumn("loss_tokens", F.col("tokens") - 1).withColumn("segments", F.lit(1).cast("long"))
-    placed = windows(items, {"tokens": capacity, "loss_tokens": loss_tokens or capacity, "segments": segments})
-    first = (F.col("piece") * capacity).alias("first_token")
-    return placed.select("id", "piece", first, "tokens", "loss_tokens", "window")
+    most = loss_tokens or capacity
+    # A piece that bears more loss than a window may counts as one that bears just so much, and fills all of its tokens.
+    over = F.col("loss_tokens") > most
+    sized = items.select("id", "piece", F.when(over, capacity).otherwise(F.col("tokens")).cast("long").alias("room"), F.least("loss_tokens", F.lit(most)).cast("long").alias("loss"), F.lit(1).cast("long").alias("segments"))
+    placed = windows(sized, {"room": capacity, "loss": most, "segments": segments}).select("id", "piece", "window")
+    return items.join(placed, ["id", "piece"]).select("id", "piece", "first_token", "tokens", "loss_tokens", "window")

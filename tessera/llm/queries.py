@@ -70,8 +70,8 @@ def p5_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_windows(spark: SparkSession, d: str) -> DataFrame:
-    """The training window of 2,048 tokens of every text or piece."""
-    return training_windows(read(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+    """The training window of 2,048 tokens, of which 2,016 may bear loss, of every text or piece."""
+    return training_windows(read(spark, d, "documents"), "doc_id", "text", loss_tokens=2016).withColumnRenamed("id", "doc_id")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -7,7 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tessera.llm.nearest import BLOCK_ROWS, MOST_LEAVES, Search, _search, blocks_of, bounded_pairs, calibrate, children_wanted, counted, fit, grown, nearest
-from tessera.llm.packing import DEFAULT_TOKENIZER, encoding, pack, training_windows, windows
+from tessera.llm.packing import DEFAULT_TOKENIZER, encoding, pack, taught, token_bytes, training_windows, windows
 
 SCHEMA = "k long, v array<float>"
 
@@ -210,3 +211,29 @@ def test_pools_and_the_second_pass(spark):
     assert used.agg(F.max("t")).first()[0] <= 100
     total = items.agg(F.sum("tokens")).first()[0]
     assert total / 100 / used.count() > 0.97
+
+
+def test_markup_bears_no_loss():
+    enc = encoding(DEFAULT_TOKENIZER)
+    lengths = token_bytes(enc)
+    for text in ("<p>Übung macht den Meister.</p><br/> 3 < 4 and 5 > 2", "plain words only", "", "<b>", "é<i>é</i>é" * 50):
+        tokens = enc.encode_ordinary(text)
+        data, at, want = text.encode(), 0, []
+        for t in tokens:
+            want.append(not any(m.start() <= at < m.end() for m in re.finditer(rb"</?[a-zA-Z][^<>]*>", data)))
+            at += len(enc.decode_single_token_bytes(t))
+        assert taught(text, lengths[np.array(tokens, np.int64)]).tolist() == want
+
+
+def test_windows_keep_the_limit_of_loss(spark):
+    texts = {i: ("<td>x</td>" * (i % 20) if i % 2 else "") + "some plain words here " * (i % 15 + 1) for i in range(400)} | {1000: "plain words " * 60}
+    df = spark.createDataFrame(list(texts.items()), "k long, t string")
+    got = training_windows(df, "k", "t", capacity=128, segments=8, loss_tokens=100).collect()
+    by: dict = {}
+    for r in got:
+        w = by.setdefault(r.window, [0, 0, 0])
+        for j, v in enumerate((r.tokens, r.loss_tokens, 1)):
+            w[j] += v
+    assert all(t <= 128 and n <= 8 and (lo <= 100 or n == 1) for t, lo, n in by.values()) and any(97 <= lo <= 100 for _, lo, _ in by.values())
+    assert all(0 <= r.loss_tokens < r.tokens for r in got) and {r.id for r in got} == set(texts)
+    assert sum(r.tokens for r in got if r.id == 3) == len(encoding(DEFAULT_TOKENIZER).encode_ordinary(texts[3]))
