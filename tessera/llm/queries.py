@@ -113,6 +113,13 @@ _CHUNK_UNITS = """select id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as unit
     (select distinct chunk_id as id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 0) as w from chunks where chunk_id is not null and text is not null))"""
 _FILE_UNITS = "select id, substr(p, i, 4) as unit from (select id, p, unnest(range(1, length(p) - 2)) as i from (select distinct file_id as id, lower(path) as p from files where file_id is not null and path is not null))"
 
+#: All pairs, exactly; the operator may miss a few where it has more than one leaf.
+_NEAR = """with u as (select chunk_id as id, any_value(cast(embedding as double[])) as v from chunks where chunk_id is not null and len(embedding) = 64
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by chunk_id),
+    n as (select id, list_transform(v, lambda x: x / l) as v from (select id, v, sqrt(list_inner_product(v, v)) as l from u)),
+    c as (select a.id as a, b.id as b, round(list_inner_product(a.v, b.v), 6) as cosine from n a join n b on a.id <> b.id),
+    r as (select a, b, cosine, row_number() over (partition by a order by cosine desc, b) as place from c)"""
+
 SQL = {
     "p8_statistics": STATISTICS + " select * from st",
     "p8_found": STATISTICS + " select doc_id from st where not is_prose",
@@ -135,12 +142,8 @@ SQL = {
             union all select case_id, n, e, case when e = 0 then j else 0 end, 1, hash(list_concat(list_slice(g, 1, j - 1), list_slice(g, j + 1, n))) from (select *, unnest(range(1, n + 1)) as j from cw), (values (0), (-1)) v(e)),
         dk as (select doc_id, n, e, 0 as j, hash(g) as k from dw where e <= 0 union all select doc_id, n, e, case when e = 0 then j else 0 end, hash(list_concat(list_slice(g, 1, j - 1), list_slice(g, j + 1, n + e))) from less where e >= 0)
         select doc_id, case_id, min(edits) as edits from dk join ck using (n, e, j, k) group by doc_id, case_id""",
-    "p5_found": """with u as (select chunk_id as id, any_value(cast(embedding as double[])) as v from chunks where chunk_id is not null and len(embedding) = 64
-            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by chunk_id),
-        n as (select id, list_transform(v, lambda x: x / l) as v from (select id, v, sqrt(list_inner_product(v, v)) as l from u)),
-        c as (select a.id as a, b.id as b, round(list_inner_product(a.v, b.v), 6) as cosine from n a join n b on a.id <> b.id),
-        r as (select a, b, cosine, row_number() over (partition by a order by cosine desc, b) as place from c)
-        select distinct least(a, b) as chunk_id_a, greatest(a, b) as chunk_id_b from r where place <= 5 and cosine >= 0.9""",
+    "p5_found": _NEAR + " select distinct least(a, b) as chunk_id_a, greatest(a, b) as chunk_id_b from r where place <= 5 and cosine >= 0.9",
+    "p5_nearest": _NEAR + " select a as chunk_id, place, b as near_chunk_id, cosine from r where place <= 5 and a % 50 = 0",
     "p3_found": r"""
         with recursive long_ones as (select distinct chunk_id, text, length(text) as n from chunks where length(text) > 1200 and chunk_id is not null),
         step(chunk_id, text, n, piece, start_char, end_char) as (
