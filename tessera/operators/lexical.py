@@ -6,6 +6,8 @@ row groups of its terms and no text; what is tokenised is what is new.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,28 +57,34 @@ def phrases(queries: DataFrame) -> DataFrame:
     any token is left out here, and counted in ``wanted`` for queries that
     require all terms.
     """
-    terms = queries.where("text is not null").select("qid", F.explode(query_terms(F.col("text"))).alias("term"))
+    terms = queries.where("text is not null and qid is not null").select("qid", F.explode(query_terms(F.col("text"))).alias("term"))
     parts = terms.withColumn("parts", tokens(F.col("term"))).withColumn("size", F.size("parts"))
     return parts.select("qid", "term", "size", F.posexplode_outer("parts").alias("k", "token"))
 
 
-def term_frequencies(index: DataFrame, phrase_tokens: DataFrame) -> DataFrame:
+def _listed(phrase_tokens: DataFrame) -> list | None:
+    """The tokens of a stated set of queries on the driver; None if there are more than MOST_TOKENS."""
+    rows = phrase_tokens.limit(MOST_TOKENS + 1).collect()
+    return rows if len(rows) <= MOST_TOKENS else None
+
+
+def term_frequencies(index: DataFrame, phrase_tokens: DataFrame, listed: list | None = None) -> DataFrame:
     """``term, chunk_id, dl, tf``: occurrences of every term as a phrase, from the postings of its tokens.
 
     The postings of a single token tell it at once.  Of a longer phrase, the
     token at position p that is the k-th of it votes for a start at p - k; a
-    start with as many votes as the phrase has tokens is an occurrence.
+    start with as many votes as the phrase has tokens is an occurrence.  Where
+    the tokens are ``listed``, only their postings are read.
     """
-    spark = index.sparkSession
-    wanted = phrase_tokens.where("token is not null").select("term", "k", "token", "size").distinct()
-    some = wanted.limit(MOST_TOKENS + 1).collect()
-    few = len(some) <= MOST_TOKENS
-    if few:
-        wanted = F.broadcast(spark.createDataFrame(some, wanted.schema))
-        index = index.where(F.col("term").isin(sorted({r.token for r in some})))
+    if listed is None:
+        wanted = phrase_tokens.where("token is not null").select("term", "k", "token", "size").distinct()
+    else:
+        some = sorted({(r.term, r.k, r.token, r["size"]) for r in listed if r.token is not None})
+        wanted = F.broadcast(index.sparkSession.createDataFrame(some, "term string, k int, token string, size int"))
+        index = index.where(F.col("term").isin(sorted({token for _, _, token, _ in some})))
     met = index.withColumnRenamed("term", "token").join(wanted, "token")
     out = met.where("size = 1").select("term", "chunk_id", "dl", F.col("tf").cast("long").alias("tf"))
-    if few and all(r.size == 1 for r in some):
+    if listed is not None and all(size == 1 for *_, size in some):
         return out
     at = met.where("size > 1").select("term", "size", "chunk_id", "dl", "k", F.explode("positions").alias("pos"))
     votes = at.groupBy("term", "size", "chunk_id", "dl", (F.col("pos") - F.col("k")).alias("start")).agg(F.count("*").alias("votes"))
@@ -93,16 +101,26 @@ def bm25(index: DataFrame, stats, queries: DataFrame, *, require_all: bool = Fal
     result if all terms are required.
     """
     wanted = phrases(queries)
-    tf = term_frequencies(index, wanted)
+    listed = _listed(wanted)
+    tf = term_frequencies(index, wanted, listed)
     n, avgdl = F.lit(stats.n), F.lit(stats.avgdl or 1.0)
     idf = F.greatest(F.log((n - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))), F.lit(IDF_FLOOR))
     frequency = tf.groupBy("term").agg(F.count("*").alias("df")).select("term", idf.alias("idf"))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (F.lit(1 - B) + B * F.col("dl") / avgdl))
-    asked = wanted.groupBy("qid", "term").agg(F.max("size").alias("size"))
-    scored = asked.where("size > 0").join(frequency, "term").join(tf, "term")
-    scored = scored.groupBy("qid", "chunk_id").agg(F.round(F.sum(F.col("idf") * weight), digits).alias("score"), F.count("*").alias("matched"))
+    if listed is None:
+        asked = wanted.groupBy("qid", "term").agg(F.max("size").alias("size"))
+        terms = asked.groupBy("qid").agg(F.count("*").alias("terms"))
+        met = asked.where("size > 0").join(frequency, "term").join(tf, "term")
+    else:
+        pairs = sorted({(r.qid, r.term, r["size"]) for r in listed})
+        terms = F.broadcast(index.sparkSession.createDataFrame(sorted(Counter(q for q, _, _ in pairs).items()), "qid long, terms long"))
+        asked = index.sparkSession.createDataFrame([(q, t) for q, t, size in pairs if size > 0], "qid long, term string")
+        # No more rows than the listed tokens, with the idf of their terms.
+        known = index.sparkSession.createDataFrame(frequency.collect(), frequency.schema)
+        met = tf.join(F.broadcast(asked.join(F.broadcast(known), "term")), "term")
+    scored = met.groupBy("qid", "chunk_id").agg(F.round(F.sum(F.col("idf") * weight), digits).alias("score"), F.count("*").alias("matched"))
     if require_all:
-        scored = scored.join(asked.groupBy("qid").agg(F.count("*").alias("terms")), "qid").where("matched = terms")
+        scored = scored.join(terms, "qid").where("matched = terms")
     return scored.select("qid", "chunk_id", "score")
 
 

@@ -257,8 +257,14 @@ def relevance_metrics(spark: SparkSession, d: str) -> DataFrame:
 # Fusion
 
 
-def fused_lists(spark: SparkSession, d: str) -> DataFrame:
+def _staged_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Both lists for plans that need them twice."""
     words, near = _lists(spark, d)
+    return stage(words, "words"), stage(near, "near")
+
+
+def fused_lists(spark: SparkSession, d: str, lists: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    words, near = lists or _lists(spark, d)
     number = lambda df, n, s: df.withColumn("list_no", F.lit(n)).withColumn("source", F.lit(s))
     return fusion.fuse(number(words, 0, "keyword").unionByName(number(near, 1, "semantic")))
 
@@ -301,14 +307,14 @@ def canonical_copy(spark: SparkSession, d: str) -> DataFrame:
     return fusion.canonical(_copies(spark, d)).select("result_id", "path", "mtime", "priority", "copies")
 
 
-def stand_in_scores(spark: SparkSession, d: str, base: DataFrame) -> DataFrame:
+def stand_in_scores(spark: SparkSession, d: str, base: DataFrame, lists: tuple[DataFrame, DataFrame]) -> DataFrame:
     """A deterministic scorer in place of a model: the share of the query's terms that a passage holds.
 
     At most the four passages of lowest id that the lists brought are scored per file.
     """
     from pyspark.sql import Window
 
-    words, near = _lists(spark, d)
+    words, near = lists
     brought = words.select("qid", "path", "chunk_id").unionByName(near.select("qid", "path", "chunk_id")).distinct().join(base.select("qid", "path"), ["qid", "path"], "left_semi")
     nth = F.row_number().over(Window.partitionBy("qid", "path").orderBy("chunk_id"))
     few = brought.withColumn("nth", nth).where("nth <= 4").drop("nth")
@@ -319,8 +325,9 @@ def stand_in_scores(spark: SparkSession, d: str, base: DataFrame) -> DataFrame:
 
 
 def rerank_blend(spark: SparkSession, d: str) -> DataFrame:
-    base = fusion.dedup(fused_lists(spark, d), current_files(spark, d), 36)
-    return fusion.rerank_blend(base, stand_in_scores(spark, d, base), 0.5, TOP_K)
+    lists = _staged_lists(spark, d)
+    base = stage(fusion.dedup(fused_lists(spark, d, lists), current_files(spark, d), 36), "base")
+    return fusion.rerank_blend(base, stand_in_scores(spark, d, base, lists), 0.5, TOP_K)
 
 
 FIELDS = ["path", "chunk_id", "score"]
@@ -329,11 +336,12 @@ FIELDS = ["path", "chunk_id", "score"]
 def _snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The keyword snapshot and the fused one after it, keyed by query and result."""
     files = current_files(spark, d)
-    words, _ = _lists(spark, d)
+    lists = _staged_lists(spark, d)
+    words, _ = lists
     first = fusion.fuse(words.withColumn("list_no", F.lit(0)).withColumn("source", F.lit("keyword")))
     key = F.concat_ws("/", "qid", "result_id")
     show = lambda df: stage(fusion.dedup(df, files, TOP_K).select(key.alias("result_id"), "path", "chunk_id", F.round("score", 8).alias("score"), "place"), "snapshot")
-    return show(first), show(fused_lists(spark, d))
+    return show(first), show(fused_lists(spark, d, lists))
 
 
 def snapshot_delta(spark: SparkSession, d: str) -> DataFrame:

@@ -278,3 +278,15 @@ def test_images_have_their_own_list(spark):
     f = spark.createDataFrame([(1, "image", [1.0, 0.0]), (2, "image", None), (3, "text", [1.0, 0.0]), (4, "image", [0.0, 1.0])], "file_id long, kind string, image_embedding array<float>")
     q = spark.createDataFrame([(7, [1.0, 0.2])], "qid long, q array<double>")
     assert rows(semantic.image_hits(f, q, dim=2, k=5), "qid", "file_id", "rk") == [(7, 1, 1), (7, 4, 2)]
+
+
+def test_listed_and_joined_tokens_give_the_same_scores(spark, monkeypatch):
+    p = spark.createDataFrame([(1, "the old lamp"), (2, "lamp-post and lamp"), (3, None), (4, "post lamp"), (5, "")], "chunk_id long, text string")
+    q = spark.createDataFrame([(1, "lamp"), (2, "lamp-post old"), (3, "___ lamp"), (4, None), (None, "lamp"), (5, "")], "qid long, text string")
+    for strict in (False, True):
+        listed = rows(lexical.bm25_texts(p, q, require_all=strict))
+        with monkeypatch.context() as m:
+            m.setattr(lexical, "MOST_TOKENS", 0)
+            assert rows(lexical.bm25_texts(p, q, require_all=strict)) == listed and listed
+    assert {r[0] for r in listed} == {1}
+    assert lexical.bm25_texts(p, q.limit(0)).count() == 0 and lexical.bm25_texts(p.limit(0), q).count() == 0
