@@ -9,9 +9,11 @@ base one is refused.  A reader pins the version that it began with.
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,31 +59,52 @@ class Store:
         finally:
             stream.close()
 
+    @staticmethod
+    def _local(path: str) -> Path | None:
+        return Path(path.removeprefix("file://")) if path.startswith(("file:///", "/")) else None
+
     def write_text(self, path: str, text: str, *, overwrite: bool = True) -> None:
         """Writes a small file beside the target and renames it, so that a reader sees the old or the new one.
 
         Without ``overwrite`` a target that is there already raises Conflict.
         """
-        fs, fresh = self._fs(f"{path}.{uuid.uuid4().hex}.new")
-        out = fs.create(fresh, True)
-        try:
-            out.write(bytearray(text, "utf-8"))
-        finally:
-            out.close()
+        fresh = f"{path}.{uuid.uuid4().hex}.new"
+        if local := self._local(fresh):
+            local.parent.mkdir(parents=True, exist_ok=True)
+            local.write_text(text, "utf-8")
+        else:
+            fs, p = self._fs(fresh)
+            out = fs.create(p, True)
+            try:
+                out.write(bytearray(text, "utf-8"))
+            finally:
+                out.close()
         self._rename(fresh, path, overwrite)
 
-    def _rename(self, fresh, path: str, overwrite: bool) -> None:
+    def _rename(self, fresh: str, path: str, overwrite: bool) -> None:
+        """In one step: Hadoop's own renaming of local files takes several."""
+        if local := self._local(fresh):
+            if overwrite:
+                local.replace(self._local(path))
+                return
+            try:
+                os.link(local, self._local(path))
+            except FileExistsError:
+                raise Conflict(path) from None
+            finally:
+                local.unlink()
+            return
         context = self.spark.sparkContext
         hadoop = context._jvm.org.apache.hadoop.fs
         kind = getattr(hadoop, "Options$Rename")
         options = context._gateway.new_array(kind, 1)
         options[0] = kind.OVERWRITE if overwrite else kind.NONE
-        fs, target = self._fs(path)
+        (fs, source), (_, target) = self._fs(fresh), self._fs(path)
         try:
-            hadoop.FileContext.getFileContext(fresh.toUri(), context._jsc.hadoopConfiguration()).rename(fresh, target, options)
+            hadoop.FileContext.getFileContext(source.toUri(), context._jsc.hadoopConfiguration()).rename(source, target, options)
         except Exception as x:
             if not overwrite and "FileAlreadyExistsException" in str(x):
-                fs.delete(fresh, False)
+                fs.delete(source, False)
                 raise Conflict(path) from None
             raise
 

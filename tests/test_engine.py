@@ -4,6 +4,7 @@ import io
 import json
 import os
 import random
+import threading
 import time
 import zipfile
 
@@ -299,6 +300,29 @@ def test_of_two_writers_one_is_refused(spark, tmp_path):
     assert one.manifest()["version"] == 3 and one.table("t").count() == 3 and not list(tmp_path.glob("versions/*.new"))
 
 
+def test_small_files_can_be_read_while_they_are_replaced(spark, tmp_path):
+    store = Store(spark, "file://" + str(tmp_path))
+    path = f"{store.root}/state.json"
+    store.write_text(path, "0" * 50)
+    stop = threading.Event()
+
+    def write() -> None:
+        i = 0
+        while not stop.is_set():
+            i += 1
+            store.write_text(path, str(i % 10) * 50)
+
+    t = threading.Thread(target=write, daemon=True)
+    t.start()
+    try:
+        for _ in range(300):
+            text = store.read_text(path)
+            assert text is not None and len(text) == 50 and len(set(text)) == 1
+    finally:
+        stop.set()
+        t.join()
+
+
 def test_deltas_of_tables(spark, tmp_path):
     store = Store(spark, "file://" + str(tmp_path))
     rng = random.Random(1)
