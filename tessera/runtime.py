@@ -19,6 +19,8 @@ _staged: list[tuple[SparkSession, str]] = []
 _own = threading.local()
 _shipped: set[str] = set()
 _kept: dict = {}
+#: Whether Spark deletes the shuffle files of a query at its end, and not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -102,11 +104,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     What follows can be recomputed from those files when an executor is lost,
-    and work that several branches need is done once.
+    and work that several branches need is done once.  The shuffle files of the
+    write go with it, and don't stay beside the table.
     """
     spark = df.sparkSession
     path = stage_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
