@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..runtime import stage
+from .batches import Best
 
 #: Query vectors that go to the executors at once.
 BLOCK = 2048
@@ -28,13 +29,15 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), vectors.NORM_FLOOR)
 
 
-def cosine_scan(rows: DataFrame, queries: DataFrame, *, dim: int, keep: int, group: str | None = None, digits: int = 6) -> DataFrame:
+def cosine_scan(rows: DataFrame, queries: DataFrame, *, dim: int, keep: int, group: str | None = None, digits: int = 6, named: bool = False) -> DataFrame:
     """``qid, chunk_id, score``: cosines of a stated set of queries (``qid, q``) with all rows (``chunk_id, v`` and ``group``).
 
-    One pass over the rows serves a block of queries.  Every batch hands on the
+    One pass over the rows serves a block of queries.  Every task hands on the
     best ``keep`` groups (or rows, without ``group``) of each query only, ties
     included, so that the exchange doesn't grow with the rows that can't win.
+    ``named``: with the group as ``file_id``.
     """
+    shape = "qid long, chunk_id long, score double" + ", file_id long" * named
     columns = ["chunk_id", "v"] + ([group] if group else [])
     parts: list[DataFrame] = []
     block: list = []
@@ -44,25 +47,32 @@ def cosine_scan(rows: DataFrame, queries: DataFrame, *, dim: int, keep: int, gro
         q = rows.sparkSession.sparkContext.broadcast(_unit(np.array([r.q for r in block], np.float64)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            top = Best(len(ids), keep)
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 m = _unit(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
                 score = np.round(m @ q.value.T, digits).T
-                best = score
+                best, chunk = score, batch.column("chunk_id").to_numpy(zero_copy_only=False)
+                groups = batch.column(group).to_numpy(zero_copy_only=False) if group else chunk
                 if group:
-                    owner, at = np.unique(batch.column(group).to_numpy(zero_copy_only=False), return_inverse=True)
+                    owner, at = np.unique(groups, return_inverse=True)
                     order = np.argsort(at, kind="stable")
                     best = np.maximum.reduceat(score[:, order], np.searchsorted(at[order], np.arange(len(owner))), axis=1)
                 n = min(keep, best.shape[1])
                 least = -np.partition(-best, n - 1, axis=1)[:, n - 1]
-                good = score >= least[:, None]
+                good = score >= np.maximum(least, top.least)[:, None]
                 if group:
                     good &= score == best[:, at]
                 which, row = np.nonzero(good)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[which]), batch.column("chunk_id").take(pa.array(row)), pa.array(score[which, row])], names=["qid", "chunk_id", "score"])
+                top.add(which, groups[row], chunk[row], score[which, row])
+            which, file, chunk, score = top.rows()
+            for a in range(0, len(which), 100_000):
+                z = slice(a, a + 100_000)
+                columns = {"qid": ids[which[z]], "chunk_id": chunk[z], "score": score[z], "file_id": file[z]}
+                yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items() if named or k != "file_id"})
 
-        return rows.select(*columns).mapInArrow(run, "qid long, chunk_id long, score double")
+        return rows.select(*columns).mapInArrow(run, shape)
 
     for row in queries.select(F.col("qid").cast("long"), vectors.as_doubles(F.col("q")).alias("q")).where(vectors.is_valid(F.col("q"), dim)).toLocalIterator():
         block.append(row)
@@ -70,7 +80,7 @@ def cosine_scan(rows: DataFrame, queries: DataFrame, *, dim: int, keep: int, gro
             parts.append(scan(block))
             block = []
     if block or not parts:
-        parts.append(scan(block) if block else rows.sparkSession.createDataFrame([], "qid long, chunk_id long, score double"))
+        parts.append(scan(block) if block else rows.sparkSession.createDataFrame([], shape))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -139,10 +149,10 @@ def with_tail(codes: DataFrame, scale: DataFrame, dtype: str, rows: DataFrame, w
     return cached.unionByName(rows.where(F.col("chunk_id") > watermark).select("chunk_id", "file_id", "v"))
 
 
-def refined(rows: DataFrame, queries: DataFrame, candidates: DataFrame, *, dim: int, keep: int, group: str) -> DataFrame:
+def refined(rows: DataFrame, queries: DataFrame, candidates: DataFrame, *, dim: int, keep: int, group: str, named: bool = False) -> DataFrame:
     """Full-precision scores for every query of all candidate passages, whichever query brought them."""
     pool = candidates.select("chunk_id").distinct()
-    return cosine_scan(rows.join(pool, "chunk_id", "left_semi"), queries, dim=dim, keep=keep, group=group)
+    return cosine_scan(rows.join(pool, "chunk_id", "left_semi"), queries, dim=dim, keep=keep, group=group, named=named)
 
 
 def recall(exact: DataFrame, found: DataFrame) -> DataFrame:

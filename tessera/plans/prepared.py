@@ -54,7 +54,8 @@ class Prepared:
     def searchable(self) -> DataFrame:
         """Vectors of the passages whose file is in the catalogue and isn't junk."""
         whole = self.files.where(~paths.is_junk(F.col("path"))).select("file_id").distinct()
-        return self._table("searchable", lambda: self.vectors.join(whole, "file_id", "left_semi"))
+        # From the passages, as the vectors of all passages need not be stored for it.
+        return self._table("searchable", lambda: semantic.valid_vectors(self.passages.join(whole, "file_id", "left_semi"), DIM))
 
     @property
     def watermark(self) -> int:

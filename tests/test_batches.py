@@ -1,0 +1,89 @@
+"""Keyword scans of a batch of queries against the postings, and what they exchange."""
+
+import numpy as np
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from tessera.operators import batches, lexical
+from tessera.plans import retrieval
+from tessera.runtime import stage
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    rng = np.random.default_rng(5)
+    words = ["red", "Green", "blue", "dark", "light", "sky", "résumé"]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 25))) for _ in range(300)] + [None, "", "--"]
+    p = spark.createDataFrame([(i, i % 40 if i % 50 else None, t) for i, t in enumerate(texts)], "chunk_id long, file_id long, text string").repartition(3)
+    f = spark.createDataFrame([(i, f"/x/{'build/' if i % 9 == 0 else ''}{97 * i % 40}") for i in range(38)], "file_id long, path string").withColumns({"kind": F.lit("text"), "mtime": F.lit(1.0), "mime": F.lit("m")})
+    q = [(1, "dark-blue sky"), (2, "--- red"), (3, "nothing"), (4, None), (None, "red"), (5, "red RED Red"), (6, "sky dark-blue"), (7, "resume light"), (8, "blue"), (9, "___"), (10, "light-sky-red green dark blue")]
+    return p, f, spark.createDataFrame(q, "qid long, text string")
+
+
+@pytest.mark.parametrize("cells", [4_000_000, 100])
+@pytest.mark.parametrize("strict", [False, True])
+def test_hits_are_those_of_the_postings(corpus, strict, cells, monkeypatch):
+    p, _, q = corpus
+    monkeypatch.setattr(batches, "CELLS", cells)
+    monkeypatch.setattr(batches, "BLOCK", 3)
+    want = rows(lexical.bm25_texts(p, q, require_all=strict), "qid", "chunk_id", "score")
+    assert rows(batches.KeywordBatch(p, q).hits(require_all=strict), "qid", "chunk_id", "score") == want and want
+
+
+@pytest.mark.parametrize("pool", [1, 4, 50])
+def test_best_files_are_those_of_all_hits(corpus, pool, monkeypatch):
+    p, f, q = corpus
+    monkeypatch.setattr(batches, "CELLS", 200)
+    want = lexical.best_of_files(lexical.bm25_texts(p, q), p, f, pool)
+    assert rows(batches.KeywordBatch(p, q).best_of_files(f, pool), *want.columns) == rows(want)
+
+
+def test_no_queries_or_passages(corpus):
+    p, f, q = corpus
+    for a, b in ((p.limit(0), q), (p, q.limit(0))):
+        batch = batches.KeywordBatch(a, b)
+        assert batch.hits().count() == batch.hits(require_all=True).count() == batch.best_of_files(f, 3).count() == 0
+
+
+def test_gathered_candidates_lose_no_winner(monkeypatch):
+    monkeypatch.setattr(batches, "GATHERED", 50)
+    rng = np.random.default_rng(1)
+    best, all_rows = batches.Best(4, 3), []
+    for n in range(30):
+        part = (rng.integers(0, 4, 20), rng.integers(0, 25, 20), np.arange(20) + 20 * n, rng.integers(0, 40, 20) / 4)
+        best.add(*part)
+        all_rows += list(zip(*part, strict=True))
+    got = set(zip(*best.rows(), strict=True))
+    for q in range(4):
+        of_group = {}
+        for _, g, c, s in sorted((r for r in all_rows if r[0] == q), key=lambda r: (-r[3], r[2])):
+            of_group.setdefault(g, (s, c))
+        least = sorted((s for s, _ in of_group.values()), reverse=True)[2]
+        assert {(g, c, s) for w, g, c, s in got if w == q} == {(g, c, s) for g, (s, c) in of_group.items() if s >= least}
+
+
+def exchanges(df):
+    return [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x and "Broadcast" not in x]
+
+
+@pytest.mark.parametrize("name", ["bm25_any", "bm25_all"])
+def test_hits_are_made_without_an_exchange(name, spark, data):
+    assert not exchanges(getattr(retrieval, name)(spark, data))
+
+
+def test_a_task_hands_on_its_best_only(corpus, spark):
+    from tessera.operators import semantic
+
+    v = spark.range(0, 25_000, 1, 1).select(F.col("id").alias("chunk_id"), (F.col("id") % 5000).alias("file_id"), F.array(F.cos(F.col("id") / 3e4), F.sin(F.col("id") / 3e4)).alias("v"))
+    q = spark.createDataFrame([(1, [0.0, 1.0])], "qid long, q array<double>")
+    assert semantic.cosine_scan(v, q, dim=2, keep=10, group="file_id", digits=12).count() == 10, "not ten of each of its three batches"
+
+
+def test_staged_tables_leave_no_shuffle_files(spark, tmp_path):
+    jvm = spark.sparkContext._jvm
+    shuffles = lambda: jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    jvm.System.gc()
+    before = shuffles()
+    assert stage(spark.range(1000).repartition(3, "id"), "t").count() == 1000
+    assert shuffles() <= before + 1, "only that of the count"
