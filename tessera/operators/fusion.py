@@ -49,7 +49,8 @@ def result_id(content_hash: Column, path: Column) -> Column:
 
 def dedup(fused: DataFrame, files: DataFrame, top_k: int | None, *, group: str = "qid") -> DataFrame:
     """The best file of each identity, and of those the best ``top_k``, with ``result_id`` and ``place``."""
-    rows = fused.join(files.select("path", "content_hash"), "path", "left").withColumn("result_id", result_id(F.col("content_hash"), F.col("path")))
+    # One exchange by group serves both rankings; the id, which doesn't compress, is made after it.
+    rows = fused.join(files.select("path", "content_hash"), "path", "left").repartition(group).withColumn("result_id", result_id(F.col("content_hash"), F.col("path")))
     one = Window.partitionBy(group, "result_id").orderBy(F.desc("score"), "path")
     order = Window.partitionBy(group).orderBy(F.desc("score"), "path")
     rows = rows.withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("nth").withColumn("place", F.row_number().over(order))
