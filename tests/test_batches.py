@@ -87,3 +87,13 @@ def test_staged_tables_leave_no_shuffle_files(spark, tmp_path):
     before = shuffles()
     assert stage(spark.range(1000).repartition(3, "id"), "t").count() == 1000
     assert shuffles() <= before + 1, "only that of the count"
+
+
+def test_both_rankings_of_identities_share_an_exchange(spark):
+    from tessera.operators import fusion
+
+    fused = spark.createDataFrame([(1, "/a", 0.5), (1, "/b", 0.5), (2, "/b", 0.1)], "qid long, path string, score double")
+    files = spark.createDataFrame([("/a", "h"), ("/b", "h")], "path string, content_hash string")
+    top = fusion.dedup(fused, files, 12)
+    assert sum("hashpartitioning(qid" in x for x in exchanges(top)) == 1
+    assert rows(top, "qid", "path", "place") == [(1, "/a", 1), (2, "/b", 1)]
