@@ -57,6 +57,52 @@ def dedup(fused: DataFrame, files: DataFrame, top_k: int | None, *, group: str =
     return rows.where(F.col("place") <= top_k) if top_k else rows
 
 
+def numbered(files: DataFrame) -> DataFrame:
+    """``file_id, number, ident, path, kind, mtime, content_hash`` of the files that aren't junk.
+
+    ``number`` has the order of the paths, and ``ident`` is the least number
+    among the files of the same identity, so that lists can be ranked, fused
+    and deduplicated without their paths and hashes.
+    """
+    rows = files.where(~paths.is_junk(F.col("path"))).select("file_id", "path", "kind", "mtime", "content_hash")
+    # Range partitions are in order, and so are the numbers; written, as the order of a second run could differ.
+    rows = stage(rows.repartitionByRange("path").sortWithinPartitions("path").withColumn("number", F.monotonically_increasing_id()), "ordered")
+    known = F.col("content_hash").isNotNull() & (F.col("content_hash") != "")
+    several = rows.where(known).groupBy(F.col("content_hash").alias("__hash")).agg(F.min("number").alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    # A file without a hash meets nothing, and goes by its path.
+    rows = rows.withColumn("__identity", identity(F.col("content_hash"), F.col("path"))).join(several.select(F.concat(F.lit("bytes:"), "__hash").alias("__identity"), "__first"), "__identity", "left")
+    return rows.select("file_id", "number", F.coalesce("__first", "number").alias("ident"), "path", "kind", "mtime", "content_hash")
+
+
+def fuse_numbers(lists: DataFrame, *, group: str = "qid", digits: int = 12) -> DataFrame:
+    """``fuse`` of lists of numbered files (``<group>, list_no, source, number, ident, chunk_id, rk``), with the best passage by source; one exchange by group also serves ``best_numbers``."""
+    by = lambda source, x: F.min_by(x, F.when(F.col("source") == source, F.struct("rk", "list_no")))
+    fused = lists.repartition(group).groupBy(group, "number").agg(
+        F.min("ident").alias("ident"),
+        F.round(F.sum(1.0 / (RRF_K + F.col("rk"))), digits).alias("score"),
+        by("keyword", "rk").alias("keyword_rank"),
+        by("semantic", "rk").alias("semantic_rank"),
+        F.min_by("chunk_id", F.struct("rk", "list_no")).alias("chunk_id"),
+        by("keyword", "chunk_id").alias("keyword_chunk"),
+        by("semantic", "chunk_id").alias("semantic_chunk"),
+    )
+    match = F.when(F.col("keyword_rank").isNotNull() & F.col("semantic_rank").isNotNull(), "hybrid").when(F.col("keyword_rank").isNotNull(), "keyword").otherwise("semantic")
+    return fused.withColumn("match", match)
+
+
+def best_numbers(fused: DataFrame, top_k: int | None, *, group: str = "qid") -> DataFrame:
+    """``dedup`` of numbered files, with ``place``."""
+    one = Window.partitionBy(group, "ident").orderBy(F.desc("score"), "number")
+    order = Window.partitionBy(group).orderBy(F.desc("score"), "number")
+    rows = fused.withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("nth").withColumn("place", F.row_number().over(order))
+    return rows.where(F.col("place") <= top_k) if top_k else rows
+
+
+def named(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Numbered results with ``path, kind, mtime, content_hash`` and ``result_id``."""
+    return rows.join(numbers.select("number", "path", "kind", "mtime", "content_hash"), "number").withColumn("result_id", result_id(F.col("content_hash"), F.col("path")))
+
+
 def copies(results: DataFrame, files: DataFrame, scopes: Iterable[dict] = (), *, group: str = "qid") -> DataFrame:
     """Every copy of each result among ``files`` (the active filter applied, junk included), with ``is_canonical``.
 
@@ -85,9 +131,9 @@ def canonical(copies: DataFrame, *, group: str = "qid") -> DataFrame:
     return best.select(group, "result_id", F.col("b.copy_path").alias("path"), F.col("b.copy_mtime").alias("mtime"), F.col("b.priority").alias("priority"), "copies")
 
 
-def results(fused: DataFrame, files: DataFrame, passages: DataFrame, top_k: int, scopes: Iterable[dict] = (), *, group: str = "qid") -> DataFrame:
-    """Full results: deduplicated, with the canonical path, the number of copies, and the text of the evidence, which is joined last."""
-    top = stage(dedup(fused, files, top_k, group=group), "results")
+def results(top: DataFrame, files: DataFrame, passages: DataFrame, scopes: Iterable[dict] = (), *, group: str = "qid") -> DataFrame:
+    """Full results of deduplicated ones: with the canonical path, the number of copies, and the text of the evidence, which is joined last."""
+    top = stage(top, "results")
     best = canonical(_copy_rows(top, files, list(scopes)), group=group).drop("priority")
     rows = top.withColumnRenamed("path", "evidence_path").drop("mtime").join(best, [group, "result_id"]).join(passages.select("chunk_id", F.col("text").alias("snippet"), F.lit(True).alias("__there")), "chunk_id", "left")
     # A result whose passage has gone since is left out, after it has stood for its identity.

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..operators import catalog, lexical, semantic
+from ..operators import catalog, fusion, lexical, semantic
 from ..runtime import kept, read, stage
 
 DIM = 64
@@ -38,6 +38,11 @@ class Prepared:
     def passages(self) -> DataFrame:
         return self._table("passages", lambda: catalog.passages(read(self.spark, self.d, "chunks")))
 
+    @property
+    def numbers(self) -> DataFrame:
+        """The files that aren't junk, numbered in the order of their paths."""
+        return self._table("numbers", lambda: fusion.numbered(self.files))
+
     @property
     def postings(self) -> DataFrame:
         return self._table("postings", lambda: lexical.by_term(lexical.postings(self.passages)))

@@ -97,3 +97,50 @@ def test_both_rankings_of_identities_share_an_exchange(spark):
     top = fusion.dedup(fused, files, 12)
     assert sum("hashpartitioning(qid" in x for x in exchanges(top)) == 1
     assert rows(top, "qid", "path", "place") == [(1, "/a", 1), (2, "/b", 1)]
+
+
+@pytest.mark.parametrize("pool", [1, 4, 50])
+def test_numbered_files_are_ranked_as_their_paths(corpus, pool, monkeypatch):
+    from tessera.operators import fusion
+
+    p, f, q = corpus
+    monkeypatch.setattr(batches, "RANKED", 2)
+    n = stage(fusion.numbered(f.withColumn("content_hash", F.when(F.col("file_id") % 3 == 0, "h").otherwise(F.when(F.col("file_id") % 3 == 1, "")))), "n")
+    want = rows(lexical.best_of_files(lexical.bm25_texts(p, q), p, f, pool), "qid", "path", "chunk_id", "rk")
+    batch = batches.KeywordBatch(p, q)
+    assert rows(batch.best_of_numbers(n, pool).join(n, "number"), "qid", "path", "chunk_id", "rk") == want and want
+    hits = batch.hits().join(p.select("chunk_id", "file_id"), "chunk_id").join(n.select("file_id"), "file_id")
+    assert rows(batches.ranked_numbers(hits, n, pool).join(n, "number"), "qid", "path", "chunk_id", "rk") == want
+    first = n.join(n.select(F.col("number").alias("ident"), F.col("path").alias("first")), "ident").collect()
+    same = min(r.path for r in first if r.file_id % 3 == 0)
+    assert all(r.first == (same if r.file_id % 3 == 0 else r.path) for r in first)
+
+
+def test_rows_that_are_not_in_order_of_their_files(corpus):
+    p, f, q = corpus
+    batch = batches.KeywordBatch(p, q)
+    met = batch.met.where("size(unit) > 0").join(f.select("file_id"), "file_id").coalesce(1).sortWithinPartitions("chunk_id")
+    rows_of = lambda df: rows(batch._scans(df, keep=50), "qid", "file_id", "chunk_id", "score")
+    assert rows_of(met) == rows_of(met.sortWithinPartitions("file_id", "chunk_id")) != []
+
+
+def ranking_exchanges(name, spark, data, monkeypatch):
+    """Exchanges of the lists and of what is ranked from them."""
+    from tessera.operators import fusion
+
+    seen = []
+
+    def noted(df, label):
+        seen.extend(exchanges(df) if label in ("words", "near", "base", "snapshot", "results") else ())
+        return stage(df, label)
+
+    for module in (retrieval, batches, fusion):
+        monkeypatch.setattr(module, "stage", noted)
+    df = getattr(retrieval, name)(spark, data)
+    return seen + (exchanges(df) if name != "rerank_blend" else [])  # whose last steps call the number path
+
+
+@pytest.mark.parametrize("name", ["rerank_blend"])
+def test_lists_are_ranked_and_fused_without_paths(name, spark, data, monkeypatch):
+    found = ranking_exchanges(name, spark, data, monkeypatch)
+    assert found and not [x for x in found if "path" in x]
