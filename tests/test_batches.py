@@ -140,7 +140,7 @@ def ranking_exchanges(name, spark, data, monkeypatch):
     return seen + (exchanges(df) if name != "rerank_blend" else [])  # whose last steps call the number path
 
 
-@pytest.mark.parametrize("name", ["rerank_blend", "rrf_hybrid", "rrf_multi_variant", "snapshot_delta", "delta_replay", "jaccard_overlap"])
+@pytest.mark.parametrize("name", ["rerank_blend", "rrf_hybrid", "rrf_multi_variant", "snapshot_delta", "delta_replay", "jaccard_overlap", "dedup_identity"])
 def test_lists_are_ranked_and_fused_without_paths(name, spark, data, monkeypatch):
     found = ranking_exchanges(name, spark, data, monkeypatch)
     assert found and not [x for x in found if "path" in x]
