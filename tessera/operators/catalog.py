@@ -31,6 +31,18 @@ def passages(chunks: DataFrame) -> DataFrame:
     return first_by(chunks, ["chunk_id"], [F.asc("ordinal")])
 
 
+def repeated(chunks: DataFrame) -> DataFrame:
+    """``chunk_id`` of the passages that have several rows; only ids are exchanged."""
+    return chunks.dropna(subset=["chunk_id"]).groupBy("chunk_id").count().where("count > 1").select("chunk_id")
+
+
+def passages_once(chunks: DataFrame, repeated: DataFrame) -> DataFrame:
+    """What ``passages`` gives where few passages have several rows: their ids (``repeated``) go to all executors, and all other rows stay where they are."""
+    ids = F.broadcast(repeated)
+    alone = chunks.dropna(subset=["chunk_id"]).join(ids, "chunk_id", "left_anti")
+    return alone.unionByName(passages(chunks.join(ids, "chunk_id", "left_semi")))
+
+
 def scoped(files: DataFrame, scopes: Iterable[dict]) -> DataFrame:
     """Files of any of the scopes; a file without a known device is in no scope that names devices."""
     return files.where(paths.in_any_scope(F.col("path"), F.col("source_device"), scopes))

@@ -21,6 +21,8 @@ from ..runtime import kept, read, stage
 DIM = 64
 #: Hundredths of the ids that the matrix covers; the rest are its tail.
 MATRIX_SHARE = 95
+#: Ids of passages with several rows that go to the executors; if there are more, all passages are exchanged by their ids, and stored.
+MOST_REPEATED = 200_000
 
 
 class Prepared:
@@ -38,6 +40,19 @@ class Prepared:
     def passages(self) -> DataFrame:
         return self._table("passages", lambda: catalog.passages(read(self.spark, self.d, "chunks")))
 
+    def once(self, *columns: str) -> DataFrame:
+        """Some columns of each passage once, straight from the table: texts and vectors are neither exchanged nor stored for it."""
+
+        def make() -> tuple[DataFrame, int]:
+            ids = stage(catalog.repeated(read(self.spark, self.d, "chunks")), "repeated")
+            return ids, ids.count()
+
+        ids, many = kept((*self.key, "repeated"), make)
+        if many > MOST_REPEATED:
+            return self.passages.select(*columns)
+        chunks = read(self.spark, self.d, "chunks").select(*dict.fromkeys(("chunk_id", "ordinal", *columns)))
+        return catalog.passages_once(chunks, ids).select(*columns)
+
     @property
     def numbers(self) -> DataFrame:
         """The files that aren't junk, numbered in the order of their paths."""
@@ -59,8 +74,8 @@ class Prepared:
     def searchable(self) -> DataFrame:
         """Vectors of the passages whose file is in the catalogue and isn't junk."""
         whole = self.files.where(~paths.is_junk(F.col("path"))).select("file_id").distinct()
-        # From the passages, as the vectors of all passages need not be stored for it.
-        return self._table("searchable", lambda: semantic.valid_vectors(self.passages.join(whole, "file_id", "left_semi"), DIM))
+        # From the table, as neither the texts nor the vectors of all passages need be stored for it.
+        return self._table("searchable", lambda: semantic.valid_vectors(self.once("chunk_id", "file_id", "embedding").join(whole, "file_id", "left_semi"), DIM))
 
     @property
     def watermark(self) -> int:

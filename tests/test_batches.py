@@ -144,3 +144,62 @@ def ranking_exchanges(name, spark, data, monkeypatch):
 def test_lists_are_ranked_and_fused_without_paths(name, spark, data, monkeypatch):
     found = ranking_exchanges(name, spark, data, monkeypatch)
     assert found and not [x for x in found if "path" in x]
+
+
+HYBRID = ["rrf_hybrid"]
+
+
+@pytest.mark.parametrize("name", HYBRID)
+def test_hybrid_queries_store_no_texts(name, spark, data, tmp_path, monkeypatch):
+    """A new folder, for which there is no index yet: no passages are stored, and what led to the lists is gone."""
+    import shutil
+    from pathlib import Path
+
+    from tessera.operators import fusion
+    from tessera.plans import prepared
+    from tessera.runtime import discard, scratch
+
+    shutil.copytree(data, tmp_path / "t")
+    labels = []
+
+    def noted(df, label):
+        labels.append(label)
+        return stage(df, label)
+
+    for module in (retrieval, batches, fusion, prepared):
+        monkeypatch.setattr(module, "stage", noted)
+    with scratch([]) as paths:
+        got = rows(getattr(retrieval, name)(spark, str(tmp_path / "t")))
+    assert {"met", "inside", "words", "searchable"} <= set(labels) and "passages" not in labels
+    left = {Path(p).name.rpartition("-")[0] for _, p in paths}
+    assert not left & {"asked", "met", "inside"} and {"words", "near"} <= left
+    discard(paths)
+    monkeypatch.undo()
+    assert got == rows(getattr(retrieval, name)(spark, data)) != []
+
+
+def test_passages_once_moves_repeated_rows_only(spark):
+    from tessera.operators import catalog
+
+    given = [(1, 0, "a"), (2, 5, "b"), (2, 1, "c"), (3, 0, "d"), (3, 0, "d"), (None, 0, "e"), (4, None, None)]
+    chunks = spark.createDataFrame(given, "chunk_id long, ordinal int, text string")
+    ids = stage(catalog.repeated(chunks), "repeated")
+    assert rows(ids) == [(2,), (3,)]
+    assert rows(catalog.passages_once(chunks, ids), "chunk_id", "text") == [(1, "a"), (2, "c"), (3, "d"), (4, None)] == rows(catalog.passages(chunks), "chunk_id", "text")
+
+
+def test_many_repeated_passages(spark, data, monkeypatch):
+    from tessera.plans import prepared
+
+    index = prepared.prepared(spark, data)
+    want = rows(index.once("chunk_id", "text"))
+    monkeypatch.setattr(prepared, "MOST_REPEATED", -1)
+    assert rows(index.once("chunk_id", "text")) == want == rows(index.passages, "chunk_id", "text")
+
+
+def test_ties_are_cut_by_the_order_of_the_files(spark):
+    best = batches.Best(1, 3, ordered=True)
+    for a in (20, 0, 10):
+        best.add(np.zeros(10, int), np.arange(a, a + 10), np.arange(a, a + 10), np.ones(10))
+        best.rows()
+    assert best.rows()[1].tolist() == [0, 1, 2], "not all thirty"
