@@ -146,7 +146,7 @@ def test_lists_are_ranked_and_fused_without_paths(name, spark, data, monkeypatch
     assert found and not [x for x in found if "path" in x]
 
 
-HYBRID = ["rrf_hybrid", "delta_replay", "dedup_identity", "jaccard_overlap", "rrf_multi_variant"]
+HYBRID = ["rrf_hybrid", "delta_replay", "dedup_identity", "jaccard_overlap", "rrf_multi_variant", "snapshot_delta"]
 
 
 @pytest.mark.parametrize("name", HYBRID)
